@@ -32,9 +32,5 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """Round for comparison across engines, whose trigonometry differs in the last bit."""
-    from pyspark.sql import functions as F
-
     chosen = set(columns)
-    return df.select(
-        *[F.round(F.col(c), digits).alias(c) if c in chosen else F.col(c) for c in df.columns]
-    )
+    return df.selectExpr(*[f"round(`{c}`, {digits}) AS `{c}`" if c in chosen else f"`{c}`" for c in df.columns])

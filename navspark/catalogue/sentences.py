@@ -16,6 +16,7 @@ from navspark.functions.nmea import FIELD_SOURCES, checksum_ok, formatter, parse
 from navspark.functions.once import computed_once
 from navspark.operators.epochs import attach_to_anchor, merge_epochs
 from navspark.operators.neighbours import Lookup, lookup_neighbours
+from navspark.session import stage
 
 SEGMENT_EVENTS = 65536
 
@@ -260,7 +261,7 @@ FROM split_lines"""
 
 def _attached(spark, sf_dir) -> DataFrame:
     # The anchor time is the sentence clock on the hour grid, so that epochs collect several sentences.
-    parsed = parsed_stream(spark, sf_dir).withColumn("segment", F.floor(F.col("event_id") / SEGMENT_EVENTS))
+    parsed = stage(parsed_stream(spark, sf_dir), "sentences").withColumn("segment", F.floor(F.col("event_id") / SEGMENT_EVENTS))
     hourly = F.floor(F.col("us") / 3600e6) * 3600.0
     anchored = parsed.withColumn("anchor_time", F.when(F.col("utc_of_day").isNotNull(), hourly)).drop("us", "utc_of_day")
     return attach_to_anchor(anchored, ["device"], ["segment"], "event_id")

@@ -71,8 +71,8 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = events.groupBy("recording", "receiver", "utc_time").agg(
         F.max_by("user_id", "event_id").alias("user_id"), F.max_by("value", "event_id").alias("value")
     )
-    return merged.select(
-        "recording", "receiver", "utc_time", *[F.expr(sql).alias(name) for name, sql in FIELDS.items()]
+    return merged.selectExpr(
+        "recording", "receiver", "utc_time", *[f"{sql} AS {name}" for name, sql in FIELDS.items()]
     )
 
 

@@ -94,8 +94,7 @@ def split_fields(sentence: Column) -> Column:
 
 def xor_of(text: Column) -> Column:
     """XOR over the characters' code points."""
-    codes = F.transform(F.split(text, ""), lambda ch: F.when(ch != "", F.ascii(ch)).otherwise(0))
-    return F.aggregate(codes, F.lit(0), lambda acc, code: acc.bitwiseXOR(code))
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda acc, ch: acc.bitwiseXOR(F.ascii(ch)))
 
 
 def checksum_ok(sentence: Column) -> Column:
@@ -123,18 +122,24 @@ def _pick(fields: Column, source: Column, where: dict[str, int]) -> Column:
     return chosen
 
 
-def parse_sentences(df: DataFrame, payload: str = "payload", validate_checksums: bool = True) -> DataFrame:
+def parse_sentences(
+    df: DataFrame, payload: str = "payload", validate_checksums: bool = True, keep_rejected: bool = False
+) -> DataFrame:
     """Keep recognised sentences and add their typed fields.
 
     ``source`` names the formatter whose fields the row carries; it is NULL for a
     sentence too short to be parsed or of a recognised but unused kind. Presence
     (``source``) and value are separate because a present-but-empty field still
-    overwrites an earlier value when sentences of one second are merged.
+    overwrites an earlier value when sentences of one second are merged. With
+    ``keep_rejected`` unrecognised or damaged sentences stay as rows without ``fmt``.
     """
     text = F.col(payload)
-    rows = df.withColumn("fmt", formatter(text)).where(F.col("fmt").isNotNull())
-    if validate_checksums:
-        rows = rows.where(checksum_ok(text))
+    rows = df.withColumn("fmt", formatter(text))
+    if keep_rejected and validate_checksums:
+        rows = rows.withColumn("fmt", F.when(F.col("fmt").isNotNull() & checksum_ok(text), F.col("fmt")))
+    elif not keep_rejected:
+        rows = rows.where(F.col("fmt").isNotNull())
+        rows = rows.where(checksum_ok(text)) if validate_checksums else rows
     least = None
     for code, n in MIN_FIELDS.items():
         test = F.col("fmt") == code

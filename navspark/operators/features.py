@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from navspark.operators.dynamics import MATCH_TOL_S, align_epochs, with_derived, with_pairs
-from navspark.operators.ordered import HOT_ROWS, column_quantiles, largest_group
+from navspark.operators.ordered import HOT_ROWS, column_quantiles, fits_buffer, largest_group
 from navspark.schema import feature_names, raw_keys, series_keys
 
 
@@ -36,7 +36,7 @@ def series_statistics(
     """
     bound = largest_group(rows, keys) if rows_bound is None else rows_bound
     moments = [stat for key in series for stat in moment_statistics(key)]
-    if bound * len(series) <= hot_rows * 4:
+    if fits_buffer(bound, series, hot_rows):
         medians = [F.expr(f"median({key}) AS {key}_median") for key in series]
         return rows.groupBy(*keys).agg(*moments, *medians, *extra)
     main = rows.groupBy(*keys).agg(*moments, *extra)

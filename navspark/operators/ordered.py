@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_ROWS = 1_000_000
+BUFFER_ROWS = 50_000
 MAX_PIVOTS = 512
 _HASH_SPAN = 1 << 30
 _BLOCK = 16
@@ -115,11 +116,21 @@ def exact_quantiles(
     """
     bound = largest_group(df, keys) if rows_bound is None else rows_bound
     grouped = df.groupBy(*keys) if keys else df.groupBy()
-    if bound <= hot_rows:
-        return grouped.agg(*[F.percentile(value, p).alias(name) for name, p in probs.items()])
+    spots = F.array(*[F.lit(float(p)) for p in probs.values()])
+
+    def unpacked(found: DataFrame) -> DataFrame:
+        return found.select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
 
+    if bound <= BUFFER_ROWS:
+        return unpacked(grouped.agg(F.percentile(value, spots).alias("_q")))
+
+    # Equal values collapse in a compiled aggregate before any buffer or sort sees them.
     present = df.where(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    if bound <= hot_rows:
+        weighted = counts.groupBy(*keys) if keys else counts.groupBy()
+        return unpacked(weighted.agg(F.percentile(value, spots, F.col("_c")).alias("_q")))
+
     upto = running_totals(counts, keys, value, ["_c"], rows_bound=bound, hot_rows=hot_rows)
     sizes = (present.groupBy(*keys) if keys else present.groupBy()).agg(F.count(F.lit(1)).alias("_n"))
     sized = _join(upto, sizes, keys)
@@ -141,6 +152,11 @@ def exact_quantiles(
     return regrouped.agg(*parts).select(*keys, *picks)
 
 
+def fits_buffer(rows: int, columns: list[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Whether all values of a group, over all columns, may sit in one aggregation buffer."""
+    return rows * max(len(columns), 1) <= hot_rows * 4
+
+
 def column_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -155,10 +171,12 @@ def column_quantiles(
     so that the work spreads over ``(group, column, value)``.
     """
     bound = largest_group(df, keys) if rows_bound is None else rows_bound
-    if bound * max(len(columns), 1) <= hot_rows * 4:
+    if fits_buffer(bound, columns, hot_rows):
         grouped = df.groupBy(*keys) if keys else df.groupBy()
-        return grouped.agg(
-            *[F.percentile(c, p).alias(f"{c}_{name}") for c in columns for name, p in probs.items()]
+        spots = ", ".join(f"{p}D" for p in probs.values())
+        found = grouped.agg(*[F.expr(f"percentile(`{c}`, array({spots})) AS `{c}`") for c in columns])
+        return found.selectExpr(
+            *keys, *[f"`{c}`[{i}] AS `{c}_{name}`" for c in columns for i, name in enumerate(probs)]
         )
     long = melt(df, keys, columns)
     found = exact_quantiles(long, [*keys, "feature"], "value", probs, rows_bound=bound, hot_rows=hot_rows)

@@ -181,18 +181,22 @@ def capture_epochs(
     Times are seconds since midnight. A datagram is read as one sentence even if it
     holds several.
     """
-    spark = packets.sparkSession
-    if durable:
-        packets = stage(packets, "packets")
-    status = packets.where(F.col("status").isNotNull()).select(
+    known = F.broadcast(receiver_table(packets.sparkSession, receivers or RECEIVERS))  # a handful of addresses
+    located = packets.join(known, ["src_ip", "src_port"], "left").where(
+        F.col("receiver").isNotNull() | F.col("status").isNotNull()
+    )
+    sentences = located.select("path", "receiver", "pkt_no", "status", _ascii(F.col("payload")).alias("sentence"))
+    parsed = parse_sentences(
+        computed_once(sentences, ["sentence"]), "sentence", validate_checksums, keep_rejected=True
+    ).withColumnRenamed("utc_of_day", "anchor_time")
+    if durable:  # decoded once, although status, segment summaries and detail all read it
+        parsed = stage(parsed, "sentences")
+    status = parsed.where(F.col("status").isNotNull()).select(
         "path", F.col("pkt_no").alias("n_packets"), F.col("status").alias("read_status")
     )
-    known = F.broadcast(receiver_table(spark, receivers or RECEIVERS))  # a handful of addresses
-    datagrams = packets.where(F.col("status").isNull()).join(known, ["src_ip", "src_port"])
-    sentences = datagrams.select("path", "receiver", "pkt_no", _ascii(F.col("payload")).alias("sentence"))
-    sentences = computed_once(sentences, ["sentence"])
-    parsed = parse_sentences(sentences, "sentence", validate_checksums).withColumnRenamed("utc_of_day", "anchor_time")
-    placed = parsed.withColumn("segment", F.floor(F.col("pkt_no") / SEGMENT_PACKETS))
+    placed = parsed.where(F.col("fmt").isNotNull()).drop("status").withColumn(
+        "segment", F.floor(F.col("pkt_no") / SEGMENT_PACKETS)
+    )
     attached = attach_to_anchor(placed, ["path", "receiver"], ["segment"], "pkt_no").drop("segment")
     return merge_epochs(attached, ["path", "receiver"], "pkt_no"), status
 

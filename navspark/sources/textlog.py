@@ -53,17 +53,20 @@ def interleaved_epochs(
     """Epochs of devices that log all sentence families into one stream of files.
 
     ``lines`` has ``by`` (device identity) plus ``path, block, row, line``. Files of a
-    device follow each other by path. ``durable`` writes the recognised lines to the
-    staging folder once, so that the two places that look at them (segment summaries
-    and detail) see the same blocks even if the scan would be split differently later.
+    device follow each other by path. The text is taken apart once; ``durable`` writes
+    the typed result to the staging folder, because clock and anchor carrying each look
+    at the rows twice (segment summaries and detail) and must see the same blocks even
+    if the scan would be split differently later.
     """
-    located = split_log_lines(lines)
+    parsed = parse_sentences(split_log_lines(lines), validate_checksums=validate_checksums, keep_rejected=True)
+    parsed = parsed.drop("line")
     if durable:
-        located = stage(located.select(*by, "path", "block", "row", "ext_clock", "payload"), "loglines")
-    clocked = carry_clock(located, by)
-    parsed = parse_sentences(clocked, validate_checksums=validate_checksums)
-    parsed = parsed.withColumn("anchor_time", absolute_utc(F.col("utc_of_day"), F.col("ext_clock")))
-    attached = attach_to_anchor(parsed, by, ["path", "block"], "row")
+        parsed = stage(parsed, "sentences")
+    clocked = carry_clock(parsed, by)
+    timed = clocked.withColumn("anchor_time", absolute_utc(F.col("utc_of_day"), F.col("ext_clock")))
+    # Without a sentence clock the row anchors nothing, whatever the logger says.
+    timed = timed.withColumn("anchor_time", F.when(F.col("utc_of_day").isNotNull(), F.col("anchor_time")))
+    attached = attach_to_anchor(timed, by, ["path", "block"], "row")
     # Within one epoch the writers are few; number them in arrival order.
     arrival = Window.partitionBy(*by, "utc_time").orderBy("path", "block", "row")
     return merge_epochs(attached.withColumn("seq", F.row_number().over(arrival)), by, "seq")
