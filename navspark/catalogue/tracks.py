@@ -14,6 +14,7 @@ from navspark.operators.asof import nearest_asof
 from navspark.operators.dynamics import align_epochs, epoch_frame, with_pairs
 from navspark.operators.features import recording_features
 from navspark.operators.inject import inject
+from navspark.operators.neighbours import with_span
 from navspark.operators.ordered import exact_quantiles
 from navspark.operators.windows import (
     assign_windows,
@@ -21,13 +22,12 @@ from navspark.operators.windows import (
     pair_baseline,
     sliding_windows,
     window_features,
-    window_grid,
 )
 from navspark.schema import DERIVED_KEYS, PAIR_KEYS, STATS, drop_families, feature_names, series_keys
 
 WINDOW_S = 86400.0
 STRIDE_S = 43200.0
-MIN_EPOCHS = 20
+MIN_EPOCHS = 4
 TOL_S = 1200.0
 TRANSIT_SOG = 8.0
 TRANSIT_COG = 150.0
@@ -372,8 +372,7 @@ def circular_std_transit(spark, sf_dir):
     epochs = track(spark, sf_dir).where(F.col("receiver") == 1).select(
         "recording", "receiver", "utc_time", "sog_knots", "cog_deg"
     )
-    grid = window_grid(epochs, ["recording"], WINDOW_S, STRIDE_S)
-    placed = assign_windows(epochs, grid, ["recording"], WINDOW_S, STRIDE_S)
+    placed = assign_windows(with_span(epochs, ["recording"], "utc_time", F.lit(True)), WINDOW_S, STRIDE_S)
     keys = ["recording", "window_start"]
     spread = placed.groupBy(*keys).agg(
         circular_std_deg("cog_deg").alias("cog_circ_std_deg"), F.count(F.lit(1)).alias("n_epochs_win")

@@ -136,10 +136,9 @@ def ks_two_sample(
         F.count_if(F.col(first)).alias("_a"), F.count_if(~F.col(first)).alias("_b")
     )
     ranked = running_totals(counts, keys, value, ["_a", "_b"], rows_bound=bound, hot_rows=hot_rows)
-    sizes = counts.groupBy(*keys).agg(F.sum("_a").alias("n_first"), F.sum("_b").alias("n_second")).where(
+    sized = ranked.withColumnsRenamed({"_a_total": "n_first", "_b_total": "n_second"}).where(
         (F.col("n_first") >= min_rows) & (F.col("n_second") >= min_rows)
     )
-    sized = ranked.join(sizes, keys)
 
     def order_statistic(upto: str, position: Column) -> Column:
         return F.min(F.when(F.col(upto) > position, F.col(value)))

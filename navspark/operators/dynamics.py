@@ -25,14 +25,17 @@ DAY_S = 86400.0
 _MOTION = ("lat_deg", "lon_deg", "sog_knots", "cog_deg")
 
 
-def align_epochs(epochs: DataFrame, by: list[str], segment_s: float = 3600.0) -> DataFrame:
+def align_epochs(
+    epochs: DataFrame, by: list[str], segment_s: float = 3600.0, span: bool = False
+) -> DataFrame:
     """Add ``prev`` (own previous epoch) and, on receiver 1, ``lo``/``hi``.
 
     ``lo`` and ``hi`` are the receiver-2 epochs just before and just after. All
     three come from the same pass, so dynamics and pairing share one shuffle.
     Nothing here depends on a window or a tolerance, so sliding windows can reuse
     the result: inside ``[start, start + W)`` the previous epoch is ``prev`` if it is
-    not earlier than ``start``, and the nearest partner is one of ``lo``/``hi``.
+    not earlier than ``start``, and the nearest partner is one of ``lo``/``hi``. ``span``
+    adds receiver 1's first and last time as ``_t0``/``_t1``.
     """
     rows = epochs.withColumn("_segment", F.floor(F.col("utc_time") / segment_s))
     first, second = F.col("receiver") == 1, F.col("receiver") == 2
@@ -48,6 +51,7 @@ def align_epochs(epochs: DataFrame, by: list[str], segment_s: float = 3600.0) ->
             Lookup("lo", second, _MOTION, "back"),
             Lookup("hi", second, _MOTION, "ahead"),
         ],
+        span=first if span else None,
     )
     return (
         found.withColumn("prev", F.when(first, F.col("_prev1")).otherwise(F.col("_prev2")))

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from navspark.functions.geo import displaced, metres_to_lat, metres_to_lon
+from navspark.operators.neighbours import with_span
 
 KINDS = ("drift", "replay")
 
@@ -48,10 +49,10 @@ def inject(
     if kind not in KINDS:
         raise ValueError(f"unknown attack kind {kind!r}; expected one of {KINDS}")
     t = F.col("utc_time")
-    span = frame.groupBy(*by).agg(
-        (F.min(t) + (F.max(t) - F.min(t)) * F.lit(float(onset_frac))).alias("onset_utc")
+    onset = F.col("_t0") + (F.col("_t1") - F.col("_t0")) * F.lit(float(onset_frac))
+    timed = with_span(frame, by, "utc_time", F.lit(True)).withColumn("onset_utc", onset).withColumn(
+        "attacked", t >= F.col("onset_utc")
     )
-    timed = frame.join(span, by).withColumn("attacked", t >= F.col("onset_utc"))
 
     lead = frame.where(F.col("receiver") == 1).select(
         *by, "utc_time", F.col("lat_deg").alias("_lat1"), F.col("lon_deg").alias("_lon1"), F.lit(True).alias("_found")

@@ -39,20 +39,30 @@ def lookup_neighbours(
     key: str,
     lookups: list[Lookup],
     keep: Column | None = None,
+    span: Column | None = None,
 ) -> DataFrame:
     """Add one struct column per look-up.
 
     ``by + segment`` must order consistently with ``key``: all rows of an earlier
     segment precede those of a later one. ``keep`` filters the rows returned, after
-    they have served as neighbours.
+    they have served as neighbours. With ``span``, ``_t0`` and ``_t1`` are the first and
+    last ``key`` of the group's rows that satisfy it; they come out of the same
+    summaries, so no row is joined on the group alone, which may be hot.
     """
     for look in lookups:
         if look.direction not in ("back", "back_strict", "ahead"):
             raise ValueError(f"unknown direction {look.direction!r}")
     place = [*by, *segment]
 
-    summary = df.groupBy(*place).agg(*[agg for look in lookups for agg in _summarise(look, key)])
-    seeds = summary.select(*place, *[_seed(look, by, segment, key) for look in lookups])
+    aggregates = [agg for look in lookups for agg in _summarise(look, key)]
+    bounds = []
+    if span is not None:
+        inside = F.when(span, F.col(key))
+        aggregates += [F.min(inside).alias("_min"), F.max(inside).alias("_max")]
+        group = Window.partitionBy(*by)
+        bounds = [F.min("_min").over(group).alias("_t0"), F.max("_max").over(group).alias("_t1")]
+    summary = df.groupBy(*place).agg(*aggregates)
+    seeds = summary.select(*place, *[_seed(look, by, segment, key) for look in lookups], *bounds)
 
     within = Window.partitionBy(*place)
     rising = within.orderBy(F.col(key))
@@ -71,10 +81,17 @@ def lookup_neighbours(
         )
         for look in lookups
     }
-    out = joined.select(*df.columns, *[col.alias(name) for name, col in found.items()])
+    spans = ["_t0", "_t1"] if span is not None else []
+    out = joined.select(*df.columns, *[col.alias(name) for name, col in found.items()], *spans)
     return out.where(keep) if keep is not None else out
 
 
+def with_span(df: DataFrame, by: list[str], key: str, rows: Column, segment_s: float = 3600.0) -> DataFrame:
+    """Add ``_t0``/``_t1``: first and last ``key`` of each group's ``rows``."""
+    cut = df.withColumn("_segment", F.floor(F.col(key) / segment_s))
+    return lookup_neighbours(cut, by, ["_segment"], key, [], span=rows).drop("_segment")
+
+
 def _row(look: Lookup, key: str) -> Column:
     return F.when(look.matches, F.struct(F.col(key), *[F.col(f) for f in look.fields]))
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from navspark.session import stage
+
 HOT_ROWS = 1_000_000
 BUFFER_ROWS = 50_000
 MAX_PIVOTS = 512
@@ -35,12 +37,16 @@ def value_ranges(counts: DataFrame, keys: list[str], value: str, range_rows: int
     sizes = grouped.agg(F.count(F.lit(1)).alias("_distinct"))
     wanted = F.least(F.ceil(F.col("_distinct") / range_rows) * 4, F.lit(MAX_PIVOTS))
     hot = sizes.where(F.col("_distinct") > range_rows).withColumn("_share", wanted / F.col("_distinct"))
+    # Only large groups have a row here. Written out, the real size of these tables lets
+    # the optimizer choose between broadcasting them and a skew-aware sort-merge join.
+    hot = stage(hot, "hot")
     code = F.pmod(F.xxhash64(*keys, F.col(value)), F.lit(_HASH_SPAN))
     sampled = _join(counts, hot, keys).where(code < F.col("_share") * _HASH_SPAN)
     by_group = sampled.groupBy(*keys) if keys else sampled.groupBy()
     pivots = by_group.agg(F.sort_array(F.collect_list(value)).alias("_pivots")).withColumn(
         "_block_ends", F.filter("_pivots", lambda p, i: i % _BLOCK == _BLOCK - 1)
     )
+    pivots = stage(pivots, "pivots")
     # Two short scans (whole blocks, then inside one block) instead of one long one.
     blocks = F.size(F.filter(F.col("_block_ends"), lambda p: p <= F.col(value)))
     placed = _join(counts, pivots, keys, "left").withColumn("_blocks", blocks)
@@ -68,36 +74,42 @@ def running_totals(
     rows_bound: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add ``<c>_upto``, the inclusive running total of each count by rising value.
+    """Add ``<c>_upto``, the inclusive running total of each count by rising value, and
+    ``<c>_total``, its group total.
 
     ``counts`` has one row per ``keys + value``. ``rows_bound`` is an upper bound on the
     rows of one group that the caller already knows; it is measured otherwise.
     """
     bound = largest_group(counts, keys) if rows_bound is None else rows_bound
+    group = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
+    whole = (Window.unboundedPreceding, Window.currentRow)
     if bound <= hot_rows:
-        upto = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(value).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
+        upto = group.orderBy(value).rowsBetween(*whole)
+        return counts.select(
+            "*",
+            *[F.sum(c).over(upto).alias(f"{c}_upto") for c in totals],
+            *[F.sum(c).over(group).alias(f"{c}_total") for c in totals],
         )
-        return counts.select("*", *[F.sum(c).over(upto).alias(f"{c}_upto") for c in totals])
 
-    ranged = value_ranges(counts, keys, value, hot_rows)
+    # Several passes follow over the collapsed counts, so they are written once.
+    ranged = value_ranges(stage(counts, "counts"), keys, value, hot_rows)
     place = [*keys, "_range"]
-    before = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*place)
         .agg(*[F.sum(c).alias(f"_t_{c}") for c in totals])
-        .select(*place, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in totals])
-    )
-    upto = Window.partitionBy(*place).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        ranged.join(offsets, place)
         .select(
-            *counts.columns,
-            *[(F.sum(c).over(upto) + F.col(f"_o_{c}")).alias(f"{c}_upto") for c in totals],
+            *place,
+            *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in totals],
+            *[F.sum(f"_t_{c}").over(group).alias(f"{c}_total") for c in totals],
         )
     )
+    upto = Window.partitionBy(*place).orderBy(value).rowsBetween(*whole)
+    return ranged.join(offsets, place).select(
+        *counts.columns,
+        *[(F.sum(c).over(upto) + F.col(f"_o_{c}")).alias(f"{c}_upto") for c in totals],
+        *[f"{c}_total" for c in totals],
+    )
 
 
 def exact_quantiles(
@@ -132,16 +144,14 @@ def exact_quantiles(
         return unpacked(weighted.agg(F.percentile(value, spots, F.col("_c")).alias("_q")))
 
     upto = running_totals(counts, keys, value, ["_c"], rows_bound=bound, hot_rows=hot_rows)
-    sizes = (present.groupBy(*keys) if keys else present.groupBy()).agg(F.count(F.lit(1)).alias("_n"))
-    sized = _join(upto, sizes, keys)
-    regrouped = sized.groupBy(*keys) if keys else sized.groupBy()
+    regrouped = upto.groupBy(*keys) if keys else upto.groupBy()
 
     def at(position: Column) -> Column:
         return F.min(F.when(F.col("_c_upto") > position, F.col(value)))
 
     parts, picks = [], []
     for name, p in probs.items():
-        spot = (F.col("_n") - 1) * F.lit(p)
+        spot = (F.col("_c_total") - 1) * F.lit(p)
         parts += [
             at(F.floor(spot)).alias(f"_lo_{name}"),
             at(F.ceil(spot)).alias(f"_hi_{name}"),

@@ -23,12 +23,10 @@ def max_f1_threshold(
     # Counting downwards needs no group total: sort by the negated score.
     falling = counts.withColumn("_down", -F.col(score))
     upto = running_totals(falling, keys, "_down", ["pos", "neg"], rows_bound=bound, hot_rows=hot_rows)
-    sizes = (counts.groupBy(*keys) if keys else counts.groupBy()).agg(F.sum("pos").alias("_all"))
-    sized = upto.join(sizes, keys) if keys else upto.join(F.broadcast(sizes.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
     tp, flagged = F.col("pos_upto").cast("double"), (F.col("pos_upto") + F.col("neg_upto")).cast("double")
-    precision, recall = tp / flagged, tp / F.col("_all")
+    precision, recall = tp / flagged, tp / F.col("pos_total")
     f1 = precision * recall * 2.0 / F.greatest(precision + recall, F.lit(1e-12))
-    scored = sized.where(F.col("_all") > 0).select(*keys, F.col(score).alias("_s"), f1.alias("_f1"))
+    scored = upto.where(F.col("pos_total") > 0).select(*keys, F.col(score).alias("_s"), f1.alias("_f1"))
     best = (scored.groupBy(*keys) if keys else scored.groupBy()).agg(
         F.max(F.struct("_f1", (-F.col("_s")).alias("_neg"))).alias("_best")
     )

@@ -6,41 +6,33 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from navspark.operators.dynamics import MATCH_TOL_S, align_epochs, with_derived, with_pairs
 from navspark.operators.features import series_statistics
-from navspark.operators.ordered import HOT_ROWS, largest_group
+from navspark.operators.neighbours import with_span
+from navspark.operators.ordered import HOT_ROWS, exact_quantiles, largest_group
 from navspark.schema import feature_names, raw_keys, series_keys
+from navspark.session import stage
 
 # Fixed value: slack that lets a window end exactly on the last epoch.
 END_SLACK_S = 1e-9
 
 
-def window_grid(epochs: DataFrame, by: list[str], window_s: float, stride_s: float) -> DataFrame:
-    """First and last epoch of receiver 1 per track and the index of the last window that fits."""
-    spans = epochs.where(F.col("receiver") == 1).groupBy(*by).agg(
-        F.min("utc_time").alias("_t0"), F.max("utc_time").alias("_t1")
-    )
-    last = F.floor((F.col("_t1") + END_SLACK_S - window_s - F.col("_t0")) / stride_s)
-    return spans.withColumn("_k_last", last)
-
-
-def assign_windows(
-    rows: DataFrame, grid: DataFrame, by: list[str], window_s: float, stride_s: float
-) -> DataFrame:
+def assign_windows(rows: DataFrame, window_s: float, stride_s: float) -> DataFrame:
     """One row per (epoch, window it lies in), half-open ``[start, start + window_s)``.
 
+    ``rows`` carry the track's ``_t0`` and ``_t1``; only windows that end by ``_t1`` exist.
     The candidate range is widened by one on both sides and then tested exactly, so
     rounding in the divisions cannot lose or add a window.
     """
     since = F.col("utc_time") - F.col("_t0")
+    last = F.floor((F.col("_t1") + END_SLACK_S - window_s - F.col("_t0")) / stride_s) + 1
     low = F.greatest(F.floor((since - window_s) / stride_s), F.lit(0))
-    high = F.least(F.floor(since / stride_s) + 1, F.col("_k_last") + 1)
+    high = F.least(F.floor(since / stride_s) + 1, last)
     # A sequence with low > high would count downwards.
-    spread = rows.join(grid, by).where(low <= high).withColumn("_k", F.explode(F.sequence(low, high)))
-    start = F.col("_t0") + F.col("_k") * F.lit(float(stride_s))
-    placed = spread.withColumn("window_start", start)
+    spread = rows.where(F.col("_t0").isNotNull() & (low <= high)).withColumn("_k", F.explode(F.sequence(low, high)))
+    placed = spread.withColumn("window_start", F.col("_t0") + F.col("_k") * F.lit(float(stride_s)))
     begin = F.col("window_start")
     inside = (F.col("utc_time") >= begin) & (F.col("utc_time") < begin + window_s)
     fits = begin + window_s <= F.col("_t1") + END_SLACK_S
-    return placed.where(inside & fits).drop("_t0", "_t1", "_k_last", "_k")
+    return placed.where(inside & fits).drop("_t0", "_t1", "_k")
 
 
 def sliding_windows(
@@ -52,8 +44,7 @@ def sliding_windows(
 ) -> DataFrame:
     """Windows with enough receiver-1 epochs: ``by, window_start, n_epochs``."""
     first = epochs.where(F.col("receiver") == 1).select(*by, "receiver", "utc_time")
-    grid = window_grid(first, by, window_s, stride_s)
-    placed = assign_windows(first, grid, by, window_s, stride_s)
+    placed = assign_windows(with_span(first, by, "utc_time", F.lit(True)), window_s, stride_s)
     return (
         placed.groupBy(*by, "window_start")
         .agg(F.count(F.lit(1)).alias("n_epochs"))
@@ -93,9 +84,8 @@ def window_features(
     """
     wanted = list(dict.fromkeys([*by, "receiver", "utc_time", "lat_deg", "lon_deg",
                                  "sog_knots", "cog_deg", *raw_keys(profile)]))
-    rows = align_epochs(epochs.select(*wanted), by, segment_s)
-    grid = window_grid(epochs, by, window_s, stride_s)
-    placed = assign_windows(rows, grid, by, window_s, stride_s)
+    rows = align_epochs(epochs.select(*wanted), by, segment_s, span=True)
+    placed = assign_windows(rows, window_s, stride_s)
     begin = F.col("window_start")
     clipped = (
         placed.withColumn("prev", F.when(F.col("prev.utc_time") >= begin, F.col("prev")))
@@ -141,10 +131,9 @@ def _window_bound(epochs: DataFrame, by: list[str], window_s: float, hot_rows: i
 
 def pair_baseline(windows: DataFrame, by: list[str], column: str = "inter_rx_distance_m_median") -> DataFrame:
     """Median and median absolute deviation of the pair distance over a track's windows."""
-    from navspark.operators.ordered import exact_quantiles
-
     present = windows.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))
-    centre = exact_quantiles(present, by, "_v", {"median": 0.5})
+    # One row per track; once written, its real size tells the optimizer how to join it.
+    centre = stage(exact_quantiles(present, by, "_v", {"median": 0.5}), "centre")
     spread = present.join(centre, by).withColumn("_gap", F.abs(F.col("_v") - F.col("median")))
     mad = exact_quantiles(spread, by, "_gap", {"mad": 0.5})
     size = present.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))

@@ -45,12 +45,22 @@ def discover_files(spark: SparkSession, device_dir: str, families=FAMILIES) -> D
 
 
 def read_device_lines(spark: SparkSession, device_dir: str, families=FAMILIES) -> DataFrame:
-    """Lines of the discovered files with ``family`` and ``stamp``.
+    """Lines of the discovered files with ``family`` and ``stamp`` from the file name.
 
-    The file list is one row per file, so the join that keeps only wanted files is
-    left to the optimizer; it becomes a broadcast when the list is small.
+    The file list decides what is scanned (an archive holds many unused families); it is
+    as long as the directory listing the scan itself keeps on the driver.
     """
-    return read_lines(spark, device_dir, recursive=True).join(discover_files(spark, device_dir, families), "path")
+    paths = [r["path"] for r in discover_files(spark, device_dir, families).collect()]
+    if not paths:
+        return spark.createDataFrame(
+            [], "path string, block bigint, row bigint, line string, family string, stamp string"
+        )
+    return read_lines(spark, paths).withColumns(
+        {
+            "family": F.upper(F.regexp_extract("path", FILE_NAME, 3)),
+            "stamp": F.regexp_extract("path", FILE_NAME, 4),
+        }
+    )
 
 
 def earliest_per_bucket(rows: DataFrame, by: list[str], on: str, bucket_s: float = 1.0) -> DataFrame:

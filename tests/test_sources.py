@@ -271,6 +271,12 @@ def test_first_attachment_wins(spark, tmp_path):
     assert (row["attached"], row["attach_dropped"], row["lag_s"]) == (2, 2, 0.0)
 
 
+def test_archive_without_files(spark, tmp_path):
+    m.write_lines(str(tmp_path / "dev" / "notes.txt"), ["nothing"])
+    epochs, stats = read_pair(spark, "c", str(tmp_path / "dev"))
+    assert epochs.count() == 0 and stats.count() == 0
+
+
 def test_decimation_keeps_the_earliest(spark):
     df = spark.createDataFrame([("d", 1.9), ("d", 1.2), ("d", 2.0), ("e", 1.5)], "k string, t double")
     assert sorted((r["k"], r["t"]) for r in earliest_per_bucket(df, ["k"], "t").collect()) == [("d", 1.2), ("d", 2.0), ("e", 1.5)]
