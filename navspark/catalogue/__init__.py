@@ -26,6 +26,13 @@ def all_queries() -> dict[str, Query]:
     return found
 
 
+# Microseconds since 1970 of the zone-less column ``ts``, whatever the session time zone.
+MICROS = (
+    "(unix_date(CAST(ts AS DATE)) * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L"
+    " + CAST(extract(SECOND FROM ts) * 1000000 AS BIGINT))"
+)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

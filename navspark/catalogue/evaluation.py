@@ -238,7 +238,7 @@ FROM r GROUP BY lang"""
 
 
 def mcnemar(spark, sf_dir):
-    return mcnemar_table(_contingency(spark, sf_dir), ["lang"])
+    return mcnemar_table(_contingency(spark, sf_dir))
 
 
 def vote_recall(spark, sf_dir):

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from navspark.catalogue import Query, read, rounded
+from navspark.catalogue import MICROS, Query, read, rounded
 from navspark.functions.clock import absolute_utc, split_log_lines
 from navspark.functions.nmea import FIELD_SOURCES, checksum_ok, formatter, parse_sentences, xor_of
 from navspark.functions.once import computed_once
@@ -59,10 +59,9 @@ _ENDING_DUCK = "CASE WHEN value > 90 THEN '' WHEN value < 3 THEN '*00' ELSE conc
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``device, event_id, ts_s, payload``."""
     events = read(spark, sf_dir, "events")
-    us = "unix_micros(CAST(ts AS TIMESTAMP))"
     body = events.select(
         F.expr("CAST(user_id % 2 AS INT)").alias("device"), "event_id", "event_type", "user_id", "value",
-        F.expr(us).alias("us"), F.expr(BODY.replace("{us}", us)).alias("_body"),
+        F.expr(MICROS).alias("us"), F.expr(BODY.replace("{us}", MICROS)).alias("_body"),
     )
     summed = body.withColumn("_xor", xor_of(F.col("_body")))
     written = summed.select(
@@ -197,10 +196,9 @@ END"""
 
 
 def _lines(spark, sf_dir) -> DataFrame:
-    us = "unix_micros(CAST(ts AS TIMESTAMP))"
     lines = read(spark, sf_dir, "events").select(
-        F.expr("CAST(user_id % 2 AS INT)").alias("device"), "event_id", F.expr(f"{us} % 86400000000 / 1e6").alias("of_day"),
-        F.expr(LINE.replace("{us}", us)).alias("line"),
+        F.expr("CAST(user_id % 2 AS INT)").alias("device"), "event_id", F.expr(f"{MICROS} % 86400000000 / 1e6").alias("of_day"),
+        F.expr(LINE.replace("{us}", MICROS)).alias("line"),
     )
     return computed_once(lines, ["line"])
 

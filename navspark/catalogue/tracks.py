@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from navspark.catalogue import Query, read, rounded
+from navspark.catalogue import MICROS, Query, read, rounded
 from navspark.operators.asof import nearest_asof
 from navspark.operators.dynamics import align_epochs, epoch_frame, with_pairs
 from navspark.operators.features import recording_features
@@ -65,7 +65,7 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").select(
         F.col("event_type").alias("recording"),
         F.expr("CAST(1 + user_id % 2 AS INT)").alias("receiver"),
-        F.expr("unix_micros(CAST(ts AS TIMESTAMP)) / 1e6").alias("utc_time"),
+        F.expr(f"{MICROS} / 1e6").alias("utc_time"),
         "event_id", "user_id", F.expr(READING).alias("value"),
     )
     merged = events.groupBy("recording", "receiver", "utc_time").agg(
@@ -443,7 +443,7 @@ def shared_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = read(spark, sf_dir, "events").select(
         F.col("event_type").alias("recording"),
         F.expr("CAST(1 + user_id % 2 AS INT)").alias("receiver"),
-        F.expr("floor(unix_micros(CAST(ts AS TIMESTAMP)) / 6e8) * 600e0").alias("utc_time"),
+        F.expr(f"floor({MICROS} / 6e8) * 600e0").alias("utc_time"),
         "event_id", "user_id", "value",
     )
     merged = ticks.groupBy("recording", "receiver", "utc_time").agg(

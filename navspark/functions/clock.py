@@ -13,9 +13,15 @@ SCS_LINE = r"^\d{2}/\d{2}/\d{4},\d{2}:\d{2}:\d{2}(\.\d+)?,[$!]"
 ISO_LINE = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?)[,\s]+([$!].*)$"
 
 
-def _seconds(calendar: Column, pattern: str, fraction: Column) -> Column:
-    whole = F.unix_seconds(F.try_to_timestamp(calendar, F.lit(pattern)))
-    return whole.cast("double") + F.coalesce(F.concat(F.lit("0."), fraction).try_cast("double"), F.lit(0.0))
+def _seconds(date: Column, time: Column, fraction: Column) -> Column:
+    """UTC seconds of ``YYYY-MM-DD`` and ``HH:MM:SS``; NULL where that is no calendar time.
+
+    Plain arithmetic, so the session time zone plays no part.
+    """
+    h, m, s = (F.substring(time, at, 2).try_cast("int") for at in (1, 4, 7))
+    day = F.unix_date(date.try_cast("date")).cast("double")
+    whole = F.when((h < 24) & (m < 60) & (s < 60), day * DAY_S + h * 3600 + m * 60 + s)
+    return whole + F.coalesce(F.concat(F.lit("0."), fraction).try_cast("double"), F.lit(0.0))
 
 
 def _fraction(time_text: Column) -> Column:
@@ -40,13 +46,12 @@ def split_log_lines(df: DataFrame, line: str = "line") -> DataFrame:
     stamp = F.when(kind == "scs", F.substring_index(t, ",", 2)).when(kind == "iso", F.regexp_extract(t, ISO_LINE, 1))
     staged = staged.withColumn("_stamp", stamp)
     s = F.col("_stamp")
+    month, day, year = (F.substring(s, at, n) for at, n in ((1, 2), (4, 2), (7, 4)))
     ext = F.when(
-        kind == "scs", _seconds(F.translate(F.substring(s, 1, 19), ",", " "), "MM/dd/yyyy HH:mm:ss", _fraction(s))
+        kind == "scs", _seconds(F.concat_ws("-", year, month, day), F.substring(s, 12, 8), _fraction(s))
     ).when(
         kind == "iso",
-        _seconds(
-            F.translate(F.substring(s, 1, 19), "T", " "), "yyyy-MM-dd HH:mm:ss", _fraction(F.rtrim(s, F.lit("Z")))
-        ),
+        _seconds(F.substring(s, 1, 10), F.substring(s, 12, 8), _fraction(F.rtrim(s, F.lit("Z")))),
     )
     payload = (
         F.when(kind == "scs", t.substr(F.length(s) + 2, F.length(t)))

@@ -134,7 +134,7 @@ def base_rate_analysis(
     return counts.select(*keys, "tn", "fp", "fn", "tp").mapInPandas(rates, fields)
 
 
-def mcnemar_table(tables: DataFrame, keys: list[str]) -> DataFrame:
+def mcnemar_table(tables: DataFrame) -> DataFrame:
     """Add ``p_value`` to contingency counts."""
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tables.schema.fields)
 

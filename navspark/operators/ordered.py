@@ -18,6 +18,7 @@ from navspark.session import stage
 
 HOT_ROWS = 1_000_000
 BUFFER_ROWS = 50_000
+BUFFER_CELLS = 400_000
 MAX_PIVOTS = 512
 _HASH_SPAN = 1 << 30
 _BLOCK = 16
@@ -122,9 +123,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    While a group fits a bounded buffer this is the built-in exact ``percentile``;
-    beyond that the two order statistics around each position are looked up in the
-    running totals.
+    While a group fits a small buffer this is the built-in exact ``percentile``; beyond
+    that the two order statistics around each position are looked up in the running
+    totals.
     """
     bound = largest_group(df, keys) if rows_bound is None else rows_bound
     grouped = df.groupBy(*keys) if keys else df.groupBy()
@@ -136,13 +137,9 @@ def exact_quantiles(
     if bound <= BUFFER_ROWS:
         return unpacked(grouped.agg(F.percentile(value, spots).alias("_q")))
 
-    # Equal values collapse in a compiled aggregate before any buffer or sort sees them.
+    # Equal values collapse in a compiled aggregate; the rest is a sort that can spill.
     present = df.where(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    if bound <= hot_rows:
-        weighted = counts.groupBy(*keys) if keys else counts.groupBy()
-        return unpacked(weighted.agg(F.percentile(value, spots, F.col("_c")).alias("_q")))
-
     upto = running_totals(counts, keys, value, ["_c"], rows_bound=bound, hot_rows=hot_rows)
     regrouped = upto.groupBy(*keys) if keys else upto.groupBy()
 
@@ -164,7 +161,7 @@ def exact_quantiles(
 
 def fits_buffer(rows: int, columns: list[str], hot_rows: int = HOT_ROWS) -> bool:
     """Whether all values of a group, over all columns, may sit in one aggregation buffer."""
-    return rows * max(len(columns), 1) <= hot_rows * 4
+    return rows * max(len(columns), 1) <= min(hot_rows, BUFFER_CELLS)
 
 
 def column_quantiles(
@@ -202,7 +199,5 @@ def column_quantiles(
 
 def melt(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Long form ``keys, feature, value``."""
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-    )
-    return df.select(*keys, pairs.alias("_pair")).select(*keys, "_pair.feature", "_pair.value")
+    typed = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    return typed.unpivot(keys, columns, "feature", "value")

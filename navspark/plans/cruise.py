@@ -8,7 +8,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from navspark.operators.audit import ks_two_sample
-from navspark.operators.features import ordered_for_export
 from navspark.operators.ordered import melt
 from navspark.operators.windows import pair_baseline, window_features
 from navspark.schema import family_of
@@ -17,9 +16,6 @@ from navspark.sources.r2r import read_pair
 from navspark.sources.tables import write_epoch_series, write_feature_table, write_report
 from navspark.sources.textlog import interleaved_epochs, read_devices
 
-TAGS = ["n_epochs_win", "sog_med_kn", "cog_circ_std_deg", "transit_tag"]
-
-
 def log_windows(
     spark: SparkSession,
     real_dir: str,
@@ -77,7 +73,7 @@ def prepare_cruise(
 
 def _write(result: dict[str, DataFrame], out: str, cruise_id: str) -> None:
     windows = result["windows"]
-    write_report(windows, f"{out}/windows.csv", ["window_start"])
+    write_feature_table(windows, f"{out}/windows.csv", "csv")
     write_epoch_series(result["epochs"], f"{out}/epochs", ["receiver"])
     if "ks_audit" in result:
         write_report(result["ks_audit"], f"{out}/ks_audit.csv")
@@ -113,6 +109,3 @@ def divergence_audit(windows: DataFrame, labelled: DataFrame, top: int | None =
     ranked = table.orderBy(F.col("ks_stat").desc(), "feature")
     return ranked.limit(top) if top else ranked
 
-
-def export_order(windows: DataFrame) -> DataFrame:
-    return ordered_for_export(windows, ["cruise_id", "window_start"], TAGS)

@@ -203,7 +203,7 @@ def with_baseline(
         same_rows = both.select("classifier", "y", "pred").unionByName(valid.select("classifier", "y", "pred"))
         out["overall_results_baseline_subset"] = confusion_metrics(same_rows, ["classifier"])
     tables = contingency(both, ["classifier"], F.col("pred") == F.col("y"), F.col("baseline") == F.col("y"))
-    out["mcnemar"] = mcnemar_table(tables, ["classifier"]).select(
+    out["mcnemar"] = mcnemar_table(tables).select(
         "classifier", F.lit(BASELINE).alias("vs"), "p_value"
     )
     return out
