@@ -52,7 +52,6 @@ def prepare_cruise(
 ) -> dict[str, DataFrame]:
     """Windows, epochs, device statistics, pair baseline and (with ``labelled``) KS audit."""
     epochs, stats = read_pair(spark, cruise_id, rx1_dir, rx2_dir, validate_checksums=validate_checksums)
-    epochs = stage(epochs, "epochs")
     windows = stage(
         window_features(
             epochs, ["cruise_id"], window_s, stride_s, min_epochs, "deployable",

@@ -14,6 +14,7 @@ from navspark.functions.nmea import ANCHORS, FIELD_SOURCES, parse_sentences
 from navspark.operators.asof import nearest_asof
 from navspark.operators.epochs import canonical_motion
 from navspark.operators.ordered import exact_quantiles
+from navspark.session import stage
 from navspark.sources.textlog import read_lines
 
 # File name layout, families and their roles.
@@ -76,8 +77,13 @@ def split_family_epochs(
     decimate_1hz: bool = True,
     attach_tol: float = ATTACH_TOL_S,
 ) -> tuple[DataFrame, DataFrame]:
-    """Epochs and per-device statistics (``lag_s, attached, attach_dropped, n_epochs``)."""
-    rows = parse_sentences(split_log_lines(lines), validate_checksums=validate_checksums)
+    """Epochs and per-device statistics (``lag_s, attached, attach_dropped, n_epochs``).
+
+    Latency, epoch grid, attachment and statistics all start from the parsed lines, so
+    these and the grid are written once instead of being parsed again for each.
+    """
+    parsed = parse_sentences(split_log_lines(lines), validate_checksums=validate_checksums)
+    rows = stage(parsed.drop("line", "snrs"), "sentences")
     readable = rows.where(F.col("family").isin(*ANCHOR_FAMILIES) & F.col("source").isin(*ANCHORS))
     anchors = readable.withColumn(
         "utc_time", absolute_utc(F.col("utc_of_day"), F.col("ext_clock"))
@@ -87,6 +93,8 @@ def split_family_epochs(
         anchors.select(*by, (F.col("ext_clock") - F.col("utc_time")).alias("_offset")),
         by, "_offset", {"lag_s": 0.5},
     ).withColumn("lag_s", F.coalesce("lag_s", F.lit(0.0)))
+    # One row per device; written, its real size decides how it is joined.
+    lags = stage(lags, "lags")
 
     # RMC files are read after GGA files and overwrite them. One shuffle on the second
     # serves numbering, merging and decimation alike.
@@ -105,7 +113,7 @@ def split_family_epochs(
     if decimate_1hz:
         first = Window.partitionBy(*by, "_second").orderBy("utc_time")
         merged = merged.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    grid = merged.drop("_second")
+    grid = stage(merged.drop("_second"), "grid")
 
     clocked = rows.where(F.col("family").isin(*ATTACH_FAMILIES)).join(lags, by)
     eligible = F.col("fmt").isin(*ATTACHABLE) & F.col("ext_clock").isNotNull()
@@ -123,7 +131,7 @@ def split_family_epochs(
         F.count(F.lit(1)).alias("_n_attached"),
     )
 
-    joined = grid.join(attached, [*by, "utc_time"], "left")
+    joined = stage(grid.join(attached, [*by, "utc_time"], "left"), "attached")
 
     def settled(name: str, sources: tuple[str, ...]):
         held = F.lit(False)
