@@ -1,4 +1,4 @@
-"""Detector training on ``embeddings``: fit on even-numbered folds of a hash, score the rest."""
+"""Detector training on ``embeddings``: three quarters by hash train, the rest is scored."""
 
 from __future__ import annotations
 
