@@ -10,12 +10,36 @@ from pyspark.sql import functions as F
 from navspark.llm.common import crc_fold, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from navspark.llm.lines import repeated_lines
+
+    found = repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped_lines"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from navspark.llm.sharding import balanced_shards
 
     return balanced_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from navspark.llm.chat import perspectives
+
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from navspark.llm.quality import learn, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = learn(docs, labels.where(crc_fold(F.col("doc_id"), 5) != 0))
+    held_out = crc_fold(F.col("doc_id"), 5) == 0
+    return score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from navspark.llm.decontaminate import contaminated
 
@@ -23,12 +47,24 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from navspark.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from navspark.llm.jaccard import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from navspark.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from navspark.llm.mixing import mix
 
@@ -45,9 +81,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
@@ -125,4 +166,70 @@ scored AS (
 SELECT doc_id, item_id, CAST(max(similarity) AS DOUBLE) AS similarity FROM scored WHERE similarity >= 0.75 GROUP BY doc_id, item_id
 """
 
-SQL: dict[str, str] = {"op7_jaccard_join": _JACCARD, "op5_decontamination": _LEAKS}
+# Lines of 20 and more characters share one of three segments of the shorter line if two edits part them.
+_LINES = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+),
+kinds AS (
+    SELECT line, length(line) AS n, min((doc_id, line_no)) AS first FROM lines WHERE trim(line, ' ') <> '' GROUP BY line
+),
+cuts AS (
+    SELECT line, n, i, i * (n // 3) + greatest(0, i - (3 - n % 3)) AS start, n // 3 + CASE WHEN i >= 3 - n % 3 THEN 1 ELSE 0 END AS size
+    FROM kinds, range(3) r(i) WHERE n >= 20
+),
+keys AS (SELECT line, n, start, size, substring(line, start + 1, size) AS piece FROM cuts),
+sizes AS (SELECT DISTINCT n, start, size FROM keys),
+asks AS (
+    SELECT k.line, s.n AS other, s.start, substring(k.line, s.start + shift + 1, s.size) AS piece
+    FROM kinds k JOIN sizes s ON k.n >= 20 AND k.n BETWEEN s.n AND s.n + 2, range(-2, 3) t(shift) WHERE s.start + shift >= 0
+),
+pairs AS (
+    SELECT DISTINCT k.line AS x, a.line AS y FROM keys k JOIN asks a ON k.n = a.other AND k.start = a.start AND k.piece = a.piece AND k.line <> a.line
+),
+links AS (SELECT x, y FROM pairs WHERE levenshtein(x, y) <= 2),
+near AS (
+    SELECT DISTINCT q.line FROM (SELECT x, y FROM links UNION SELECT y, x FROM links) l
+    JOIN kinds p ON p.line = l.x JOIN kinds q ON q.line = l.y WHERE p.first < q.first
+),
+gone AS (
+    SELECT l.doc_id, count(*) AS n_dropped, string_agg(l.line_no, ',' ORDER BY l.line_no) AS dropped_lines
+    FROM lines l JOIN kinds k USING (line) LEFT JOIN near ON near.line = l.line
+    WHERE near.line IS NOT NULL OR k.first < (l.doc_id, l.line_no) GROUP BY l.doc_id
+)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS n_lines,
+    coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped_lines, '') AS dropped_lines
+FROM documents LEFT JOIN gone USING (doc_id)
+"""
+
+_CHAT = r"""
+WITH turns AS (
+    SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS content
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+seats AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
+seen AS (
+    SELECT conv_id, perspective, turn, speaker, content,
+        CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
+        CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker END AS name
+    FROM turns JOIN seats USING (conv_id)
+),
+headed AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM seen),
+shown AS (SELECT *, head || content || '<|im_end|>' || chr(10) AS rendered FROM headed),
+placed AS (
+    SELECT *, row_number() OVER w - 1 AS position,
+        CAST(sum(length(rendered)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - length(rendered) AS start_char
+    FROM shown WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, content)
+)
+SELECT conv_id, perspective, position, turn, role, name, rendered, start_char,
+    CASE WHEN role = 'assistant' THEN start_char + length(head) END AS mask_start,
+    CASE WHEN role = 'assistant' THEN start_char + length(rendered) - 1 END AS mask_end
+FROM placed
+"""
+
+SQL: dict[str, str] = {
+    "op1_line_dedup": _LINES,
+    "op3_chat_formatting": _CHAT,
+    "op5_decontamination": _LEAKS,
+    "op7_jaccard_join": _JACCARD,
+}
