@@ -62,7 +62,8 @@ def contaminated(
     repetitions. The best window of each pair is returned, the first of equals.
 
     Windows start at shingles that the benchmark has, and hold enough of them to reach the similarity; no
-    other window can pass the exact check unless one of these does. Null, empty and blank texts, on either side,
+    other window can pass the exact check unless one of these does. An item of fewer than ``width``
+    words is no passage and matches only a document of just these words. Null, empty and blank texts, on either side,
     match nothing. An item repeated under several ids matches under each; repeated documents
     give one row per id and item. Rows without an id are left out.
     """

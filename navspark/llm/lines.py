@@ -183,7 +183,8 @@ def repeated_lines(
 
 def without_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the dropped lines taken out of the text."""
-    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    kept = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(F.coalesce("_dropped", F.array().cast("array<int>")), i))
-    joined = docs.join(gone, F.col(id_col) == F.col("_id"), "left")
-    return joined.withColumn(text_col, F.array_join(kept, "\n")).select(*docs.columns)
+    gone = dropped.select(F.col("doc_id").alias("gone_id"), F.col("dropped").alias("gone_lines"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(gone, F.col(f"row.{id_col}") == F.col("gone_id"), "left")
+    none = F.array().cast("array<int>")
+    kept = F.filter(F.split(f"row.{text_col}", "\n", -1), lambda _, i: ~F.array_contains(F.coalesce("gone_lines", none), i))
+    return rows.select(F.col("row").withField(text_col, F.array_join(kept, "\n")).alias("row")).select("row.*")

@@ -173,15 +173,15 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Rows that share id, source and size are told apart by their order within that id.
     """
     names = {k: options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
-    keys = [F.col(names["id_col"]).alias("_id"), F.col(names["source_col"]).cast("string").alias("_source")]
-    size = F.coalesce(F.regexp_count(F.col(names["text_col"]), F.lit(WORD)), F.lit(0)).cast("long").alias("_size")
-    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("_id")))
-    left = docs.select("*", *keys, size).withColumn("_turn", turn)
-    counts = mix(docs, **options).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
-    )
-    right = counts.withColumn("_turn", turn).select(*[F.col(c).alias(f"{c}r") for c in ("_id", "_source", "_size", "_turn")], "_copies")
-    same = F.col("_id").eqNullSafe(F.col("_idr")) & F.col("_source").eqNullSafe(F.col("_sourcer"))
-    same = same & (F.col("_size") == F.col("_sizer")) & (F.col("_turn") == F.col("_turnr"))
-    repeated = left.join(right, same).where("_copies > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    size = F.coalesce(F.regexp_count(F.col(names["text_col"]), F.lit(WORD)), F.lit(0)).cast("long")
+    key = F.struct(F.col(names["id_col"]).alias("id"), F.col(names["source_col"]).cast("string").alias("source"), size.alias("size"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key"))).alias("turn")
+    # The rows travel in one column, so that no name of theirs can clash.
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key")).select("row", "key", turn)
+    counts = mix(docs, **options).select(F.struct(F.col("doc_id").alias("id"), "source", "size").alias("key"), "copies")
+    right = counts.select(F.col("key").alias("own"), "copies", turn.alias("place"))
+    same = F.col("turn") == F.col("place")
+    for part in ("id", "source", "size"):
+        same = same & F.col(f"key.{part}").eqNullSafe(F.col(f"own.{part}"))
+    repeated = left.join(right, same).where("copies > 0")
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
