@@ -17,7 +17,7 @@ from navspark.operators.metrics import (
     precision_at_prevalence,
     roc_auc,
 )
-from navspark.operators.thresholds import evaluate_thresholds, fpr_target_thresholds, max_f1_threshold
+from navspark.operators.thresholds import DEFAULT_THRESHOLD, evaluate_thresholds, fpr_target_thresholds, max_f1_threshold
 
 MEASURES = {
     "chars": "CAST(n_chars AS DOUBLE)",
@@ -151,17 +151,12 @@ MAX_F1_SQL = f"WITH {DOCS_SQL}, {_F1_SQL} SELECT lang, round(score, 9) AS thresh
 
 
 def policy_evaluation(spark, sf_dir):
-    """Each policy's threshold from validation rows (toxic = 0), scored on the others."""
-    from navspark.operators.thresholds import pick_threshold
-
+    """Each policy's threshold from validation rows (toxic = 0), scored on the others (toxic = 1)."""
     docs = documents(spark, sf_dir)
-    validation, test = docs.where("toxic = 0"), docs
-    chosen = {
-        "default_0.5": pick_threshold(validation, "default"),
-        "val_max_f1": pick_threshold(validation, "val_max_f1"),
-        **{f"fpr_target_{t:g}": pick_threshold(validation, "fpr_target", t) for t in TARGETS},
-    }
-    return rounded(evaluate_thresholds(test, chosen), ["threshold", *_RATES])
+    validation = docs.where("toxic = 0").select("score", "y")
+    best, cuts = max_f1_threshold(validation, []).first(), fpr_target_thresholds(validation, [], TARGETS).first()
+    chosen = {"default_0.5": DEFAULT_THRESHOLD, "val_max_f1": best["threshold"], **cuts.asDict()}
+    return rounded(evaluate_thresholds(docs.where("toxic = 1"), chosen), ["threshold", *_RATES])
 
 
 POLICY_SQL = f"""
@@ -175,7 +170,7 @@ pol AS (
   UNION ALL SELECT 'fpr_target_0.01', (SELECT quantile_cont(score, 0.99) FROM val WHERE y = 0)
   UNION ALL SELECT 'fpr_target_0.05', (SELECT quantile_cont(score, 0.95) FROM val WHERE y = 0)
 ),
-k AS (SELECT policy, threshold, {_COUNTS_SQL} FROM (SELECT *, CAST(score >= threshold AS INT) AS p FROM docs CROSS JOIN pol) GROUP BY policy, threshold)
+k AS (SELECT policy, threshold, {_COUNTS_SQL} FROM (SELECT *, CAST(score >= threshold AS INT) AS p FROM docs CROSS JOIN pol WHERE toxic = 1) GROUP BY policy, threshold)
 SELECT policy, round(threshold, 6) AS threshold, tn, fp, fn, tp, {_RATES_SQL} FROM k"""
 
 

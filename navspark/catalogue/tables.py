@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from navspark.catalogue import Query, read, rounded
 from navspark.operators.audit import ks_two_sample
-from navspark.operators.ordered import column_quantiles, melt
+from navspark.operators.ordered import column_quantiles, exact_quantiles, melt
 from navspark.operators.prep import PrepOptions, correlation_matrix, fit_prep, iterative_corr_filter
 from navspark.operators.splits import (
     class_quota,
@@ -228,6 +228,38 @@ CORR_SQL = f"WITH {FEATURES_SQL} " + " UNION ALL ".join(
 )
 
 
+_DIMS = 64
+
+
+def corr_pairs_wide(spark, sf_dir):
+    """Correlation of every pair of vector components, each with gaps of its own: rows that have both count."""
+    rows = read(spark, sf_dir, "embeddings").select(
+        *[F.when(F.col("vec_id") % 7 != i % 7, F.get("embedding", F.lit(i)).cast("double")).alias(f"c{i}") for i in range(_DIMS)]
+    )
+    matrix = correlation_matrix(rows, rows.columns)
+    cells = [(i, j, round(float(matrix[i, j]), 6)) for i in range(_DIMS) for j in range(i + 1, _DIMS)]
+    return spark.createDataFrame(cells, "a long, b long, r double")
+
+
+CORR_WIDE_SQL = f"""
+WITH cells AS (
+  SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range({_DIMS}) t(i) WHERE vec_id % 7 <> i % 7
+)
+SELECT p.i AS a, q.i AS b, round(corr(p.x, q.x), 6) AS r FROM cells p JOIN cells q ON p.vec_id = q.vec_id AND p.i < q.i GROUP BY ALL"""
+
+
+def quantiles_with_empty_group(spark, sf_dir):
+    """Quantiles per class; one class has no value at all and keeps its row."""
+    rows = features(spark, sf_dir).select("l_returnflag", F.when(F.col("l_returnflag") != "N", F.col("cube")).alias("cube"))
+    return rounded(exact_quantiles(rows, ["l_returnflag"], "cube", {"q10": 0.1, "median": 0.5, "q99": 0.99}), ["q10", "median", "q99"])
+
+
+EMPTY_GROUP_SQL = f"""
+WITH {FEATURES_SQL}, x AS (SELECT l_returnflag, CASE WHEN l_returnflag <> 'N' THEN cube END AS cube FROM feats)
+SELECT l_returnflag, {', '.join(f'round(quantile_cont(cube, {q}), 6) AS {n}' for n, q in (('q10', 0.1), ('median', 0.5), ('q99', 0.99)))}
+FROM x GROUP BY l_returnflag"""
+
+
 def corr_filter(spark, sf_dir):
     """Columns an iterative correlation filter drops, in order, with near copies present."""
     rows = features(spark, sf_dir).select(
@@ -239,7 +271,8 @@ def corr_filter(spark, sf_dir):
 
 
 def _ks(spark, sf_dir) -> DataFrame:
-    long = melt(features(spark, sf_dir).where(F.col("l_returnflag").isin("A", "R")), ["l_returnflag"], NUMERIC)
+    """Lines of return flag A against all others."""
+    long = melt(features(spark, sf_dir), ["l_returnflag"], NUMERIC)
     return ks_two_sample(long.withColumn("is_first", F.col("l_returnflag") == "A"))
 
 
@@ -249,7 +282,7 @@ def ks_two_sample_query(spark, sf_dir):
 
 _KS_SQL = f"""
 WITH {FEATURES_SQL}, {_LONG_SQL},
-x AS (SELECT feature, value, l_returnflag = 'A' AS a FROM long WHERE value IS NOT NULL AND l_returnflag IN ('A', 'R')),
+x AS (SELECT feature, value, l_returnflag = 'A' AS a FROM long WHERE value IS NOT NULL),
 n AS (SELECT feature, count(*) FILTER (WHERE a) AS n_first, count(*) FILTER (WHERE NOT a) AS n_second,
              median(value) FILTER (WHERE a) AS first_median, median(value) FILTER (WHERE NOT a) AS second_median FROM x GROUP BY feature),
 c AS (SELECT feature, value, count(*) FILTER (WHERE a) AS ca, count(*) FILTER (WHERE NOT a) AS cb FROM x GROUP BY feature, value),
@@ -305,6 +338,8 @@ QUERIES = {
     "column_profile": Query(column_profile, COLUMN_PROFILE_SQL),
     "impute_clip_scale": Query(impute_clip_scale, IMPUTE_SQL),
     "corr_pairs": Query(corr_pairs, CORR_SQL),
+    "corr_pairs_wide": Query(corr_pairs_wide, CORR_WIDE_SQL),
+    "quantiles_with_empty_group": Query(quantiles_with_empty_group, EMPTY_GROUP_SQL),
     "corr_filter": Query(corr_filter),
     "ks_two_sample": Query(ks_two_sample_query, f"{_KS_SQL} SELECT {_KS_COLS} FROM ks"),
     "topn_ks": Query(topn_ks, f"{_KS_SQL} SELECT feature, round(ks_stat, 6) AS ks_stat FROM ks ORDER BY 2 DESC, 1 LIMIT 3"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from navspark.operators.metrics import roc_auc
-from navspark.operators.ordered import HOT_ROWS, column_quantiles, largest_group, melt, running_totals
+from navspark.operators.ordered import column_quantiles, melt, running_totals
 from navspark.schema import META_COLUMNS, family_of
 
 # Fixed values.
@@ -28,9 +28,7 @@ def subset_names() -> Column:
     )
 
 
-def subset_auc(
-    df: DataFrame, y: Column, subsets: Column, features: list[str], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def subset_auc(df: DataFrame, y: Column, subsets: Column, features: list[str]) -> DataFrame:
     """``feature, subset, auc`` for every feature as a classifier of its own.
 
     A missing value takes the feature's overall median (0 where it has none). AUC is
@@ -38,8 +36,7 @@ def subset_auc(
     columns are carried through the unpivot, and rows collapse to distinct values
     before any sorting.
     """
-    n = df.count()
-    medians = column_quantiles(df, [], features, {"median": 0.5}, rows_bound=n, hot_rows=hot_rows).first()
+    medians = column_quantiles(df, [], features, {"median": 0.5}).first()
     filled = df.select(
         y.alias("_y"),
         subsets.alias("_subsets"),
@@ -58,7 +55,7 @@ def subset_auc(
         .groupBy("feature", "subset", "value")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
-    ranked = running_totals(counts, ["feature", "subset"], "value", ["neg"], rows_bound=n, hot_rows=hot_rows)
+    ranked = running_totals(counts, ["feature", "subset"], "value", ["neg"])
     sums = ranked.groupBy("feature", "subset").agg(
         F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") * 0.5)).alias("_wins"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.count(F.lit(1)).alias("_distinct"),
@@ -74,11 +71,10 @@ def audit(
     df: DataFrame,
     oracle_auc: float = ORACLE_AUC,
     zero_auc: float = ZERO_INTENSITY_AUC,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """AUC table of a labelled feature table: one row per feature, one column per subset."""
     features = feature_columns(df)
-    long = subset_auc(df, (F.col("label") == "spoofed").cast("int"), subset_names(), features, hot_rows)
+    long = subset_auc(df, (F.col("label") == "spoofed").cast("int"), subset_names(), features)
     scenarios = [r["scenario"] for r in df.select("scenario").where("scenario IS NOT NULL").distinct().orderBy("scenario").collect()]
     special = [
         name
@@ -122,8 +118,6 @@ def ks_two_sample(
     value: str = "value",
     first: str = "is_first",
     min_rows: int = KS_MIN_ROWS,
-    rows_bound: int | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Largest gap between two empirical distributions, with both sizes and medians.
 
@@ -131,11 +125,10 @@ def ks_two_sample(
     fewer than ``min_rows`` values on a side are left out.
     """
     present = long.where(F.col(value).isNotNull())
-    bound = largest_group(present, keys) if rows_bound is None else rows_bound
     counts = present.groupBy(*keys, value).agg(
         F.count_if(F.col(first)).alias("_a"), F.count_if(~F.col(first)).alias("_b")
     )
-    ranked = running_totals(counts, keys, value, ["_a", "_b"], rows_bound=bound, hot_rows=hot_rows)
+    ranked = running_totals(counts, keys, value, ["_a", "_b"])
     sized = ranked.withColumnsRenamed({"_a_total": "n_first", "_b_total": "n_second"}).where(
         (F.col("n_first") >= min_rows) & (F.col("n_second") >= min_rows)
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from navspark.operators.dynamics import MATCH_TOL_S, align_epochs, with_derived, with_pairs
-from navspark.operators.ordered import HOT_ROWS, column_quantiles, fits_buffer, largest_group
 from navspark.schema import feature_names, raw_keys, series_keys
 
 
@@ -19,29 +18,16 @@ def moment_statistics(key: str) -> list[Column]:
     ]
 
 
-def series_statistics(
-    rows: DataFrame,
-    keys: list[str],
-    series: list[str],
-    extra: list[Column],
-    rows_bound: int | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Mean, std, min, max and exact median of every series, per group.
+def series_statistics(rows: DataFrame, keys: list[str], series: list[str], extra: list[Column]) -> DataFrame:
+    """Mean, std, min, max and exact median of every series, per group, in one aggregate.
 
-    The median needs all of a group's values. They fit an aggregation buffer for
-    recordings and windows of ordinary size, so everything is one aggregate. When
-    some group is larger than that, the moments stay one (combinable) aggregate and
-    the medians come from distributed order statistics.
+    The median holds a group's distinct values while it counts. Groups are recordings or
+    windows, which their duration bounds whatever the number of rows; for groups that nothing bounds there is
+    ``ordered.exact_quantiles``.
     """
-    bound = largest_group(rows, keys) if rows_bound is None else rows_bound
     moments = [stat for key in series for stat in moment_statistics(key)]
-    if fits_buffer(bound, series, hot_rows):
-        medians = [F.expr(f"median({key}) AS {key}_median") for key in series]
-        return rows.groupBy(*keys).agg(*moments, *medians, *extra)
-    main = rows.groupBy(*keys).agg(*moments, *extra)
-    medians = column_quantiles(rows, keys, series, {"median": 0.5}, rows_bound=bound, hot_rows=hot_rows)
-    return main.join(medians, keys, "left")
+    medians = [F.expr(f"median({key}) AS {key}_median") for key in series]
+    return rows.groupBy(*keys).agg(*moments, *medians, *extra)
 
 
 def recording_features(
@@ -50,7 +36,6 @@ def recording_features(
     profile: str = "full",
     tol: float = MATCH_TOL_S,
     segment_s: float = 3600.0,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One feature vector per recording.
 
@@ -62,10 +47,7 @@ def recording_features(
     wanted = list(dict.fromkeys([*by, "receiver", "utc_time", "lat_deg", "lon_deg",
                                  "sog_knots", "cog_deg", *raw_keys(profile)]))
     rows = with_pairs(_with_derived_for_pairs(align_epochs(epochs.select(*wanted), by, segment_s)), tol)
-    bound = largest_group(epochs, [*by, "receiver"])
-    per_receiver = series_statistics(
-        rows, [*by, "receiver"], series, [F.count(F.lit(1)).alias("_n")], bound, hot_rows
-    )
+    per_receiver = series_statistics(rows, [*by, "receiver"], series, [F.count(F.lit(1)).alias("_n")])
     names = [n for n in feature_names(profile) if n not in ("clock_regularity", "n_epochs_rx1", "n_epochs_rx2")]
     # At most two rows per recording are left. Receiver 2 has no pair statistics of its
     # own, so taking the first receiver's row whole also leaves those NULL.

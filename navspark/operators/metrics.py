@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from navspark.operators.ordered import HOT_ROWS, largest_group, running_totals
+from navspark.operators.ordered import running_totals
 
 
 def confusion_counts(y: Column, pred: Column) -> list[Column]:
@@ -38,21 +38,13 @@ def confusion_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str =
     return with_rates(grouped.agg(*confusion_counts(F.col(y), F.col(pred))))
 
 
-def roc_auc(
-    df: DataFrame,
-    keys: list[str],
-    score: str = "score",
-    y: str = "y",
-    rows_bound: int | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def roc_auc(df: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """Rank AUC per group with ties counted half; NULL where only one class is present."""
-    bound = largest_group(df, keys) if rows_bound is None else rows_bound
     usable = df.where(F.col(score).isNotNull())
     counts = usable.groupBy(*keys, score).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
     )
-    ranked = running_totals(counts, keys, score, ["neg"], rows_bound=bound, hot_rows=hot_rows)
+    ranked = running_totals(counts, keys, score, ["neg"])
     below = F.col("neg_upto") - F.col("neg") * 0.5
     grouped = ranked.groupBy(*keys) if keys else ranked.groupBy()
     sums = grouped.agg(

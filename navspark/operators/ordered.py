@@ -2,191 +2,83 @@
 
 Quantiles, rank AUC, two-sample KS and precision-recall curves all need, for each
 distinct value, how many rows lie at or below it. Rows are first collapsed to
-``(group, value, counts)``, which is a partial aggregate. A group with few
-distinct values is then accumulated by one window. A large one is cut into value
-ranges at pivots taken from a hash sample of its own values: the sample is a pure
-function of the content, so every branch and every retried task sees the same
-pivots. Each range is accumulated by itself and shifted by the totals of the
-ranges before it.
+``(group, value, counts)``, which is a partial aggregate. These are cut into ranges by
+group and value, as many as the session's shuffle partitions, accumulated within each
+range and shifted by the totals of the group's ranges before it. A group of any size
+lies over as many ranges as it needs; small groups share one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from navspark.session import stage
 
-HOT_ROWS = 1_000_000
-BUFFER_ROWS = 50_000
-BUFFER_CELLS = 400_000
-MAX_PIVOTS = 512
-_HASH_SPAN = 1 << 30
-_BLOCK = 16
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows in the biggest group. Runs one small aggregate over the key columns."""
-    if not keys:
-        return df.count()
-    top = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return int(top["n"] or 0)
-
-
-def value_ranges(counts: DataFrame, keys: list[str], value: str, range_rows: int) -> DataFrame:
-    """Add ``_range``: ordinal of the value range, about ``range_rows`` distinct values each."""
-    grouped = counts.groupBy(*keys) if keys else counts.groupBy()
-    sizes = grouped.agg(F.count(F.lit(1)).alias("_distinct"))
-    wanted = F.least(F.ceil(F.col("_distinct") / range_rows) * 4, F.lit(MAX_PIVOTS))
-    hot = sizes.where(F.col("_distinct") > range_rows).withColumn("_share", wanted / F.col("_distinct"))
-    # Only large groups have a row here. Written out, the real size of these tables lets
-    # the optimizer choose between broadcasting them and a skew-aware sort-merge join.
-    hot = stage(hot, "hot")
-    code = F.pmod(F.xxhash64(*keys, F.col(value)), F.lit(_HASH_SPAN))
-    sampled = _join(counts, hot, keys).where(code < F.col("_share") * _HASH_SPAN)
-    by_group = sampled.groupBy(*keys) if keys else sampled.groupBy()
-    pivots = by_group.agg(F.sort_array(F.collect_list(value)).alias("_pivots")).withColumn(
-        "_block_ends", F.filter("_pivots", lambda p, i: i % _BLOCK == _BLOCK - 1)
-    )
-    pivots = stage(pivots, "pivots")
-    # Two short scans (whole blocks, then inside one block) instead of one long one.
-    blocks = F.size(F.filter(F.col("_block_ends"), lambda p: p <= F.col(value)))
-    placed = _join(counts, pivots, keys, "left").withColumn("_blocks", blocks)
-    inside = F.size(
-        F.filter(F.slice("_pivots", F.col("_blocks") * _BLOCK + 1, F.lit(_BLOCK)), lambda p: p <= F.col(value))
-    )
-    return placed.withColumn(
-        "_range", F.when(F.col("_pivots").isNull(), F.lit(0)).otherwise(F.col("_blocks") * _BLOCK + inside)
-    ).drop("_pivots", "_block_ends", "_blocks")
-
-
-def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    if keys:
-        return left.join(right, keys, how)
-    # Ungrouped: the right side is a single aggregate row.
-    marked = left.withColumn("_one", F.lit(1))
-    return marked.join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one", how).drop("_one")
-
-
-def running_totals(
-    counts: DataFrame,
-    keys: list[str],
-    value: str,
-    totals: list[str],
-    rows_bound: int | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+
+def running_totals(counts: DataFrame, keys: list[str], value: str, totals: list[str]) -> DataFrame:
     """Add ``<c>_upto``, the inclusive running total of each count by rising value, and
     ``<c>_total``, its group total.
 
-    ``counts`` has one row per ``keys + value``. ``rows_bound`` is an upper bound on the
-    rows of one group that the caller already knows; it is measured otherwise.
+    ``counts`` has one row per ``keys + value``. It is written once in ranges, because several
+    passes follow and each must see the same ranges.
     """
-    bound = largest_group(counts, keys) if rows_bound is None else rows_bound
-    group = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
-    whole = (Window.unboundedPreceding, Window.currentRow)
-    if bound <= hot_rows:
-        upto = group.orderBy(value).rowsBetween(*whole)
-        return counts.select(
-            "*",
-            *[F.sum(c).over(upto).alias(f"{c}_upto") for c in totals],
-            *[F.sum(c).over(group).alias(f"{c}_total") for c in totals],
-        )
-
-    # Several passes follow over the collapsed counts, so they are written once.
-    ranged = value_ranges(stage(counts, "counts"), keys, value, hot_rows)
+    ranged = stage(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()), "ranged")
     place = [*keys, "_range"]
+    group = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
     before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*place)
         .agg(*[F.sum(c).alias(f"_t_{c}") for c in totals])
         .select(
-            *place,
+            *[F.col(k).alias(f"_at_{k}") for k in place],
             *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in totals],
             *[F.sum(f"_t_{c}").over(group).alias(f"{c}_total") for c in totals],
         )
     )
-    upto = Window.partitionBy(*place).orderBy(value).rowsBetween(*whole)
-    return ranged.join(offsets, place).select(
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in place])
+    upto = Window.partitionBy(*place).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranged.join(offsets, same).select(
         *counts.columns,
         *[(F.sum(c).over(upto) + F.col(f"_o_{c}")).alias(f"{c}_upto") for c in totals],
         *[f"{c}_total" for c in totals],
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: dict[str, float],
-    rows_bound: int | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    While a group fits a small buffer this is the built-in exact ``percentile``; beyond
-    that the two order statistics around each position are looked up in the running
-    totals.
+    The two order statistics around each position are looked up in the running totals. A group
+    without any value keeps its row, with NULLs.
     """
-    bound = largest_group(df, keys) if rows_bound is None else rows_bound
-    grouped = df.groupBy(*keys) if keys else df.groupBy()
-    spots = F.array(*[F.lit(float(p)) for p in probs.values()])
-
-    def unpacked(found: DataFrame) -> DataFrame:
-        return found.select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
-
-    if bound <= BUFFER_ROWS:
-        return unpacked(grouped.agg(F.percentile(value, spots).alias("_q")))
-
-    # Equal values collapse in a compiled aggregate; the rest is a sort that can spill.
-    present = df.where(F.col(value).isNotNull())
-    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = running_totals(counts, keys, value, ["_c"], rows_bound=bound, hot_rows=hot_rows)
+    # A NULL counts nothing, but holds its group.
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_c"))
+    upto = running_totals(counts, keys, value, ["_c"])
     regrouped = upto.groupBy(*keys) if keys else upto.groupBy()
 
     def at(position: Column) -> Column:
         return F.min(F.when(F.col("_c_upto") > position, F.col(value)))
 
     parts, picks = [], []
-    for name, p in probs.items():
-        spot = (F.col("_c_total") - 1) * F.lit(p)
+    for i, (name, p) in enumerate(probs.items()):
+        spot = (F.col("_c_total") - 1) * F.lit(float(p))
         parts += [
-            at(F.floor(spot)).alias(f"_lo_{name}"),
-            at(F.ceil(spot)).alias(f"_hi_{name}"),
-            F.max(spot - F.floor(spot)).alias(f"_f_{name}"),
+            at(F.floor(spot)).alias(f"_lo_{i}"),
+            at(F.ceil(spot)).alias(f"_hi_{i}"),
+            F.max(spot - F.floor(spot)).alias(f"_f_{i}"),
         ]
-        lo, hi, frac = (F.col(f"_{part}_{name}") for part in ("lo", "hi", "f"))
+        lo, hi, frac = (F.col(f"_{part}_{i}") for part in ("lo", "hi", "f"))
         picks.append((lo * (1.0 - frac) + hi * frac).alias(name))
     return regrouped.agg(*parts).select(*keys, *picks)
 
 
-def fits_buffer(rows: int, columns: list[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Whether all values of a group, over all columns, may sit in one aggregation buffer."""
-    return rows * max(len(columns), 1) <= min(hot_rows, BUFFER_CELLS)
-
-
-def column_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    columns: list[str],
-    probs: dict[str, float],
-    rows_bound: int | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def column_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs: dict[str, float]) -> DataFrame:
     """Quantiles of many columns at once, as columns ``<column>_<prob name>``.
 
-    The buffer bound covers all columns together. Past it the columns are unpivoted
-    so that the work spreads over ``(group, column, value)``.
+    The columns are unpivoted so that the work spreads over ``(group, column, value)``.
     """
-    bound = largest_group(df, keys) if rows_bound is None else rows_bound
-    if fits_buffer(bound, columns, hot_rows):
-        grouped = df.groupBy(*keys) if keys else df.groupBy()
-        spots = ", ".join(f"{p}D" for p in probs.values())
-        found = grouped.agg(*[F.expr(f"percentile(`{c}`, array({spots})) AS `{c}`") for c in columns])
-        return found.selectExpr(
-            *keys, *[f"`{c}`[{i}] AS `{c}_{name}`" for c in columns for i, name in enumerate(probs)]
-        )
-    long = melt(df, keys, columns)
-    found = exact_quantiles(long, [*keys, "feature"], "value", probs, rows_bound=bound, hot_rows=hot_rows)
+    found = exact_quantiles(melt(df, keys, columns), [*keys, "feature"], "value", probs)
     grouped = found.groupBy(*keys) if keys else found.groupBy()
     return grouped.agg(
         *[

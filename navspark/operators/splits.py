@@ -111,25 +111,32 @@ def class_quota(class_sizes: dict, wanted: int) -> dict:
 def stratified_pick(df: DataFrame, label: str, row_id: str, quota: dict, seed: int, name: str = "is_picked") -> DataFrame:
     """Mark exactly ``quota[class]`` rows of each class, chosen by a seeded hash of the row id.
 
-    The hash is cut into equal buckets. Whole buckets below the quota are taken and
-    only the one bucket per class that straddles it is ranked, so no class is ever
-    sorted as a whole.
+    The hash is cut into equal buckets. Whole buckets below the quota are taken; the one bucket per
+    class that straddles it is cut again, and only what straddles the quota there is
+    ranked, so no class is ever sorted as a whole. Rows without a label, or of a class without a quota, are not picked.
     """
     code = F.xxhash64(F.lit(seed), F.col(row_id))
-    rows = df.withColumn("_code", code).withColumn("_bucket", F.pmod(code, F.lit(_BUCKETS)))
-    want = None
+    room = F.lit(0)
     for value, n in quota.items():
-        test = F.col(label) == value
-        want = F.when(test, F.lit(n)) if want is None else want.when(test, F.lit(n))
-    upto = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    plan = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(upto), F.lit(0))).withColumn(
-        "_room", want - F.col("_before")
-    )
+        room = F.when(F.col(label) == value, F.lit(n)).otherwise(room)
+    coarse = df.withColumn("_code", code).withColumn("_room", room.cast("long"))
+    settled, open_ = _whole_buckets(coarse, label, F.pmod("_code", F.lit(_BUCKETS)), name)
+    finer, rest = _whole_buckets(open_, label, F.pmod(F.shiftrightunsigned("_code", 16), F.lit(_BUCKETS)), name)
+    rank = Window.partitionBy(label).orderBy("_code", row_id)
+    last = rest.withColumn(name, F.row_number().over(rank) <= F.col("_room"))
+    columns = [*df.columns, name]
+    return settled.select(*columns).unionByName(finer.select(*columns)).unionByName(last.select(*columns))
+
+
+def _whole_buckets(rows: DataFrame, label: str, bucket: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose bucket lies wholly inside or outside the room of its class, marked, and the others with what room is left."""
+    rows = rows.withColumn("_bucket", bucket)
+    upto = Window.partitionBy("_class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(F.col(label).alias("_class"), F.col("_bucket").alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    plan = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(upto), F.lit(0)))
     # At most buckets x classes rows: bounded, whatever the data.
-    joined = rows.join(F.broadcast(plan.select(label, "_bucket", "_size", "_room")), [label, "_bucket"])
+    joined = rows.join(F.broadcast(plan), F.col(label).eqNullSafe(F.col("_class")) & (F.col("_bucket") == F.col("_part")))
+    joined = joined.withColumn("_room", F.col("_room") - F.col("_before"))
     straddles = (F.col("_room") > 0) & (F.col("_room") < F.col("_size"))
-    whole = joined.where(~straddles).withColumn(name, F.col("_room") >= F.col("_size"))
-    rank = Window.partitionBy(label, "_bucket").orderBy("_code", row_id)
-    partly = joined.where(straddles).withColumn(name, F.row_number().over(rank) <= F.col("_room"))
-    return whole.unionByName(partly).select(*df.columns, name)
+    extra = ("_class", "_part", "_size", "_before", "_bucket")
+    return joined.where(~straddles).withColumn(name, F.col("_room") >= F.col("_size")), joined.where(straddles).drop(*extra)

@@ -5,24 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from navspark.operators.metrics import confusion_counts, with_rates
-from navspark.operators.ordered import HOT_ROWS, exact_quantiles, largest_group, running_totals
+from navspark.operators.ordered import exact_quantiles, running_totals
 
 # Fixed value.
 DEFAULT_THRESHOLD = 0.5
 
 
-def max_f1_threshold(
-    df: DataFrame, keys: list[str], score: str = "score", y: str = "y", hot_rows: int = HOT_ROWS,
-    rows_bound: int | None = None,
-) -> DataFrame:
+def max_f1_threshold(df: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """Score whose ``score >= threshold`` rule has the highest F1; the lowest one on ties."""
-    bound = largest_group(df, keys) if rows_bound is None else rows_bound
     counts = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
     )
     # Counting downwards needs no group total: sort by the negated score.
     falling = counts.withColumn("_down", -F.col(score))
-    upto = running_totals(falling, keys, "_down", ["pos", "neg"], rows_bound=bound, hot_rows=hot_rows)
+    upto = running_totals(falling, keys, "_down", ["pos", "neg"])
     tp, flagged = F.col("pos_upto").cast("double"), (F.col("pos_upto") + F.col("neg_upto")).cast("double")
     precision, recall = tp / flagged, tp / F.col("pos_total")
     f1 = precision * recall * 2.0 / F.greatest(precision + recall, F.lit(1e-12))
@@ -34,13 +30,12 @@ def max_f1_threshold(
 
 
 def fpr_target_thresholds(
-    df: DataFrame, keys: list[str], targets: list[float], score: str = "score", y: str = "y",
-    hot_rows: int = HOT_ROWS, rows_bound: int | None = None,
+    df: DataFrame, keys: list[str], targets: list[float], score: str = "score", y: str = "y"
 ) -> DataFrame:
     """``(1 - target)`` quantile of the negatives' scores, one column ``fpr_target_<t>`` each."""
     negatives = df.where(F.col(y) == 0)
     probs = {policy_name(t): 1.0 - t for t in targets}
-    return exact_quantiles(negatives, keys, score, probs, rows_bound=rows_bound, hot_rows=hot_rows)
+    return exact_quantiles(negatives, keys, score, probs)
 
 
 def policy_name(target: float) -> str:
@@ -48,15 +43,15 @@ def policy_name(target: float) -> str:
 
 
 def pick_threshold(df: DataFrame, policy: str = "fpr_target", target_fpr: float = 0.01,
-                   score: str = "score", y: str = "y", hot_rows: int = HOT_ROWS) -> float:
+                   score: str = "score", y: str = "y") -> float:
     """One threshold as a number, from validation rows ``score, y``."""
     if policy == "default":
         return DEFAULT_THRESHOLD
     if policy == "val_max_f1":
-        row = max_f1_threshold(df, [], score, y, hot_rows).first()
+        row = max_f1_threshold(df, [], score, y).first()
         return float(row["threshold"])
     if policy == "fpr_target":
-        row = fpr_target_thresholds(df, [], [target_fpr], score, y, hot_rows).first()
+        row = fpr_target_thresholds(df, [], [target_fpr], score, y).first()
         value = row[policy_name(target_fpr)] if row else None
         return DEFAULT_THRESHOLD if value is None else float(value)
     raise ValueError(f"unknown policy {policy!r}")

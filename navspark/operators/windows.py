@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from navspark.operators.dynamics import MATCH_TOL_S, align_epochs, with_derived, with_pairs
 from navspark.operators.features import series_statistics
 from navspark.operators.neighbours import with_span
-from navspark.operators.ordered import HOT_ROWS, exact_quantiles, largest_group
+from navspark.operators.ordered import exact_quantiles
 from navspark.schema import feature_names, raw_keys, series_keys
 from navspark.session import stage
 
@@ -72,7 +72,6 @@ def window_features(
     transit_cog_deg: float = 5.0,
     segment_s: float = 3600.0,
     tags: bool = True,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Feature vector per sliding window, equal to recomputing everything inside it.
 
@@ -104,9 +103,8 @@ def window_features(
     ]
     if tags:
         extra.append(circular_std_deg("cog_deg").alias("cog_circ_std_deg"))
-    bound = _window_bound(epochs, by, window_s, hot_rows)
     table = (
-        series_statistics(masked, keys, series, extra, bound, hot_rows)
+        series_statistics(masked, keys, series, extra)
         .where(F.col("n_epochs_rx1") >= min_epochs)
         .withColumn("clock_regularity", F.col("time_delta_std"))
     )
@@ -123,12 +121,6 @@ def window_features(
     )
 
 
-def _window_bound(epochs: DataFrame, by: list[str], window_s: float, hot_rows: int) -> int:
-    """Most epochs any window can hold: twice the busiest aligned stretch of that length."""
-    stretch = epochs.select(*by, F.floor(F.col("utc_time") / window_s).alias("_stretch"))
-    return 2 * largest_group(stretch, [*by, "_stretch"])
-
-
 def pair_baseline(windows: DataFrame, by: list[str], column: str = "inter_rx_distance_m_median") -> DataFrame:
     """Median and median absolute deviation of the pair distance over a track's windows."""
     present = windows.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))

@@ -17,11 +17,10 @@ from navspark.operators.intervals import (
     prevalence_precision,
 )
 from navspark.operators.metrics import confusion_metrics, roc_auc
-from navspark.operators.ordered import column_quantiles, exact_quantiles, running_totals, value_ranges
-from navspark.operators.prep import LIGHT, PrepOptions, fit_prep, iterative_corr_filter, skewness_after_fill
+from navspark.operators.ordered import column_quantiles, exact_quantiles, running_totals
+from navspark.operators.prep import LIGHT, PrepOptions, correlation_matrix, fit_prep, iterative_corr_filter, skewness_after_fill
 from navspark.operators.thresholds import evaluate_thresholds, max_f1_threshold, pick_threshold
 
-HOT = [1_000_000, 40]  # one window per group; value ranges
 
 
 def frame(spark, pdf):
@@ -48,46 +47,54 @@ def pairwise_auc(part):
     return np.mean((p[:, None] > n[None, :]) + 0.5 * (p[:, None] == n[None, :]))
 
 
-@pytest.mark.parametrize("hot", HOT)
-def test_auc_is_the_pairwise_probability(spark, scores, hot):
-    got = {r["g"]: r["auc"] for r in roc_auc(frame(spark, scores), ["g"], hot_rows=hot).collect()}
+def test_auc_is_the_pairwise_probability(spark, scores):
+    got = {r["g"]: r["auc"] for r in roc_auc(frame(spark, scores), ["g"]).collect()}
     for g, part in scores.groupby("g"):
         assert got[g] == pytest.approx(pairwise_auc(part), abs=1e-12)
-    whole = roc_auc(frame(spark, scores), [], hot_rows=hot).first()["auc"]
+    whole = roc_auc(frame(spark, scores), []).first()["auc"]
     assert whole == pytest.approx(pairwise_auc(scores), abs=1e-12)
-    single = roc_auc(frame(spark, scores[scores.y == 1]), [], hot_rows=hot).first()["auc"]
+    single = roc_auc(frame(spark, scores[scores.y == 1]), []).first()["auc"]
     assert single is None
 
 
-@pytest.mark.parametrize("hot,buffer", [(1_000_000, 50_000), (1_000_000, 0), (40, 0)])
-def test_quantiles_match_numpy(spark, scores, monkeypatch, hot, buffer):
-    monkeypatch.setattr("navspark.operators.ordered.BUFFER_ROWS", buffer)
+def test_quantiles_match_numpy(spark, scores):
     probs = {"lo": 0.01, "mid": 0.5, "hi": 0.99, "top": 1.0}
     df = frame(spark, scores)
-    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "score", probs, hot_rows=hot).collect()}
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "score", probs).collect()}
     for g, part in scores.groupby("g"):
         for name, p in probs.items():
             assert got[g][name] == pytest.approx(np.quantile(part.score.dropna(), p), abs=1e-12)
-    row = exact_quantiles(df, [], "score", probs, hot_rows=hot).first()
+    row = exact_quantiles(df, [], "score", probs).first()
     assert row["mid"] == pytest.approx(np.nanmedian(scores.score), abs=1e-12)
-    wide = column_quantiles(df, [], ["score", "y"], {"m": 0.5}, hot_rows=hot).first()
+    wide = column_quantiles(df, [], ["score", "y"], {"m": 0.5}).first()
     assert wide["score_m"] == pytest.approx(np.nanmedian(scores.score)) and wide["y_m"] == np.median(scores.y)
 
 
-def test_value_ranges_are_ordered_and_balanced(spark):
-    pdf = pd.DataFrame({"g": ["hot"] * 3000 + ["cold"] * 10, "v": np.r_[np.random.default_rng(0).lognormal(0, 3, 3000), np.arange(10)]})
-    ranged = value_ranges(frame(spark, pdf), ["g"], "v", 200).toPandas()
-    hot = ranged[ranged.g == "hot"].sort_values("v")
-    assert hot["_range"].is_monotonic_increasing and hot["_range"].nunique() > 10
-    assert hot.groupby("_range").size().max() < 600
-    assert set(ranged[ranged.g == "cold"]["_range"]) == {0}
-    again = value_ranges(frame(spark, pdf).repartition(7), ["g"], "v", 200).toPandas()
-    assert dict(zip(ranged.v, ranged["_range"])) == dict(zip(again.v, again["_range"]))
+def test_groups_without_values_keep_their_row(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None), (None, 5.0), (None, None)], "g string, v double")
+    got = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    assert got == {"a": 1.5, "b": None, None: 5.0}
+    assert exact_quantiles(df.where("false"), [], "v", {"m": 0.5}).first()["m"] is None
+
+
+def test_correlation_with_gaps_and_small_spread(spark):
+    rng = np.random.default_rng(5)
+    grid = rng.normal(size=(300, 20))
+    grid[:, 1] = 1 + 1e-8 * (grid[:, 0] + grid[:, 1])
+    grid[:, 2] = 7.0
+    pdf = pd.DataFrame(grid, columns=[f"c{i}" for i in range(20)])
+    holes = rng.random((300, 17)) < 0.3
+    pdf.iloc[:, 3:] = pdf.iloc[:, 3:].mask(holes)
+    got = correlation_matrix(frame(spark, pdf), list(pdf.columns))
+    want = pdf.corr().to_numpy()
+    assert np.isnan(got[2, [0, 1, 3]]).all() and got[0, 1] == pytest.approx(want[0, 1], abs=1e-6)
+    rest = [i for i in range(20) if i != 2]
+    assert np.allclose(got[np.ix_(rest, rest)], want[np.ix_(rest, rest)], atol=1e-6)
 
 
 def test_running_totals_across_ranges(spark):
     pdf = pd.DataFrame({"g": ["a"] * 500, "v": np.arange(500.0), "c": np.arange(500)})
-    got = running_totals(frame(spark, pdf), ["g"], "v", ["c"], hot_rows=30).orderBy("v").toPandas()
+    got = running_totals(frame(spark, pdf), ["g"], "v", ["c"]).orderBy("v").toPandas()
     assert list(got.c_upto) == list(np.cumsum(pdf.c))
 
 
@@ -96,15 +103,14 @@ def ks_by_hand(a, b):
     return max(abs((a <= x).mean() - (b <= x).mean()) for x in grid)
 
 
-@pytest.mark.parametrize("hot", HOT)
-def test_ks(spark, hot):
+def test_ks(spark):
     rng = np.random.default_rng(1)
     parts = []
     for name, na, nb in (("x", 120, 75), ("few", 19, 50), ("edge", 20, 20)):
         parts.append(pd.DataFrame({"feature": name, "value": rng.normal(0, 1, na).round(2), "is_first": True}))
         parts.append(pd.DataFrame({"feature": name, "value": rng.normal(0.3, 2, nb).round(2), "is_first": False}))
     pdf = pd.concat(parts, ignore_index=True)
-    got = {r["feature"]: r for r in ks_two_sample(frame(spark, pdf), hot_rows=hot).collect()}
+    got = {r["feature"]: r for r in ks_two_sample(frame(spark, pdf)).collect()}
     assert set(got) == {"x", "edge"}
     for name in got:
         a = pdf[(pdf.feature == name) & pdf.is_first].value.to_numpy()
@@ -114,8 +120,7 @@ def test_ks(spark, hot):
         assert got[name]["second_median"] == pytest.approx(np.median(b))
 
 
-@pytest.mark.parametrize("hot", HOT)
-def test_thresholds(spark, scores, hot):
+def test_thresholds(spark, scores):
     part = scores.dropna()
     df = frame(spark, part)
     best = None
@@ -126,8 +131,8 @@ def test_thresholds(spark, scores, hot):
         f1 = 2 * p * r / max(p + r, 1e-12)
         if best is None or f1 > best[0] + 1e-15:
             best = (f1, t)
-    assert max_f1_threshold(df, [], hot_rows=hot).first()["threshold"] == best[1]
-    assert pick_threshold(df, "fpr_target", 0.05, hot_rows=hot) == pytest.approx(
+    assert max_f1_threshold(df, []).first()["threshold"] == best[1]
+    assert pick_threshold(df, "fpr_target", 0.05) == pytest.approx(
         np.quantile(part[part.y == 0].score, 0.95), abs=1e-12
     )
     assert pick_threshold(df, "default") == 0.5
@@ -206,6 +211,10 @@ def test_stratified_pick_is_exact_and_stable(table):
     assert first.exceptAll(again.select(*first.columns)).count() == 0
     other = sp.stratified_pick(table, "label", "filename", quota, seed=2)
     assert first.where("is_picked").join(other.where("is_picked"), "filename").count() < 200
+    gaps = table.withColumn("label", F.when(F.col("index") > 0, F.col("label")))
+    kept = sp.stratified_pick(gaps, "label", "filename", {"spoofed": 100}, seed=1)
+    assert kept.count() == table.count()
+    assert [(r["label"], r["count"]) for r in kept.where("is_picked").groupBy("label").count().collect()] == [("spoofed", 100)]
 
 
 def test_audit(spark, table):
@@ -227,14 +236,6 @@ def test_audit(spark, table):
     assert zero_intensity_separators(found).first()["feature"] == "mean_snr_median"
 
 
-def test_auc_screen_in_ranges(spark, table):
-    features = ["speed_gap", "noise", "gappy"]
-    y, subsets = (F.col("label") == "spoofed").cast("int"), F.array(F.lit("all"), F.col("scenario"))
-    plain = {(r["feature"], r["subset"]): r["auc"] for r in subset_auc(table, y, subsets, features).collect()}
-    ranged = {(r["feature"], r["subset"]): r["auc"] for r in subset_auc(table, y, subsets, features, hot_rows=60).collect()}
-    assert plain.keys() == ranged.keys() and all(plain[k] == pytest.approx(ranged[k], abs=1e-12) for k in plain)
-
-
 def prep_table():
     rng = np.random.default_rng(3)
     n = 400
@@ -260,12 +261,11 @@ def prep_by_hand(pdf, options):
     return x, skew
 
 
-@pytest.mark.parametrize("hot", [1_000_000, 50])
-def test_preparation(spark, hot):
+def test_preparation(spark):
     pdf = prep_table()
     options = PrepOptions()
     df = frame(spark, pdf.assign(id=range(len(pdf))))
-    model = fit_prep(df, list(pdf.columns), options, hot_rows=hot)
+    model = fit_prep(df, list(pdf.columns), options)
     x, skew = prep_by_hand(pdf, options)
     steps = {r["step"]: r["columns"] for r in model.log}
     assert steps["artifact_ablation"] == "mean_snr_x" and steps["zero_variance"] == "flat"
