@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,21 @@ def _needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def _bitmap(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * _LANES, np.uint8)
-    bits[(shingles >> np.uint64(20)) % np.uint64(64 * _LANES)] = 1
+def _bitmap(shingles: np.ndarray, lanes: int = _LANES) -> np.ndarray:
+    bits = np.zeros(64 * lanes, np.uint8)
+    bits[(shingles >> np.uint64(20)) % np.uint64(64 * lanes)] = 1
     return np.packbits(bits).view(np.int64)
 
 
+def _wide(shingles: np.ndarray) -> tuple[list | None, list | None]:
+    """For a set too large for ``_LANES``: a bitmap with more bits than shingles, and the same folded to half its length."""
+    if len(shingles) <= 50 * _LANES:
+        return None, None
+    lanes = _LANES << int(np.ceil(np.log2(len(shingles) / (50 * _LANES))))
+    bits = _bitmap(shingles, lanes)
+    return bits, bits[: lanes // 2] | bits[lanes // 2 :]
+
+
 def _name(shingles: np.ndarray) -> int:
     """A set's name: equal sets have the same one."""
     return int(mix64(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)) if len(shingles) else 0
@@ -44,7 +53,7 @@ def _name(shingles: np.ndarray) -> int:
 def _scan(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
     """Per row of ``docs`` its set's name, size and bitmap; besides, shingles common within a run of texts and how often."""
     fields = ["doc_id", "sid", "n", *[f"b{i}" for i in range(_LANES)], "shingle", "times"]
-    schema = pa.schema([(f, pa.int64()) for f in fields])
+    schema = pa.schema([*[(f, pa.int64()) for f in fields], ("wide", pa.list_(pa.int64())), ("half", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,7 +61,8 @@ def _scan(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
                 grid = np.array([_bitmap(s) for s in sets])
                 own = [batch.column(0).slice(first, len(sets)), pa.array([_name(s) for s in sets], pa.int64())]
                 own += [pa.array([len(s) for s in sets], pa.int64()), *[pa.array(grid[:, i]) for i in range(_LANES)]]
-                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(sets), pa.int64())] * 2], schema=schema)
+                maps = [pa.array(m, pa.list_(pa.int64())) for m in zip(*[_wide(s) for s in sets], strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(sets), pa.int64())] * 2, *maps], schema=schema)
                 every = np.sort(np.concatenate(sets))
                 if not len(every):
                     continue
@@ -61,10 +71,12 @@ def _scan(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
                 common = times >= _LOCAL
                 blank = [pa.nulls(int(common.sum()), pa.int64())] * (len(fields) - 2)
                 counted = [pa.array(every[at][common].view(np.int64)), pa.array(times[common], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*blank, *counted], schema=schema)
+                none = [pa.nulls(int(common.sum()), pa.list_(pa.int64()))] * 2
+                yield pa.RecordBatch.from_arrays([*blank, *counted, *none], schema=schema)
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return stage(chosen.mapInArrow(scan, ", ".join(f"{f} long" for f in fields)), "scan")
+    columns = ", ".join(f"{f} long" for f in fields) + ", wide array<long>, half array<long>"
+    return stage(chosen.mapInArrow(scan, columns), "scan")
 
 
 def _frequent(scanned: DataFrame) -> list[int]:
@@ -148,14 +160,32 @@ def _shared_only(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(keep, "shingle long, sid long, n int, salt int")
 
 
+def _possible(n: Column, m: Column, missing: Column, surplus: Column, percent: int) -> Column:
+    """Can sets of n and m shingles link, if so many of either are not in the other?"""
+    most = F.least(n - missing, m - surplus)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * most >= percent * (n + m - most))
+
+
 def _bound(left: str, right: str, percent: int) -> Column:
-    """Can these sets link? Each bit that only one bitmap has stands for a shingle that only that set has."""
-    def missing(x: str, y: str) -> Column:
-        return sum((F.bit_count(F.expr(f"{x}.b{i} & ~{y}.b{i}")) for i in range(1, _LANES)), F.bit_count(F.expr(f"{x}.b0 & ~{y}.b0")))
+    """Each bit that only one bitmap has stands for a shingle that only that set has."""
+    def only(x: str, y: str) -> Column:
+        return reduce(lambda p, q: p + q, (F.bit_count(F.expr(f"{x}.b{i} & ~{y}.b{i}")) for i in range(_LANES)))
 
-    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
-    most = F.least(n - missing(left, right), m - missing(right, left))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * most >= percent * (n + m - most))
+    return _possible(F.col(f"{left}.n"), F.col(f"{right}.n"), only(left, right), only(right, left), percent)
+
+
+def _wide_bound(left: str, right: str, percent: int) -> Column:
+    """The same for the longer bitmaps of large sets; of unequal ones the longer is folded."""
+    def only(x: str, y: str) -> Column:
+        bits = f"zip_with({x}, {y}, (a, b) -> bit_count(a & ~b))"
+        return F.expr(f"aggregate({bits}, 0L, (s, c) -> s + c)")
+
+    def both(x: str, y: str) -> Column:
+        return _possible(F.col(f"{left}.n"), F.col(f"{right}.n"), only(f"{left}.{x}", f"{right}.{y}"), only(f"{right}.{y}", f"{left}.{x}"), percent)
+
+    x, y = F.size(f"{left}.wide"), F.size(f"{right}.wide")
+    small = F.col(f"{left}.wide").isNull() | F.col(f"{right}.wide").isNull()
+    return F.when(small, True).when(x == y, both("wide", "wide")).when(x == 2 * y, both("half", "wide")).when(2 * x == y, both("wide", "half")).otherwise(False)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
@@ -216,11 +246,11 @@ def near_duplicates(
     """
     bits = [f"b{i}" for i in range(_LANES)]
     scanned = _scan(docs, text_col, id_col, width)
-    named = scanned.where("times IS NULL").select("doc_id", "sid", "n", *bits)
+    named = scanned.where("times IS NULL").select("doc_id", "sid", "n", *bits, "wide", "half")
     tiles = stage(_shared_only(_probe_rows(docs, text_col, _frequent(scanned), width, percent)), "tiles")
     check = partial(_verified, docs=docs, text=text_col, key=id_col, width=width, percent=percent)
     sets = stage(
-        named.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first_doc"), *[F.first(b).alias(b) for b in bits]),
+        named.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first_doc"), *[F.first(b).alias(b) for b in (*bits, "wide", "half")]),
         "sets",
     )
     maps = sets.select("sid", "n", *bits)
@@ -231,6 +261,11 @@ def near_duplicates(
         with_x = pairs.join(x, F.col("a") == F.col("x.sid"))
         return with_x.join(y, F.col("b") == F.col("y.sid")).where(_bound("x", "y", percent)).select("a", "b")
 
+    def still_possible(pairs: DataFrame) -> DataFrame:
+        wide = sets.select("sid", "n", "wide", "half")
+        with_x = stage(pairs, "bounded").join(wide.alias("x"), F.col("a") == F.col("x.sid"))
+        return with_x.join(wide.alias("y"), F.col("b") == F.col("y.sid")).where(_wide_bound("x", "y", percent)).select("a", "b")
+
     by_size = Window.partitionBy("shingle", "salt").orderBy("n", "sid")
     chained = tiles.select(F.col("sid").alias("a"), F.lag("sid").over(by_size).alias("b")).where("b IS NOT NULL")
     by_chance = Window.partitionBy("shingle", "salt").orderBy(F.xxhash64("sid"), "sid")
@@ -239,7 +274,7 @@ def near_duplicates(
     heads = heads.select(
         F.col("h.sid").alias("a"), F.lag("h.sid").over(Window.partitionBy("shingle").orderBy("h.n", "h.sid")).alias("b")
     ).where("b IS NOT NULL")
-    first = check(bounded(chained.unionByName(shuffled).unionByName(heads)), sets=sets)
+    first = check(still_possible(bounded(chained.unionByName(shuffled).unionByName(heads))), sets=sets)
     roots = stage(connected_components(first), "roots")
     grown = tiles.join(roots, tiles["sid"] == roots["node"], "left").select("shingle", "sid", F.coalesce("root", "sid").alias("root"))
     grown = stage(grown.distinct(), "grown")
@@ -251,7 +286,7 @@ def near_duplicates(
         (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.sid") < F.col("y.sid"))
         & (F.col("x.root") != F.col("y.root")) & _bound("x", "y", percent),
     ).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    second = check(across.join(first, ["a", "b"], "left_anti"), sets=sets)
+    second = check(still_possible(across.join(first, ["a", "b"], "left_anti")), sets=sets)
     links = first.unionByName(second).distinct()
     roots = stage(connected_components(links), "roots")
     degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
