@@ -1,146 +1,113 @@
-"""Exact binomial intervals and McNemar's test on counts (a handful of numbers each)."""
+"""Exact binomial intervals and McNemar's test, on tables of counts."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
+
+from navspark.operators.metrics import precision_at_prevalence
 
+# Assumed prevalences, and the number of discordant pairs from which the corrected chi-square is used.
 PREVALENCES = (0.5, 0.1, 0.01, 0.001, 0.0001)
 EXACT_BELOW = 25
 
-
-def beta_cdf(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_cdf(1.0 - x, b, a)
-    front = math.exp(
-        a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    ) / a
-    tiny = 1e-300
-    c, d = 1.0, 1.0 / max(abs(1.0 - (a + b) * x / (a + 1.0)), tiny)
-    if 1.0 - (a + b) * x / (a + 1.0) < 0:
-        d = -d
-    total = d
-    for m in range(1, 10_000):
-        for term in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + term * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + term / c
-            c = c if abs(c) > tiny else tiny
-            total *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * total
-
-
-def beta_quantile(p: float, a: float, b: float) -> float:
-    lo, hi = 0.0, 1.0
-    for _ in range(200):
-        mid = (lo + hi) / 2.0
-        if mid in (lo, hi):
-            break
-        if beta_cdf(mid, a, b) < p:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2.0
-
-
-def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
-    """Two-sided exact interval of a proportion; NaN without trials."""
-    if n == 0:
-        return math.nan, math.nan
-    low = 0.0 if k == 0 else beta_quantile(alpha / 2.0, k, n - k + 1)
-    high = 1.0 if k == n else beta_quantile(1.0 - alpha / 2.0, k + 1, n - k)
-    return low, high
-
-
-def prevalence_precision(tpr: float, fpr: float, prevalence: float) -> float:
-    hits = tpr * prevalence
-    total = hits + fpr * (1.0 - prevalence)
-    return hits / total if total > 0 else math.nan
+_CELLS = 8192
 
 
-def mcnemar_p(only_first: int, only_second: int) -> float:
-    """Exact binomial below 25 discordant pairs, corrected chi-square above."""
-    n = only_first + only_second
-    if n == 0:
-        return 1.0
-    if n < EXACT_BELOW:
-        tail = sum(math.comb(n, i) for i in range(min(only_first, only_second) + 1)) / 2.0**n
-        return min(1.0, 2.0 * tail)
-    chi2 = (abs(only_first - only_second) - 1.0) ** 2 / n
-    return math.erfc(math.sqrt(chi2 / 2.0))
+def beta_quantiles(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Quantiles of beta distributions with parameters of at least 1, all at once.
 
-
-RATE_COLUMNS = (
-    "tpr double, fpr double, tpr_ci_lo double, tpr_ci_hi double, fpr_ci_lo double, fpr_ci_hi double, "
-    "precision_at_prevalence double, precision_lo double, precision_hi double"
-)
-
-
-def _none_if_nan(values):
-    return [None if isinstance(v, float) and math.isnan(v) else v for v in values]
-
-
-def base_rate_analysis(
-    counts: DataFrame, keys: list[str], prevalences=PREVALENCES, alpha: float = 0.05
-) -> DataFrame:
+    On the log-odds scale the density is smooth, has one peak and decays exponentially. It is summed by
+    Simpson's rule over all that matters and normalised by its own integral, so no gamma function
+    loses digits when counts are large; the cell that holds the quantile is then refined by Newton steps.
+    """
+    p, a, b = (np.atleast_1d(np.asarray(x, float))[:, None] for x in (p, a, b))
+    peak, width = np.log(a / b), np.sqrt(1 / a + 1 / b)
+    left, right = peak - 14 * width - 45 / a, peak + 14 * width + 45 / b
+    step = (right - left) / _CELLS
+
+    def density(u):
+        return np.exp(a * (np.logaddexp(0, -peak) - np.logaddexp(0, -u)) + b * (np.logaddexp(0, peak) - np.logaddexp(0, u)))
+
+    nodes = left + step * np.arange(_CELLS + 1)
+    at, middle = density(nodes), density(nodes[:, :-1] + step / 2)
+    mass = np.cumsum(step / 6 * (at[:, :-1] + 4 * middle + at[:, 1:]), axis=1)
+    goal = p * mass[:, -1:]
+    cell = np.minimum((mass < goal).sum(axis=1, keepdims=True), _CELLS - 1)
+    start = np.take_along_axis(nodes, cell, axis=1)
+    missing = goal - np.where(cell > 0, np.take_along_axis(mass, np.maximum(cell - 1, 0), axis=1), 0.0)
+    u, base = start + step / 2, np.take_along_axis(at, cell, axis=1)
+    for _ in range(6):
+        here = density(u)
+        part = (u - start) / 6 * (base + 4 * density((u + start) / 2) + here)
+        u = np.clip(u - (part - missing) / np.maximum(here, 1e-300), start, start + step)
+    return (1 / (1 + np.exp(-u)))[:, 0]
+
+
+def exact_interval(hits: np.ndarray, trials: np.ndarray, alpha: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Two-sided Clopper-Pearson interval of each proportion; NaN without trials."""
+    hits, trials = np.asarray(hits, float), np.asarray(trials, float)
+    low, high = np.zeros(len(hits)), np.ones(len(hits))
+    some, short = hits > 0, hits < trials
+    if some.any():
+        low[some] = beta_quantiles(np.full(some.sum(), alpha / 2), hits[some], (trials - hits)[some] + 1)
+    if short.any():
+        high[short] = beta_quantiles(np.full(short.sum(), 1 - alpha / 2), hits[short] + 1, (trials - hits)[short])
+    return np.where(trials > 0, low, np.nan), np.where(trials > 0, high, np.nan)
+
+
+def _interval(hits: Column, trials: Column, alpha: float) -> Column:
+    @F.pandas_udf("low double, high double")
+    def bounds(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        low, high = exact_interval(k.to_numpy(), n.to_numpy(), alpha)
+        return pd.DataFrame({"low": low, "high": high})
+
+    return bounds(hits, trials)
+
+
+def base_rate_analysis(counts: DataFrame, keys: list[str], prevalences=PREVALENCES, alpha: float = 0.05) -> DataFrame:
     """Precision at assumed prevalences with conservative corners of the exact intervals.
 
     ``counts`` holds ``keys`` and ``tn, fp, fn, tp``. The pessimistic corner pairs the
-    lowest TPR with the highest FPR, the optimistic one the reverse. Runs as an Arrow
-    batch function, since the interval needs a root search per row.
+    lowest TPR with the highest FPR, the optimistic one the reverse.
     """
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema.fields if f.name in keys)
-    levels = tuple(float(p) for p in prevalences)
-
-    def rates(batches):
-        for frame in batches:
-            rows = []
-            for row in frame.to_dict("records"):
-                tp, fn, fp, tn = (int(row[c]) for c in ("tp", "fn", "fp", "tn"))
-                tpr = tp / (tp + fn) if tp + fn else math.nan
-                fpr = fp / (fp + tn) if fp + tn else math.nan
-                tpr_lo, tpr_hi = clopper_pearson(tp, tp + fn, alpha)
-                fpr_lo, fpr_hi = clopper_pearson(fp, fp + tn, alpha)
-                for level in levels:
-                    rows.append(
-                        [row[k] for k in keys]
-                        + _none_if_nan(
-                            [
-                                level, tpr, fpr, tpr_lo, tpr_hi, fpr_lo, fpr_hi,
-                                prevalence_precision(tpr, fpr, level),
-                                prevalence_precision(tpr_lo, fpr_hi, level),
-                                prevalence_precision(tpr_hi, fpr_lo, level),
-                            ]
-                        )
-                    )
-            names = [*keys, "prevalence", *[c.split()[0] for c in RATE_COLUMNS.split(", ")]]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: np.float64 for c in names if c not in keys})
-
-    fields = ", ".join(part for part in (kept, "prevalence double", RATE_COLUMNS) if part)
-    return counts.select(*keys, "tn", "fp", "fn", "tp").mapInPandas(rates, fields)
+    rates = counts.select(
+        *keys,
+        *[
+            part
+            for name, hits, others in (("tpr", "tp", "fn"), ("fpr", "fp", "tn"))
+            for trials in [F.col(hits) + F.col(others)]
+            for part in (F.when(trials > 0, F.col(hits) / trials).alias(name), _interval(F.col(hits), trials, alpha).alias(f"{name}_ci"))
+        ],
+    )
+    levels = F.explode(F.array(*[F.lit(float(p)) for p in prevalences])).alias("prevalence")
+    ends = {f"{name}_ci_{short}": F.nanvl(f"{name}_ci.{end}", F.lit(None).cast("double"))
+            for name in ("tpr", "fpr") for short, end in (("lo", "low"), ("hi", "high"))}
+    table = rates.select("*", levels).withColumns(ends)
+    corners = {"precision_at_prevalence": ("tpr", "fpr"), "precision_lo": ("tpr_ci_lo", "fpr_ci_hi"), "precision_hi": ("tpr_ci_hi", "fpr_ci_lo")}
+    precision = [precision_at_prevalence(F.col(t), F.col(f), F.col("prevalence")).alias(name) for name, (t, f) in corners.items()]
+    return table.select(*keys, "prevalence", "tpr", "fpr", *ends, *precision)
+
+
+def mcnemar_p(only_first: np.ndarray, only_second: np.ndarray) -> np.ndarray:
+    """Two-sided p-value of each pair of discordant counts: binomial when they are few, corrected chi-square otherwise."""
+    from math import comb, erfc
+
+    first, second = (np.asarray(x, np.int64) for x in (only_first, only_second))
+    out = []
+    for fewer, pairs in zip(np.minimum(first, second).tolist(), (first + second).tolist()):
+        if pairs < EXACT_BELOW:
+            out.append(min(1.0, 2 * sum(comb(pairs, i) for i in range(fewer + 1)) / 2**pairs))
+        else:
+            out.append(erfc((pairs - 2 * fewer - 1) / (2 * pairs) ** 0.5))
+    return np.array(out)
 
 
 def mcnemar_table(tables: DataFrame) -> DataFrame:
     """Add ``p_value`` to contingency counts."""
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tables.schema.fields)
-
-    def test(batches):
-        for frame in batches:
-            p = [mcnemar_p(int(a), int(b)) for a, b in zip(frame["only_first"], frame["only_second"])]
-            yield frame.assign(p_value=np.asarray(p, dtype=float))
+    @F.pandas_udf("double")
+    def p_value(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series(mcnemar_p(first.to_numpy(), second.to_numpy()))
 
-    return tables.mapInPandas(test, f"{kept}, p_value double")
+    return tables.withColumn("p_value", p_value("only_first", "only_second"))

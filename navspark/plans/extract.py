@@ -13,16 +13,16 @@ from navspark.session import stage
 from navspark.sources.pcap import capture_epochs, read_captures, to_uri
 from navspark.sources.tables import read_manifest, write_epoch_series, write_feature_table
 
+FAILURES = ("missing", "not a capture file")
+
 
 def labelled_epochs(
     spark: SparkSession, meta: DataFrame, dataset_dir: str, receivers: dict | None = None, validate_checksums: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Epochs keyed by ``recording`` (the manifest's file name) and the read status per file."""
-    # File names are needed to plan one task per capture; they are the manifest's rows.
-    names = [r["filename"] for r in meta.select("filename").distinct().toLocalIterator()]
-    packets = read_captures(spark, [os.path.join(dataset_dir, n) for n in names])
-    epochs, status = capture_epochs(packets, receivers, validate_checksums)
     prefix = to_uri(os.path.join(dataset_dir, "x"))[:-1]
+    packets = read_captures(spark, meta.select(F.concat(F.lit(prefix), "filename").alias("path")))
+    epochs, status = capture_epochs(packets, receivers, validate_checksums)
     recording = F.expr(f"substring(path, {len(prefix) + 1})")
     return (
         epochs.withColumn("recording", recording).drop("path"),
@@ -42,7 +42,8 @@ def extract_features(
 ) -> DataFrame:
     """Metadata, features by name, ``n_packets``, ``read_status`` and ``_error`` per recording.
 
-    A recording that is missing or damaged keeps its row with NULL features.
+    A recording that cannot be read keeps its row with NULL features and says why in ``_error``. One
+    that breaks off keeps the features of what precedes, and only ``read_status`` tells.
     """
     meta = read_manifest(spark, os.path.join(dataset_dir, "dataset.json"))
     epochs, status = labelled_epochs(spark, meta, dataset_dir, receivers, validate_checksums)
@@ -55,7 +56,7 @@ def extract_features(
     table = (
         meta.join(features.withColumnRenamed("recording", "filename"), "filename", "left")
         .join(status.withColumnRenamed("recording", "filename"), "filename", "left")
-        .withColumn("_error", F.lit(""))
+        .withColumn("_error", F.when(F.col("read_status").isin(*FAILURES), F.col("read_status")).otherwise(""))
     )
     table = ordered_for_export(table, META_COLUMNS, ["n_packets", "read_status", "_error"])
     if not out_path:

@@ -9,13 +9,7 @@ from navspark.functions.geo import M_PER_DEG_LAT, haversine_m
 from navspark.operators import splits as sp
 from navspark.operators.audit import audit, family_summary, ks_two_sample, subset_auc, zero_intensity_separators
 from navspark.operators.inject import inject
-from navspark.operators.intervals import (
-    base_rate_analysis,
-    beta_cdf,
-    clopper_pearson,
-    mcnemar_p,
-    prevalence_precision,
-)
+from navspark.operators.intervals import base_rate_analysis, exact_interval, mcnemar_p
 from navspark.operators.metrics import confusion_metrics, roc_auc
 from navspark.operators.ordered import column_quantiles, exact_quantiles, running_totals
 from navspark.operators.prep import LIGHT, PrepOptions, correlation_matrix, fit_prep, iterative_corr_filter, skewness_after_fill
@@ -306,19 +300,31 @@ def test_corr_filter_ties_go_to_the_smaller_name():
     assert iterative_corr_filter(["a", "b"], np.array([[1, np.nan], [np.nan, 1]])) == []
 
 
-def test_intervals(spark):
-    assert clopper_pearson(0, 4300)[1] == pytest.approx(0.00085751, abs=1e-8)
-    assert clopper_pearson(20, 20)[0] == pytest.approx(0.83156653, abs=1e-8)
-    assert all(math.isnan(v) for v in clopper_pearson(0, 0))
-    for k, n in ((3, 17), (40, 200), (999, 1000)):
-        lo, hi = clopper_pearson(k, n)
-        upper_tail = sum(math.comb(n, i) * lo**i * (1 - lo) ** (n - i) for i in range(k, n + 1))
-        lower_tail = sum(math.comb(n, i) * hi**i * (1 - hi) ** (n - i) for i in range(0, k + 1))
-        assert upper_tail == pytest.approx(0.025, abs=1e-9) and lower_tail == pytest.approx(0.025, abs=1e-9)
-    assert beta_cdf(0.3, 1, 1) == pytest.approx(0.3)
-    assert prevalence_precision(0.95, 0.01, 1e-3) == pytest.approx(0.08683729, abs=1e-8)
-    assert mcnemar_p(3, 10) == pytest.approx(0.09228515625) and mcnemar_p(0, 0) == 1.0
-    assert mcnemar_p(30, 60) == pytest.approx(math.erfc(math.sqrt(29**2 / 90 / 2)))
+def test_intervals_invert_the_binomial_tails():
+    for k, n in ((1, 2), (4, 31), (77, 150), (640, 641)):
+        (lo,), (hi,) = exact_interval([k], [n])
+        term = lambda p, i: math.comb(n, i) * p**i * (1 - p) ** (n - i)
+        assert sum(term(lo, i) for i in range(k, n + 1)) == pytest.approx(0.025, abs=1e-9)
+        assert sum(term(hi, i) for i in range(k + 1)) == pytest.approx(0.025, abs=1e-9)
+    low, high = exact_interval([0, 7, 0], [9, 7, 0], alpha=0.1)
+    # Closed forms at the ends: (1 - p) ** 9 = 0.05 and p ** 7 = 0.05.
+    assert low[0] == 0 and high[0] == pytest.approx(1 - 0.05 ** (1 / 9), abs=1e-12)
+    assert high[1] == 1 and low[1] == pytest.approx(0.05 ** (1 / 7), abs=1e-12)
+    assert np.isnan([low[2], high[2]]).all()
+    # A billion trials: the normal limit.
+    (lo,), (hi,) = exact_interval([500_000_000], [1_000_000_000])
+    assert hi - lo == pytest.approx(2 * 1.959963985 * 0.5 / math.sqrt(1e9), rel=1e-4)
+
+
+def test_mcnemar():
+    sure, even = mcnemar_p([0, 1], [6, 1])
+    assert sure == pytest.approx(2 / 64) and even == 1.0
+    assert mcnemar_p([0], [0])[0] == 1.0
+    z = (abs(40 - 71) - 1) / math.sqrt(111)
+    assert mcnemar_p([71], [40])[0] == pytest.approx(math.erfc(z / math.sqrt(2)))
+
+
+def test_base_rates(spark):
     counts = spark.createDataFrame([("x", 4300, 0, 5, 95), ("y", 0, 0, 1, 1)], "classifier string, tn long, fp long, fn long, tp long")
     rows = {(r["classifier"], r["prevalence"]): r for r in base_rate_analysis(counts, ["classifier"]).collect()}
     assert len(rows) == 10

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from navspark.functions import geo, nmea
 from navspark.functions.clock import absolute_utc, split_log_lines
 from navspark.schema import drop_families, family_of, feature_names
-from tests.makers import GSA, GSV, gga, rmc, vtg
+from tests.makers import DOP, IN_VIEW, SNRS, Sighting
 
 
 def one(spark, *columns):
@@ -32,25 +32,24 @@ def parse(spark, *sentences, **options):
 
 
 def test_sentences(spark):
-    good = gga(43201, 40.9166666666, 29.0)
-    rows = parse(
-        spark, good, good[:-1] + ("0" if good[-1] != "0" else "1"),
-        "$GNRMC,120001,A,4055.0,N,02900.0,W,10.0,45.0,160826,,,A", "$PGRMZ,123,f,3", GSA, GSV[0], vtg(),
-        "$GPGGA,truncat", "GPGGA,no,dollar", "$GPGSV,1,1", "!AIVDM,1,1",
-    )
-    assert set(rows) == {0, 2, 4, 5, 6, 7, 9}
-    assert rows[0]["lat_deg"] == pytest.approx(40.9166666, abs=1e-6) and rows[0]["num_satellites"] == 8
-    assert rows[0]["utc_of_day"] == 43201.0
-    assert rows[2]["fmt"] == "RMC" and rows[2]["lon_deg"] == -29.0
-    assert rows[4]["pdop"] == 1.5 and rows[4]["fix_mode"] == 3
-    assert rows[5]["snrs"] == [41.0, 43.0, 39.0, 45.0]
-    assert rows[6]["cog_true"] == 45.0 and rows[6]["cog_magnetic"] is None
-    assert rows[7]["source"] is None and rows[9]["source"] is None
+    here = Sighting(7000.5, lat=-33.86, lon=-151.2, course=12.5)
+    fix, motion = here.gga(), here.vtg()
+    wrong = fix[:-1] + ("1" if fix[-1] == "0" else "0")
+    odd = ["$PSAT,GBS,1", "no dollar,GGA", "!BSVDM,2,1", "$GPGSV,3", "$GPGGA,shor"]
+    rows = parse(spark, fix, wrong, here.rmc().split("*")[0], DOP, *IN_VIEW, motion, *odd)
+    assert set(rows) == {0, 2, 3, 4, 5, 6, 10, 11}
+    assert (rows[0]["utc_of_day"], rows[0]["num_satellites"]) == (7000.5, 6)
+    for i in (0, 2):
+        assert (rows[i]["lat_deg"], rows[i]["lon_deg"]) == pytest.approx((-33.86, -151.2), abs=1e-7)
+    assert (rows[3]["fix_mode"], rows[3]["pdop"], rows[3]["vdop"]) == (3, 2.6, 2.2)
+    assert rows[4]["snrs"] + rows[5]["snrs"] == SNRS
+    assert rows[6]["cog_true"] == 12.5 and rows[6]["cog_magnetic"] is None
+    assert rows[10]["source"] is None and rows[11]["source"] is None
 
 
 def test_rejected_rows_can_stay(spark):
-    rows = parse(spark, GSA[:-2] + "00", "note", vtg(), keep_rejected=True)
-    assert rows[0]["fmt"] is None and rows[1]["fmt"] is None and rows[2]["fmt"] == "VTG"
+    rows = parse(spark, "note", DOP, DOP[:-2] + "QQ", keep_rejected=True)
+    assert [rows[i]["fmt"] for i in range(3)] == [None, "GSA", None]
 
 
 @pytest.mark.parametrize(
@@ -101,7 +100,3 @@ def feature_names_of_unknown():
     from navspark.schema import raw_keys
 
     raw_keys("other")
-
-
-def test_checksum_free_rmc(spark):
-    assert parse(spark, rmc(1, 1.0, 1.0).split("*")[0])[0]["fmt"] == "RMC"

@@ -1,6 +1,8 @@
+import gzip
 import json
-import os
+from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,273 +12,298 @@ from navspark.operators.windows import sliding_windows, window_features
 from navspark.plans.cruise import baseline_document, log_windows, prepare_cruise
 from navspark.plans.extract import error_rows, extract_features, label_balance
 from navspark.schema import META_COLUMNS, feature_names
-from navspark.sources.pcap import capture_epochs, read_captures
+from navspark.sources.pcap import RECEIVERS, capture_epochs, read_captures
 from navspark.sources.r2r import discover_files, earliest_per_bucket, read_pair
 from navspark.sources.tables import read_feature_table, read_manifest, read_predictions
 from navspark.sources.textlog import interleaved_epochs, read_lines
-from tests import makers as m
+from tests.makers import SNRS, Ferry, Sighting, capture, capture_ng, checked, datagram, save_lines
+
+DAY = datetime(2021, 3, 7, tzinfo=timezone.utc)
+SECONDS = 75
+
+
+def of_day(t):
+    return (DAY + timedelta(seconds=t)).timestamp()
 
 
 # --- captures ---------------------------------------------------------------------------
 
 
+def first_second(link="ethernet"):
+    return [datagram(Sighting(19800.0).gga(), ip, port, link) for ip, port in RECEIVERS]
+
+
 @pytest.fixture(scope="module")
-def dataset(tmp_path_factory):
-    root = tmp_path_factory.mktemp("dataset")
-    frames = m.two_receiver_frames()
-    m.write_pcap(root / "one.pcap", frames)
-    m.write_pcap(root / "big_endian.pcap", frames[:120], ">", 0xA1B23C4D)
-    stray = [m.udp_frame("10.0.0.9", 62996, m.vtg()), m.udp_frame("192.168.0.10", 62996, m.vtg(), vlan=True), b"\0" * 20]
-    m.write_pcap(root / "cut.pcap", stray + frames[:240])
-    with open(root / "cut.pcap", "r+b") as f:
-        f.truncate(os.path.getsize(root / "cut.pcap") - 7)
-    (root / "junk.pcap").write_bytes(b"not a capture")
-    names = ["one.pcap", "big_endian.pcap", "cut.pcap", "junk.pcap", "absent.pcap"]
-    entries = [
-        {"filename": n, "scenario": f"A{1 + i % 3}", "label": "spoofed" if i % 2 else "unspoofed", "index": str(i),
-         "parameters": {"shift_speed": "4", "angle": 1.5} if i else {}}
+def recordings(tmp_path_factory):
+    """Ten files of one crossing and its fragments: every format, and every way to be broken."""
+    root = tmp_path_factory.mktemp("crossing")
+    whole = list(Ferry().datagrams(SECONDS))
+    foreign = [datagram(Sighting(1.0).vtg(), "172.16.0.3", 9), b"", bytes(33)]
+    files = {
+        "plain.pcap": capture(whole),
+        "nano_big.pcap": capture(whole[:36], ">", 0xA1B23C4D),
+        "modern.pcapng": capture_ng(whole),
+        "modern_big.pcapng": capture_ng(first_second(), ">"),
+        "packed.pcap.gz": gzip.compress(capture(whole[:60])),
+        "cooked.pcap": capture(first_second("cooked"), link=113),
+        "vlan.pcap": capture(foreign + first_second("tagged")),
+        "cut.pcap": capture(whole[:24])[:-11],
+        "cut.pcapng": capture_ng(whole[:24])[:-11],
+        "text.pcap": b"#!/bin/sh\necho this is no capture\n",
+    }
+    for name, content in files.items():
+        (root / name).write_bytes(content)
+    names = [*files, "nowhere.pcap"]
+    manifest = [
+        {"filename": n, "scenario": "A2" if i < 4 else "A3", "label": "unspoofed" if i % 3 else "spoofed", "index": i,
+         "parameters": [{}, {"delay": 0.5}, {"delay": "2", "power": 1}][i % 3]}
         for i, n in enumerate(names)
     ]
-    (root / "dataset.json").write_text(json.dumps(entries))
+    (root / "dataset.json").write_text(json.dumps(manifest))
     return root
 
 
-def test_capture_pipeline(spark, dataset):
-    packets = read_captures(spark, [str(dataset / "one.pcap")])
-    epochs, status = capture_epochs(packets, validate_checksums=True)
-    epochs = epochs.withColumnRenamed("path", "recording")
-    assert {r["receiver"]: r["count"] for r in epochs.groupBy("receiver").count().collect()} == {1: 130, 2: 130}
-    first = epochs.where("receiver = 1").orderBy("utc_time").first()
-    assert first["mean_snr"] == 41.875 and first["num_sats_with_snr"] == 8
-    assert first["std_snr"] == pytest.approx(1.8998355, abs=1e-6)
-    assert (first["min_snr"], first["max_snr"], first["pdop"], first["sog_knots"]) == (39.0, 45.0, 1.5, 10.0)
-    row = recording_features(epochs, ["recording"], "full").first()
-    assert set(row.asDict()) == {"recording", *feature_names("full")}
-    assert 3.0 < row["inter_rx_distance_m_min"] < 5.0 and row["inter_rx_distance_m_max"] > 6.0
-    assert row["mean_snr_mean"] > 35
-    assert len(recording_features(epochs, ["recording"], "deployable").columns) == 94
-    assert epoch_frame(epochs, ["recording"]).count() == 260
-    assert status.first()["read_status"] == "ok" and status.first()["n_packets"] == 260 * 6
-
-
-def test_damaged_captures_keep_their_rows(spark, dataset, tmp_path):
-    table = extract_features(spark, str(dataset), epochs_dir=str(tmp_path / "epochs"), out_path=str(tmp_path / "out"))
+@pytest.mark.parametrize("name", ["plain.pcap", "modern.pcapng"])
+def test_a_crossing_from_capture_to_features(spark, recordings, name):
+    epochs, status = capture_epochs(read_captures(spark, [str(recordings / name)]), validate_checksums=True)
+    assert status.select("read_status", "n_packets").first() == ("ok", 2 * 6 * SECONDS)
+    epochs = epochs.withColumnRenamed("path", "recording").cache()
+    rows = epochs.where("receiver = 2").orderBy("utc_time").collect()
+    assert [r["utc_time"] for r in rows] == [Ferry.start + k for k in range(SECONDS)]
+    for r in rows:
+        assert (r["mean_snr"], r["min_snr"], r["max_snr"], r["num_sats_with_snr"]) == (np.mean(SNRS), min(SNRS), max(SNRS), len(SNRS))
+        assert r["std_snr"] == pytest.approx(np.std(SNRS))
+        assert (r["sog_knots"], r["cog_deg"], r["pdop"], r["hdop"]) == (11.0, 300.0, 2.6, 1.4)
+    features = recording_features(epochs, ["recording"], "full").first().asDict()
+    assert set(features) == {"recording", *feature_names("full")}
+    assert features["n_epochs_rx1"] == features["n_epochs_rx2"] == SECONDS
+    # The antennas are 9 m apart and slide 8 cm a second.
+    apart = 9.0 + 0.08 * np.arange(SECONDS)
+    for stat, value in (("min", apart[0]), ("max", apart[-1]), ("mean", apart.mean()), ("median", np.median(apart))):
+        assert features[f"inter_rx_distance_m_{stat}"] == pytest.approx(value, abs=0.05)
+    assert features["mean_snr_mean"] == np.mean(SNRS) and features["inter_rx_sog_diff_max"] == 0.0
+    assert set(recording_features(epochs, ["recording"], "deployable").columns) == {"recording", *feature_names("deployable")}
+    assert epoch_frame(epochs, ["recording"]).count() == 2 * SECONDS
+
+
+def test_every_file_keeps_a_row(spark, recordings, tmp_path):
+    table = extract_features(spark, str(recordings), epochs_dir=str(tmp_path / "series"), out_path=str(tmp_path / "table"))
     rows = {r["filename"]: r for r in table.collect()}
-    assert len(rows) == 5
-    assert rows["one.pcap"]["n_epochs_rx1"] == 130 and rows["big_endian.pcap"]["n_epochs_rx1"] == 10
-    assert rows["cut.pcap"]["read_status"] == "truncated" and rows["cut.pcap"]["n_epochs_rx1"] == 20
-    assert rows["junk.pcap"]["read_status"] == "not a capture file" and rows["junk.pcap"]["hdop_mean"] is None
-    assert rows["absent.pcap"]["read_status"] == "missing" and rows["absent.pcap"]["_error"] == ""
-    assert table.columns[:8] == META_COLUMNS and table.columns[-1] == "_error"
-    assert table.columns[8:-3] == sorted(table.columns[8:-3])
-    assert {r["label"]: r["count"] for r in label_balance(table).collect()} == {"spoofed": 2, "unspoofed": 3}
-    assert error_rows(table).count() == 0
-    back = read_feature_table(spark, str(tmp_path / "out"), "parquet")
-    assert len(back.columns) == 8 + 138 + 1 and back.count() == 5
-    series = spark.read.parquet(str(tmp_path / "epochs"))
-    assert series.where("recording = 'one.pcap'").count() == 260 and "scenario" in series.columns
-
-
-def test_manifest(spark, dataset, tmp_path):
-    rows = {r["filename"]: r for r in read_manifest(spark, str(dataset / "dataset.json")).collect()}
-    cut = rows["cut.pcap"]
-    assert (cut["param_1_name"], cut["param_1_value"], cut["param_2_name"], cut["param_2_value"]) == ("shift_speed", 4.0, "angle", 1.5)
-    assert cut["index"] == 2 and rows["one.pcap"]["param_1_name"] is None
-    bad = tmp_path / "dataset.json"
-    bad.write_text(json.dumps([{"filename": "x", "scenario": "A", "label": "l", "index": 1, "parameters": {"a": 1, "b": 2, "c": 3}}]))
+    counts = {name: (r["read_status"], r["n_epochs_rx1"]) for name, r in rows.items()}
+    assert counts == {
+        "plain.pcap": ("ok", SECONDS), "modern.pcapng": ("ok", SECONDS), "nano_big.pcap": ("ok", 3), "packed.pcap.gz": ("ok", 5),
+        "modern_big.pcapng": ("ok", 1), "cooked.pcap": ("ok", 1), "vlan.pcap": ("ok", 1),
+        "cut.pcap": ("truncated", 2), "cut.pcapng": ("truncated", 2),
+        "text.pcap": ("not a capture file", None), "nowhere.pcap": ("missing", None),
+    }
+    failed = {r["filename"]: r["_error"] for r in error_rows(table).collect()}
+    assert failed == {"text.pcap": "not a capture file", "nowhere.pcap": "missing"}
+    assert rows["text.pcap"]["hdop_mean"] is None and rows["cut.pcap"]["hdop_mean"] == 1.4
+    assert table.columns[: len(META_COLUMNS)] == META_COLUMNS and table.columns[-1] == "_error"
+    middle = table.columns[len(META_COLUMNS) : -3]
+    assert middle == sorted(middle) and set(feature_names("full")) <= set(middle)
+    assert {r["label"]: r["count"] for r in label_balance(table).collect()} == {"spoofed": 4, "unspoofed": 7}
+    written = read_feature_table(spark, str(tmp_path / "table"), "parquet")
+    assert {r["filename"] for r in written.select("filename").collect()} == set(rows) - set(failed)
+    series = spark.read.parquet(str(tmp_path / "series"))
+    assert series.where("recording = 'modern.pcapng'").count() == 2 * SECONDS and "scenario" in series.columns
+
+
+def test_manifest(spark, recordings, tmp_path):
+    rows = {r["index"]: r for r in read_manifest(spark, str(recordings / "dataset.json")).collect()}
+    parameters = lambda r: tuple(r[f"param_{k}_{part}"] for k in (1, 2) for part in ("name", "value"))
+    assert parameters(rows[0]) == (None, None, None, None)
+    assert parameters(rows[1]) == ("delay", 0.5, None, None)
+    assert parameters(rows[2]) == ("delay", 2.0, "power", 1.0)
+    entry = {"filename": "f", "scenario": "A4", "label": "spoofed", "index": 0, "parameters": dict.fromkeys("pqr", 1)}
+    (tmp_path / "m.json").write_text(json.dumps([entry]))
     with pytest.raises(Exception, match="more than two parameters"):
-        read_manifest(spark, str(bad)).collect()
+        read_manifest(spark, str(tmp_path / "m.json")).collect()
 
 
-def test_tables(spark, tmp_path):
-    (tmp_path / "f.csv").write_text("filename,scenario,label,index,x_mean,_error\na,A1,spoofed,3,1.5,\nb,A1,spoofed,4,,boom\nc,A2,unspoofed,5,,\n")
-    rows = read_feature_table(spark, str(tmp_path / "f.csv")).orderBy("filename").collect()
-    assert [r["filename"] for r in rows] == ["a", "c"] and rows[0]["x_mean"] == 1.5 and rows[1]["x_mean"] is None
-    (tmp_path / "p.csv").write_text("filename,verdict\na,1\nb,error\n")
-    got = {r["filename"]: r["baseline_pred"] for r in read_predictions(spark, str(tmp_path / "p.csv"), "verdict").collect()}
-    assert got == {"a": 1.0, "b": None}
+def test_feature_and_verdict_tables(spark, tmp_path):
+    save_lines(tmp_path / "t.csv", ["filename,scenario,label,index,gap_max,_error", "u,A2,spoofed,0,,", "v,A2,spoofed,1,8,late", "w,A3,unspoofed,2,-2.25,"])
+    found = {r["filename"]: r["gap_max"] for r in read_feature_table(spark, str(tmp_path / "t.csv")).collect()}
+    assert found == {"u": None, "w": -2.25}
+    save_lines(tmp_path / "v.csv", ["filename,says", "u,0", "v,n/a", "w,1"])
+    verdicts = read_predictions(spark, str(tmp_path / "v.csv"), "says")
+    assert {r["filename"]: r["baseline_pred"] for r in verdicts.collect()} == {"u": 0.0, "v": None, "w": 1.0}
 
 
 # --- interleaved logs -------------------------------------------------------------------
 
 
-def interleaved(spark, root, lines, **options):
-    path = str(root / "dev" / "a.log")
-    m.write_lines(path, lines)
-    df = read_lines(spark, os.path.dirname(path)).withColumn("device", F.lit("d"))
-    return interleaved_epochs(df, ["device"], **options)
+def stamp(style, t):
+    at = DAY + timedelta(seconds=t)
+    return at.strftime("%m/%d/%Y,%H:%M:%S.") + f"{at.microsecond // 1000:03d}," if style == "scs" else at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z "
+
 
+def logged(style, seconds, receiver=1, delay=0.25):
+    """Positions and motion once a second, each line stamped a quarter of a second late."""
+    ferry = Ferry()
+    for k in range(seconds):
+        s = ferry.at(ferry.start + k, receiver)
+        yield stamp(style, s.t + delay) + s.gga()
+        yield stamp(style, s.t + delay + 0.02) + s.vtg()
 
-def log_lines(style, seconds=400):
-    out = []
-    for i in range(seconds):
-        t = 12 * 3600 + i
-        clock = f"{t // 3600:02d}:{t % 3600 // 60:02d}:{t % 60:02d}.100"
-        prefix = f"05/28/2018,{clock}," if style == "scs" else f"2018-05-28T{clock}Z "
-        out += [prefix + s for s in (m.gga(t, 40.9 + i * 4e-5, 28.9 + i * 4e-5), m.vtg())]
-    return out + ["garbage line, not nmea", "05/28/2018,12:06:41.100,$GPGGA,truncat"]
+
+def epochs_of(spark, folder, **options):
+    lines = read_lines(spark, str(folder)).withColumn("unit", F.lit("u1"))
+    return interleaved_epochs(lines, ["unit"], **options)
 
 
 @pytest.mark.parametrize("style", ["scs", "iso"])
 def test_interleaved_logs(spark, tmp_path, style):
-    epochs = interleaved(spark, tmp_path, log_lines(style)).withColumn("receiver", F.lit(1)).cache()
-    assert epochs.count() == 400
-    tenth = epochs.orderBy("utc_time").collect()[10]
-    assert tenth["sog_knots"] == 10.0 and tenth["cog_deg"] == 45.0
-    assert tenth["utc_time"] == 1527508810.0
-    assert sliding_windows(epochs, ["device"], 120, 60, 60).count() == 5
-    row = window_features(epochs, ["device"], tags=False).first()
-    assert row["sog_knots_mean"] == pytest.approx(10.0) and row["inter_rx_distance_m_mean"] is None
-
-
-def test_arrival_order_rules(spark, tmp_path):
-    base = "05/28/2018,12:00:0{}.000,"
-    lines = [
-        base.format(0) + m.vtg(sog=99.0),                       # before any anchor: dropped
-        base.format(1) + m.rmc(43201, 40.0, 29.0, sog=5.0),
-        base.format(1) + m.with_checksum("GPGGA,120001.00,,N,02900.0000,E,1,07,0.9,1.2,M,0.0,M,,"),  # empty latitude wins
-        base.format(1) + m.vtg(cog=10.0),
-        base.format(1) + m.vtg(cog=20.0),                       # last writer wins
-        base.format(2) + m.with_checksum("GPGGA,,4000.0,N,02900.0,E,1,08,0.9,1.2,M,0.0,M,,"),       # unreadable anchor
-        base.format(2) + m.vtg(cog=30.0),                       # still belongs to second 1
-        "05/29/2018,12:00:00.000," + m.gga(5, 1.0, 1.0)[:-2] + "00",   # bad checksum, but it moves the clock
-        m.gga(43205, 41.0, 29.0),                               # bare: takes that clock
-    ]
-    rows = interleaved(spark, tmp_path, lines).orderBy("utc_time").collect()
-    assert len(rows) == 2
-    assert rows[0]["lat_deg"] is None and rows[0]["cog_true"] == 30.0 and rows[0]["sog_knots"] == 5.0
-    assert rows[0]["num_satellites"] == 7
-    assert rows[1]["utc_time"] == 1527595205.0  # 29 May
-
-
-def test_small_blocks_give_the_same_epochs(spark, tmp_path):
-    """A file cut into many splits keeps its arrival order."""
-    lines = log_lines("scs", 120)
-    whole = {tuple(r) for r in interleaved(spark, tmp_path, lines).collect()}
-    key = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "1500")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    save_lines(tmp_path / "log" / "day.log", ["*** logger started", *logged(style, 310), stamp(style, 1.0) + "$GPVTG,brok"])
+    epochs = epochs_of(spark, tmp_path / "log").withColumn("receiver", F.lit(1)).cache()
+    times = sorted(r["utc_time"] for r in epochs.collect())
+    assert times == [of_day(Ferry.start + k) for k in range(310)]
+    assert epochs.where("sog_knots <> 11 OR cog_deg <> 300").count() == 0
+    # Windows of 120 s every 60 s fit at 0, 60, 120 and 180 s into 309.
+    assert sliding_windows(epochs, ["unit"], 120, 60, 60).count() == 4
+    row = window_features(epochs, ["unit"], tags=False).first()
+    assert row["cog_deg_mean"] == pytest.approx(300.0) and row["inter_rx_distance_m_median"] is None
+
+
+def test_who_owns_a_line(spark, tmp_path):
+    """Motion belongs to the last readable position before it; the last writer of a field wins."""
+    noon = 43200.0
+    quiet = lambda k: Sighting(noon + k, knots=2.0 + k, course=20.0 * k)
+    empty = checked("GPGGA,120004.00,,N,01009.0,E,1,05,1.4,18.2,M,44.1,M,,")
+    clockless = checked("GPGGA,,5419.2,N,01009.0,E,1,06,1.4,18.2,M,44.1,M,,")
+    spoiled = Sighting(3.0).gga()[:-2] + "ZZ"
+    save_lines(tmp_path / "log" / "a.log", [
+        stamp("scs", noon + 3) + quiet(9).vtg(),        # nothing to belong to
+        stamp("scs", noon + 4) + quiet(4).rmc(),
+        stamp("scs", noon + 4) + empty,                 # same second: its empty latitude is the last word
+        stamp("scs", noon + 4) + quiet(1).vtg(),
+        stamp("scs", noon + 5) + clockless,             # no clock, no epoch
+        stamp("scs", noon + 5) + quiet(2).vtg(),        # so this is still the second before
+        stamp("scs", 86400 + noon) + spoiled,           # rejected, yet the logger's clock moves on a day
+        quiet(8).gga(),                                 # no stamp of its own
+    ])
+    first, second = epochs_of(spark, tmp_path / "log").orderBy("utc_time").collect()
+    assert first["utc_time"] == of_day(noon + 4) and second["utc_time"] == of_day(86400 + noon + 8)
+    assert first["lat_deg"] is None and first["num_satellites"] == 5
+    assert first["cog_true"] == 40.0 and first["sog_knots"] == 6.0
+    assert second["lat_deg"] == pytest.approx(54.32)
+
+
+def test_splits_do_not_matter(spark, tmp_path):
+    save_lines(tmp_path / "log" / "a.log", logged("iso", 90))
+    rows = lambda: sorted(map(str, epochs_of(spark, tmp_path / "log").collect()))
+    whole, keys = rows(), {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
     try:
-        df = read_lines(spark, str(tmp_path / "dev")).withColumn("device", F.lit("d"))
-        assert df.select("block").distinct().count() > 5
-        cut = {tuple(r) for r in interleaved_epochs(df, ["device"]).collect()}
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        assert read_lines(spark, str(tmp_path / "log")).select("block").distinct().count() >= 4
+        assert rows() == whole and len(whole) == 90
     finally:
-        spark.conf.set(key, before)
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert cut == whole and len(cut) == 120
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def test_device_folders(spark, tmp_path):
-    for rx, files in (("rx1", 2), ("rx2", 1)):
-        for k in range(files):
-            m.write_lines(str(tmp_path / "cruise7" / rx / f"{k}.log"), log_lines("scs")[k * 400 : (k + 1) * 400 if files == 2 else None])
-    windows = log_windows(spark, str(tmp_path), str(tmp_path / "out"))
-    rows = windows.orderBy("window_start").collect()
-    assert [r["cruise_id"] for r in rows] == ["cruise7"] * 5
-    assert rows[0]["n_epochs_rx2"] == 120 and rows[0]["inter_rx_distance_m_max"] == 0.0
-    assert len(windows.columns) == 2 + 93
+def test_windows_of_a_cruise_folder(spark, tmp_path):
+    lines = list(logged("iso", 250))
+    save_lines(tmp_path / "in" / "north" / "rx1" / "1.log", lines[:200])
+    save_lines(tmp_path / "in" / "north" / "rx1" / "2.log", lines[200:])
+    save_lines(tmp_path / "in" / "north" / "rx2" / "only.log", logged("scs", 250, receiver=2))
+    windows = log_windows(spark, str(tmp_path / "in"), str(tmp_path / "out")).orderBy("window_start").collect()
+    assert [(r["cruise_id"], r["window_start"]) for r in windows] == [("north", of_day(Ferry.start + 60 * k)) for k in range(3)]
+    for k, r in enumerate(windows):
+        assert r["n_epochs_rx1"] == r["n_epochs_rx2"] == 120
+        assert r["inter_rx_distance_m_min"] == pytest.approx(9 + 0.08 * 60 * k, abs=0.05)
+        assert set(r.asDict()) == {"cruise_id", "window_start", *feature_names("deployable")}
 
 
 # --- split-family archives --------------------------------------------------------------
 
-LAT0, LON0, SOG, LAG = 31.19873, -123.98936, 12.0, 0.31
+DELAY, RUN = 0.45, 260
 
 
-def r2r_line(t, sentence):
-    c = t + LAG
-    return f"06/09/2018,{int(c // 3600):02d}:{int(c % 3600 // 60):02d}:{c % 60:06.3f},{sentence}"
+def family_file(folder, unit, family, lines, copy=""):
+    save_lines(folder / f"COM{unit}-{family}-RAW_20210307-053000{copy}.raw", lines)
 
 
 @pytest.fixture(scope="module")
 def archive(tmp_path_factory):
-    root = tmp_path_factory.mktemp("r2r")
-
-    def at(t, north=0.0):
-        return LAT0 + (SOG * 0.514444 * t + north) / m.M_PER_DEG, LON0
-
-    def family(kind, times, talker, north):
-        make = {
-            "GGA": lambda t: m.with_checksum(f"{talker}GGA,{m.hms(t)},{m.position(*at(t, north), digits=6)},2,15,0.6,-21.350,M,0.000,M,5.0,0436"),
-            "RMC": lambda t: m.rmc(t, *at(t, north), sog=SOG, cog=0.0, talker=talker, digits=6),
-            "VTG": lambda t: m.vtg(SOG, 0.0, talker),
-        }[kind]
-        return [r2r_line(t, make(t)) for t in times]
-
-    n = 400
-    rx1, rx2 = root / "gnss", root / "ins" / "data"
-    times = {"GGA": [k / 2 for k in range(2 * n)], "RMC": [float(k) for k in range(n)], "VTG": [float(k) for k in range(n)]}
-    for kind, ticks in times.items():
-        lines = family(kind, ticks, "GN", 0.0)
-        m.write_lines(str(rx1 / f"COM18-CNAV-{kind}-RAW_20180609-000001.raw"), lines)
-        if kind != "VTG":
-            m.write_lines(str(rx1 / f"COM18-CNAV-{kind}-RAW_20180609-000001_2.raw"), lines)
-        late = [k + 0.55 for k in range(n)]
-        m.write_lines(str(rx2 / f"COM12-Seapath-{kind}-RAW_20180609-000001.Raw"), family(kind, late, "GP", 30.0))
-    m.write_lines(str(rx1 / "COM18-CNAV-GLL-RAW_20180609-000001.raw"), ["06/09/2018,00:00:00.500,$GNGLL,junk*00"])
-    return str(rx1), str(root / "ins")
+    """Bridge: positions five times, RMC once, motion every other second. Mast: all once, 0.4 s later in the second, 22 m apart."""
+    root = tmp_path_factory.mktemp("archive")
+    ferry = Ferry(beam_m=22.0, slide_mps=0.0)
+
+    def write(folder, unit, receiver, ticks, talker):
+        for family, times in ticks.items():
+            sightings = [ferry.at(ferry.start + t, receiver, talker) for t in times]
+            family_file(folder, unit, family, [stamp("scs", s.t + DELAY) + getattr(s, family.lower())() for s in sightings])
+
+    bridge, mast = root / "bridge", root / "mast" / "raw"
+    write(bridge, "3-NAVBOX", 1, {"GGA": [k / 5 for k in range(5 * RUN)], "RMC": range(RUN), "VTG": range(0, RUN, 2)}, "GN")
+    write(mast, "44-Top9", 2, {f: [k + 0.4 for k in range(RUN)] for f in ("GGA", "RMC", "VTG")}, "GP")
+    family_file(bridge, "3-NAVBOX", "GGA", ["a second download"], "_2")
+    family_file(bridge, "3-NAVBOX", "ZDA", ["not wanted"])
+    return str(bridge), str(root / "mast")
 
 
 def test_archive_discovery(spark, archive):
-    rows = discover_files(spark, archive[0]).collect()
-    assert sorted(r["family"] for r in rows) == ["GGA", "RMC", "VTG"]
-    assert not [r for r in rows if r["path"].endswith("_2.raw")]
+    found = discover_files(spark, archive[0]).collect()
+    assert {r["family"]: r["path"].rpartition("-")[2] for r in found} == dict.fromkeys(("GGA", "RMC", "VTG"), "053000.raw")
+    assert {r["stamp"] for r in found} == {"20210307-053000"}
 
 
-def test_archive_pair(spark, archive):
-    epochs, stats = read_pair(spark, "FK", *archive)
+def test_archive_epochs(spark, archive):
+    epochs, stats = read_pair(spark, "leg", *archive)
     epochs = epochs.cache()
-    by_rx = {r["receiver"]: r for r in stats.collect()}
-    for rx, phase in ((1, 0.0), (2, 0.55)):
-        part = epochs.where(F.col("receiver") == rx)
-        n = part.count()
-        assert 395 <= n <= 400 and by_rx[rx]["n_epochs"] == n
-        assert {round(r[0] % 1.0, 2) for r in part.select("utc_time").collect()} == {phase}
-        assert part.where("cog_true IS NOT NULL").count() / n > 0.95
-        assert by_rx[rx]["lag_s"] == pytest.approx(LAG, abs=0.02)
-        assert by_rx[rx]["attached"] + by_rx[rx]["attach_dropped"] == 400
-    pairs = with_pairs(align_epochs(epochs, ["cruise_id"])).where("inter_rx_distance_m IS NOT NULL")
-    assert pairs.count() > 350
-    assert pairs.agg(F.median("inter_rx_distance_m")).first()[0] == pytest.approx(30.0, abs=1.5)
-    row = recording_features(epochs, ["cruise_id"], "deployable").first().asDict()
-    assert not [k for k, v in row.items() if v is None and not k.startswith("cog_magnetic")]
-
-
-def test_prepare_cruise(spark, archive, tmp_path):
-    result = prepare_cruise(spark, "FK", *archive, out_dir=str(tmp_path))
-    windows = result["windows"]
-    assert windows.count() == 5
-    assert {r["transit_tag"] for r in windows.collect()} == {1}
-    document = baseline_document(result, "FK")
-    assert document["n_windows"] == 5 and document["rx1_stats"]["n_epochs"] == 400
-    assert document["inter_rx_distance_m"]["median"] == pytest.approx(30.0, abs=1.5)
-    written = spark.read.text(str(tmp_path / "FK" / "baseline.json"), wholetext=True).first()[0]
-    assert json.loads(written)["cruise_id"] == "FK"
-    single = prepare_cruise(spark, "FK", archive[0])
-    assert "inter_rx_distance_m" not in baseline_document(single, "FK")
-
-
-def test_first_attachment_wins(spark, tmp_path):
-    stem = str(tmp_path / "dev" / "COM1-DEV-{}-RAW_20180609-000001.raw")
-    m.write_lines(stem.format("GGA"), [f"06/09/2018,00:00:0{t}.000,{m.gga(t, 1.0, 1.0)}" for t in range(1, 4)])
-    # 0.5 s lies between two epochs: the earlier one gets it, and keeps its first course.
-    m.write_lines(stem.format("VTG"), [
-        f"06/09/2018,00:00:01.500,{m.vtg(cog=10.0)}", f"06/09/2018,00:00:01.100,{m.vtg(cog=20.0)}",
-        f"06/09/2018,00:00:09.000,{m.vtg(cog=30.0)}", m.vtg(cog=40.0),
-    ])
-    epochs, stats = read_pair(spark, "c", str(tmp_path / "dev"))
-    got = {r["utc_time"] % 86400: r["cog_true"] for r in epochs.collect()}
-    assert got == {1.0: 10.0, 2.0: None, 3.0: None}
-    row = stats.first()
-    assert (row["attached"], row["attach_dropped"], row["lag_s"]) == (2, 2, 0.0)
+    for r in stats.collect():
+        own = epochs.where(F.col("receiver") == r["receiver"])
+        phase, every = (0.0, 2) if r["receiver"] == 1 else (0.4, 1)
+        times = sorted(x["utc_time"] for x in own.collect())
+        assert times == pytest.approx([of_day(Ferry.start + k + phase) for k in range(RUN)], abs=1e-3)
+        assert r["n_epochs"] == RUN and r["lag_s"] == pytest.approx(DELAY, abs=0.005)
+        assert (r["attached"], r["attach_dropped"]) == (RUN // every, 0)
+        assert own.where("cog_true = 300").count() == RUN // every
+    gaps = with_pairs(align_epochs(epochs, ["cruise_id"])).where("inter_rx_distance_m IS NOT NULL")
+    # The 0.4 s between their epochs are bridged by the motion; what is left is the beam.
+    assert gaps.agg(F.median("inter_rx_distance_m")).first()[0] == pytest.approx(22.0, abs=0.1)
+
+
+def test_prepared_cruise(spark, archive, tmp_path):
+    result = prepare_cruise(spark, "leg", *archive, out_dir=str(tmp_path))
+    rows = result["windows"].collect()
+    assert len(rows) == 3 and all(r["transit_tag"] == 1 for r in rows)
+    document = json.loads(spark.read.text(str(tmp_path / "leg" / "baseline.json"), wholetext=True).first()[0])
+    assert document["cruise_id"] == "leg" and document["n_windows"] == 3
+    assert document["rx2_stats"]["n_epochs"] == RUN
+    assert document["inter_rx_distance_m"]["median"] == pytest.approx(22.0, abs=0.1)
+    assert "inter_rx_distance_m" not in baseline_document(prepare_cruise(spark, "leg", archive[1]), "leg")
+
+
+def test_attachment_rules(spark, tmp_path):
+    """A line goes to the nearest position within 0.6 s, the earlier of two equally near; the first to arrive stays."""
+    turn = lambda at, course: stamp("scs", at) + Sighting(0, course=course).vtg()
+    family_file(tmp_path, "5-X", "GGA", [stamp("scs", k) + Sighting(float(k)).gga() for k in (7, 8, 9)])
+    family_file(tmp_path, "5-X", "VTG", [turn(8.5, 80.0), turn(7.9, 70.0), turn(20.0, 10.0), Sighting(0).vtg()])
+    epochs, stats = read_pair(spark, "c", str(tmp_path))
+    assert {r["utc_time"] - of_day(0): r["cog_true"] for r in epochs.collect()} == {7.0: None, 8.0: 80.0, 9.0: None}
+    only = stats.first()
+    assert (only["lag_s"], only["attached"], only["attach_dropped"], only["n_epochs"]) == (0.0, 2, 2, 3)
+
+
+def test_a_device_without_external_clock_keeps_its_rows(spark, tmp_path):
+    family_file(tmp_path, "6-Y", "GGA", [Sighting(float(k)).gga() for k in range(4)])
+    family_file(tmp_path, "6-Y", "VTG", [Sighting(0).vtg()])
+    epochs, stats = read_pair(spark, "c", str(tmp_path))
+    assert epochs.count() == 4
+    only = stats.first()
+    assert (only["lag_s"], only["attached"], only["attach_dropped"], only["n_epochs"]) == (0.0, 0, 1, 4)
 
 
 def test_archive_without_files(spark, tmp_path):
-    m.write_lines(str(tmp_path / "dev" / "notes.txt"), ["nothing"])
-    epochs, stats = read_pair(spark, "c", str(tmp_path / "dev"))
-    assert epochs.count() == 0 and stats.count() == 0
+    save_lines(tmp_path / "readme.md", ["empty"])
+    assert [part.count() for part in read_pair(spark, "c", str(tmp_path))] == [0, 0]
 
 
 def test_decimation_keeps_the_earliest(spark):
-    df = spark.createDataFrame([("d", 1.9), ("d", 1.2), ("d", 2.0), ("e", 1.5)], "k string, t double")
-    assert sorted((r["k"], r["t"]) for r in earliest_per_bucket(df, ["k"], "t").collect()) == [("d", 1.2), ("d", 2.0), ("e", 1.5)]
+    rows = spark.createDataFrame([("p", 5.6), ("q", 6.5), ("p", 5.25), ("p", 6.0)], "who string, at double")
+    kept = sorted(tuple(r) for r in earliest_per_bucket(rows, ["who"], "at").collect())
+    assert kept == [("p", 5.25), ("p", 6.0), ("q", 6.5)]
