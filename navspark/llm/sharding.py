@@ -11,56 +11,74 @@ from navspark.session import stage
 
 SHARDS = 40
 ROUNDS = 12
-_STEPS = 256
+_STEPS = 64
+#: Linked rows of a group move in this many pieces for each shard.
+_PIECES = 16
 
 
 def _literal(values: list[int]) -> Column:
     return F.array(*[F.lit(int(v)).cast("long") for v in values])
 
 
+def _wishes(pieces: DataFrame, room: list[int], turn: int) -> DataFrame:
+    """Adds to pieces (grp, home, n, shard) the shard each aims for, if any, and its place in that shard's queue.
+
+    A piece wants the strongest shard of its group that has room for it, if that is stronger than its own; equal
+    strengths are decided by a hash of group and shard, so two halves never swap for ever.
+    """
+    own = F.struct(
+        F.sum("n").over(Window.partitionBy("grp", "shard")).alias("n"), F.xxhash64("grp", "shard").alias("tie"), F.col("shard")
+    )
+    strong = pieces.repartition("grp").withColumn("own", own)
+    # One entry for each shard that the group is in.
+    strong = strong.withColumn("all", F.collect_set("own").over(Window.partitionBy("grp")))
+    fitting = F.filter("all", lambda x: F.element_at(_literal(room), x["shard"] + 1) >= F.col("n"))
+    strong = strong.withColumn("best", F.array_max(fitting))
+    step = F.pmod(F.xxhash64("grp", "home", F.lit(turn)), F.lit(_STEPS))
+    code = (63 - F.floor(F.log2("best.n"))) * _STEPS + step
+    wants = F.col("best") > F.col("own")
+    return strong.select(
+        "grp", "home", "n", "shard", F.when(wants, F.col("best.shard")).alias("aim"), F.when(wants, code).cast("long").alias("code")
+    )
+
+
 def _propagate(pieces: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
-    """Move pieces (grp, home, n, shard) towards the shards where their group is strongest.
+    """Move pieces towards the shards where their group is strongest, as far as quotas let them.
 
-    Each round joins pieces to the counts of their neighbours per shard. A piece wants the
-    strongest shard with room, if that is stronger than its own; equal counts are decided by a hash
-    of group and shard, so two halves never swap for ever. Wishes are let in by strength
-    until a shard's room is used; the rest tries again next round. The sum of squared
-    counts rises with each move, so the rounds end.
+    Each round compares the linked pieces of a group across shards. Wishes are let in by strength until a
+    shard's room is used; the rest tries again next round. The sum of squared counts rises
+    with each move, so the rounds end. The driver sees sums per shard and step of the queue only.
     """
-    for turn in range(rounds):
-        held = {r["shard"]: r["n"] for r in pieces.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = [max(0, q - held.get(s, 0)) for s, q in enumerate(quotas)]
-        rank = F.struct(F.sum("n").alias("n"), F.xxhash64("grp", "shard").alias("tie"), F.col("shard"))
-        strength = pieces.groupBy("grp", "shard").agg(rank.alias("own"))
-        free = F.element_at(_literal(room), F.col("shard") + 1) > 0
-        best = Window.partitionBy("grp")
-        wishes = (
-            strength.withColumn("aim", F.max(F.when(free, F.col("own"))).over(best))
-            .where(F.col("aim") > F.col("own"))
-            .select("grp", "shard", F.col("own.n").alias("moving"), F.col("aim.shard").alias("aim"), F.col("aim.n").alias("pull"))
-        )
-        step = F.pmod(F.xxhash64("grp", F.lit(turn)), F.lit(_STEPS))
-        wishes = stage(wishes.withColumn("level", F.floor(F.log2("pull")).cast("int")).withColumn("step", step), "wishes")
-        queue = Window.partitionBy("aim").orderBy(F.desc("level"), "step").rowsBetween(Window.unboundedPreceding, 0)
-        levels = wishes.groupBy("aim", "level", "step").agg(F.sum("moving").alias("moving"))
-        let_in = (
-            levels.withColumn("used", F.sum("moving").over(queue))
-            .where(F.col("used") <= F.element_at(_literal(room), F.col("aim") + 1)).select("aim", "level", "step")
-        )
-        moves = stage(wishes.join(let_in, ["aim", "level", "step"]).select("grp", "shard", "aim"), "moves")
-        if moves.isEmpty():
-            # A bucket of wishes larger than the room would wait for ever: let the first single ones in.
-            fits = wishes.where(F.col("moving") <= F.element_at(_literal(room), F.col("aim") + 1))
-            lone = fits.groupBy("aim").agg(F.max_by(F.struct("grp", "shard"), F.struct("pull", F.xxhash64("grp", "shard"))).alias("m"))
-            moves = stage(lone.select("m.grp", "m.shard", "aim"), "moves")
-            if moves.isEmpty():
-                break
-        pieces = stage(
-            pieces.join(moves, ["grp", "shard"], "left")
-            .select("grp", "home", "n", F.coalesce("aim", "shard").alias("shard")),
-            "pieces",
-        )
-    return pieces
+    shards = len(quotas)
+
+    def by_shard(frame: DataFrame) -> list[int]:
+        found = {r["shard"]: r["n"] for r in frame.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        return [found.get(s, 0) for s in range(shards)]
+
+    held, state, closed = by_shard(pieces), pieces, set()
+    for turn in range(rounds + 1):
+        room = [0 if s in closed else max(0, q - h) for s, (q, h) in enumerate(zip(quotas, held, strict=True))]
+        state = stage(_wishes(state, room, turn), "pieces")
+        queues: dict[int, list] = {}
+        for r in state.where("aim IS NOT NULL").groupBy("aim", "code").agg(F.sum("n").alias("n")).collect():
+            queues.setdefault(r["aim"], []).append((r["code"], r["n"]))
+        if not queues or turn == rounds:
+            break
+        limits = []
+        for s in range(shards):
+            used, limit = 0, -1
+            for code, n in sorted(queues.get(s, ())):
+                used += n
+                if used > room[s]:
+                    break
+                limit = code
+            limits.append(limit)
+            if s in queues and limit < 0:
+                closed.add(s)  # the first in the queue together are more than the room: look elsewhere
+        moves = F.col("aim").isNotNull() & (F.col("code") <= F.element_at(_literal(limits), F.col("aim") + 1))
+        state = state.select("grp", "home", "n", F.when(moves, F.col("aim")).otherwise(F.col("shard")).alias("shard"))
+        held = by_shard(state)
+    return state
 
 
 def balanced_shards(
@@ -83,7 +101,7 @@ def balanced_shards(
         docs.select(
             F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
             F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), linked_by.alias("grp"),
-            F.pmod(F.xxhash64(F.col(id_col), F.lit("home")), F.lit(shards)).cast("int").alias("home"),
+            F.pmod(F.xxhash64(F.col(id_col), F.lit("home")), F.lit(shards * _PIECES)).cast("int").alias("home"),
         ),
         "rows",
     )
@@ -91,10 +109,10 @@ def balanced_shards(
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     starts = rows.where("grp IS NOT NULL").groupBy("grp", "home").agg(F.count("*").alias("n"))
     linked = starts.withColumn("_all", F.sum("n").over(Window.partitionBy("grp"))).where("_all > 1").drop("_all")
-    pieces = stage(linked.withColumn("shard", F.col("home")), "pieces")
+    pieces = stage(linked.withColumn("shard", F.col("home") % shards), "pieces")
     placed = _propagate(pieces, quotas, rounds).select("grp", "home", "shard")
     held = rows.join(placed, ["grp", "home"], "left").withColumn("shard", F.coalesce("shard", F.lit(shards)))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // 20000)))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // 2000)))
     order = [F.col(c) for c in ("doc_id", "text_crc32", "size")]
     queued = stage(ranked(held, ["shard"], order, spread, "place"), "queued")
     counts = {r["shard"]: r["n"] for r in queued.groupBy("shard").agg(F.count("*").alias("n")).collect()}
