@@ -129,7 +129,7 @@ def mix(
     shares = whole.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "n", "copies")
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
     joined = rows.join(shares, same).select("doc_id", "source", "size", "n", "copies")
-    spread = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / 20000))
+    spread = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / 1000))
     order = [F.xxhash64(F.col("doc_id"), F.lit("copies")), F.col("doc_id")]
     placed = ranked(joined, ["source", "size"], order, spread, "_place")
     copies = (F.expr("copies div n") + (F.col("_place") < F.expr("copies % n")).cast("long")).cast("int")
