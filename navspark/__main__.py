@@ -6,7 +6,7 @@ import argparse
 import os
 
 from navspark.config import load_settings
-from navspark.session import build_session
+from navspark.session import build_session, clear_staging
 
 
 def parser() -> argparse.ArgumentParser:
@@ -83,7 +83,10 @@ def main(argv: list[str] | None = None) -> None:
         },
     )
     spark = build_session("navspark", args.master)
-    PROGRAMS[args.program](spark, args, settings)
+    try:
+        PROGRAMS[args.program](spark, args, settings)
+    finally:
+        clear_staging(spark)
 
 
 def _features(spark, settings, path=None):

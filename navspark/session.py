@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,11 @@ def build_session(app: str = "navspark", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+@cache
+def _private_dir() -> str:
+    return tempfile.mkdtemp(prefix="navspark-")
+
+
 def staging_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,7 +44,18 @@ def staging_dir(spark: SparkSession) -> str:
         return current
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="navspark-")
+    return _private_dir()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where this application stages its intermediates."""
+    return f"{staging_dir(spark).rstrip('/')}/navspark-{spark.sparkContext.applicationId}"
+
+
+def clear_staging(spark: SparkSession) -> None:
+    """Delete what this application has staged, once no result that reads it is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +66,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     fit would otherwise recompute its input on every pass.
     """
     spark = df.sparkSession
-    path = f"{staging_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -33,7 +33,7 @@ def discover_files(spark: SparkSession, device_dir: str, families=FAMILIES) -> D
     """
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(device_dir)
-        .select(F.col("path"))
+        .select(F.col("_metadata.file_path").alias("path"))
     )
     named = listing.select(
         "path",
@@ -48,20 +48,16 @@ def discover_files(spark: SparkSession, device_dir: str, families=FAMILIES) -> D
 def read_device_lines(spark: SparkSession, device_dir: str, families=FAMILIES) -> DataFrame:
     """Lines of the discovered files with ``family`` and ``stamp`` from the file name.
 
-    The file list decides what is scanned (an archive holds many unused families); it is
-    as long as the directory listing the scan itself keeps on the driver.
+    A pattern of file names keeps the scan off the many families nobody asks for; the
+    copies among the rest are left out by a join with the files chosen.
     """
-    paths = [r["path"] for r in discover_files(spark, device_dir, families).collect()]
-    if not paths:
-        return spark.createDataFrame(
-            [], "path string, block bigint, row bigint, line string, family string, stamp string"
-        )
-    return read_lines(spark, paths).withColumns(
-        {
-            "family": F.upper(F.regexp_extract("path", FILE_NAME, 3)),
-            "stamp": F.regexp_extract("path", FILE_NAME, 4),
-        }
-    )
+    def caseless(text: str) -> str:
+        return "".join(f"[{c.upper()}{c.lower()}]" for c in text)
+
+    names = ",".join(caseless(f) for f in families)
+    lines = read_lines(spark, device_dir, recursive=True, names=f"*-{{{names}}}-{caseless('RAW')}_*.{caseless('raw')}")
+    chosen = discover_files(spark, device_dir, families)
+    return lines.join(chosen, "path")
 
 
 def earliest_per_bucket(rows: DataFrame, by: list[str], on: str, bucket_s: float = 1.0) -> DataFrame:

@@ -17,12 +17,13 @@ from navspark.operators.neighbours import Lookup, lookup_neighbours
 from navspark.session import stage
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False, names: str | None = None) -> DataFrame:
     """``path, block, row, line``: text lines with their place in the file.
 
-    Undecodable bytes are dropped.
+    ``names`` is a pattern of file names to read. Undecodable bytes are dropped.
     """
-    raw = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(paths)
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    raw = (reader.option("pathGlobFilter", names) if names else reader).text(paths)
     clean = F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit(""))
     return raw.select(
         F.col("_metadata.file_path").alias("path"),

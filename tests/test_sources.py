@@ -307,3 +307,16 @@ def test_decimation_keeps_the_earliest(spark):
     rows = spark.createDataFrame([("p", 5.6), ("q", 6.5), ("p", 5.25), ("p", 6.0)], "who string, at double")
     kept = sorted(tuple(r) for r in earliest_per_bucket(rows, ["who"], "at").collect())
     assert kept == [("p", 5.25), ("p", 6.0), ("q", 6.5)]
+
+
+def test_staged_tables_are_deleted_on_request(spark):
+    from navspark.session import clear_staging, run_folder, stage
+
+    kept = stage(spark.range(3), "some")
+    assert kept.count() == 3
+    folder = run_folder(spark).removeprefix("file:")
+    assert any(p.name.startswith("some-") for p in __import__("pathlib").Path(folder).iterdir())
+    other = f"{folder}-not-this-one"
+    spark.range(1).write.parquet(other)
+    clear_staging(spark)
+    assert not __import__("os").path.exists(folder) and __import__("os").path.exists(other)
