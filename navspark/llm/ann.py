@@ -18,8 +18,8 @@ SAMPLE = 60_000
 LEAF = 200
 BRANCHING = 16
 CALIBRATION = 256
-RECALL = 0.97
-#: Rows of a leaf, or of its queries, that meet in one task.
+RECALL = 0.95
+#: Rows that meet their queries in one task.
 BLOCK = 4096
 
 
@@ -118,27 +118,58 @@ def _usable(vector: Column, dims: int) -> Column:
 
 
 def _nearest(index: DataFrame, wanted: DataFrame, dims: int, k: int) -> DataFrame:
-    """(q, vid, score): per query the k best rows of each block it shares with them; both sides have leaf and part."""
+    """(q, vid, score): per query its k best rows among the leaves it visits.
+
+    ``index`` has (vid, vector, leaf, block), ``wanted`` (q, vector, bound, leaves, block): a query once for each
+    block of neighbouring leaves. What scores below a query's bound cannot be among its best and stays behind.
+    """
 
     def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        q, ids, scores = [], [], []
+        parts: list[tuple] = []
         if rows.num_rows and queries.num_rows:
-            names, grid = np.asarray(rows["vid"].combine_chunks()), _grid(rows["vector"].combine_chunks(), dims)
-            for start in range(0, queries.num_rows, 256):
-                some = queries.slice(start, 256)
-                found = _scores(_grid(some["vector"].combine_chunks(), dims), grid)
-                for name, line, places in zip(np.asarray(some["q"].combine_chunks()), found, _best(found, names, k), strict=True):
-                    q.append(np.full(len(places), name))
-                    ids.append(names[places])
-                    scores.append(line[places])
-        join = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-        return pa.table({"q": join(q, pa.int64()), "vid": join(ids, pa.int64()), "score": join(scores, pa.float64())})
-
-    pairs = index.groupBy("leaf", "part").cogroup(wanted.groupBy("leaf", "part")).applyInArrow(meet, "q long, vid long, score double")
+            rows = rows.sort_by("leaf")
+            names, grid, leaf = np.asarray(rows["vid"].combine_chunks()), _grid(rows["vector"].combine_chunks(), dims), np.asarray(rows["leaf"])
+            asked, asks = np.asarray(queries["q"].combine_chunks()), _grid(queries["vector"].combine_chunks(), dims)
+            bound, lists = np.asarray(queries["bound"].combine_chunks()), queries["leaves"].combine_chunks()
+            owner = np.repeat(np.arange(len(asked)), np.diff(np.asarray(lists.offsets)))
+            visited = np.asarray(lists.flatten())
+            for x in np.unique(leaf):
+                own = slice(*np.searchsorted(leaf, [x, x + 1]))
+                sure = owner[visited == x]
+                for start in range(0, len(sure), 256):
+                    some = sure[start : start + 256]
+                    found = _scores(asks[some], grid[own])
+                    found[found < bound[some, None]] = -np.inf
+                    for i, line, places in zip(some, found, _best(found, names[own], k), strict=True):
+                        places = places[line[places] > -np.inf]
+                        parts.append((np.full(len(places), i), names[own][places], line[places]))
+        if not parts:
+            return pa.table({"q": pa.array([], pa.int64()), "vid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        i, vid, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((vid, -score, i))
+        i, vid, score = i[order], vid[order], score[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        return pa.table({"q": asked[i[rank < k]], "vid": vid[rank < k], "score": score[rank < k]})
+
+    pairs = index.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(meet, "q long, vid long, score double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vid"))
     return pairs.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
+def _blocks(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """First block of each leaf and how many it fills: neighbours in the tree share blocks of about ``BLOCK`` rows, a large leaf has several."""
+    out, block, held = {}, 0, 0
+    for leaf in sorted(sizes):
+        if held and held + sizes[leaf] > BLOCK:
+            block, held = block + 1, 0
+        parts = -(-sizes[leaf] // BLOCK)
+        out[leaf] = (block, parts)
+        held += sizes[leaf]
+        if parts > 1:
+            block, held = block + parts, 0
+    return out
+
+
 def search(
     vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: float = RECALL, sample: int = SAMPLE,
     leaf: int = LEAF, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -187,9 +218,12 @@ def search(
     sizes = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
     test = queries.orderBy(F.xxhash64("q", F.lit(1)), "q").limit(CALIBRATION)
     parts = max(1, -(-total // BLOCK))
+    low, zero = F.lit(float("-inf")), F.lit(0).cast("long")
     exact = _nearest(
-        index.select("vid", "vector", F.lit(0).alias("leaf"), F.pmod(F.xxhash64("vid"), F.lit(parts)).alias("part")),
-        test.select("q", "vector", F.lit(0).alias("leaf"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")),
+        index.select("vid", "vector", zero.alias("leaf"), F.pmod(F.xxhash64("vid"), F.lit(parts)).alias("block")),
+        test.select(
+            "q", "vector", low.alias("bound"), F.array(zero).alias("leaves"), F.explode(F.sequence(zero, F.lit(parts - 1).cast("long"))).alias("block")
+        ),
         dims, k,
     )
     truth = exact.join(index.select("vid", "leaf"), "vid").groupBy("q").agg(F.collect_list("leaf").alias("leaves"))
@@ -200,35 +234,44 @@ def search(
         ranks += [order[x] for x in r["leaves"]]
     ranks.sort()
     visits = ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))] + 1 if ranks else 1
-    blocks = {x: -(-n // BLOCK) for x, n in sizes.items()}
-    shared_sizes = spark.sparkContext.broadcast((sizes, blocks))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, cut = shared_sizes.value
-        for batch in batches:
-            row, leaf_id, part = [], [], []
-            for i, query in enumerate(_grid(batch.column(1), dims)):
-                for x in shared.value.visits(query, held, visits, k + 1):
-                    for p in range(cut[x]):
-                        row.append(i)
-                        leaf_id.append(x)
-                        part.append(p)
-            yield pa.RecordBatch.from_arrays(
-                [*[c.take(pa.array(row, pa.int64())) for c in batch.columns], pa.array(leaf_id, pa.int64()), pa.array(part, pa.int64())],
-                ["q", "vector", "leaf", "part"],
-            )
-
-    wanted = queries.mapInArrow(walk, "q long, vector array<double>, leaf long, part long")
+    layout = _blocks(sizes)
+    laid = spark.sparkContext.broadcast((sizes, layout))
+
+    def walk(some: DataFrame, first: bool) -> DataFrame:
+        """Visits of each query, by block: the leaf it starts in, or those after it."""
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, blocks = laid.value
+            for batch in batches:
+                row, block, lists = [], [], []
+                for i, query in enumerate(_grid(batch.column(1), dims)):
+                    start = shared.value.visits(query, held, 1, k + 1)
+                    way = start if first else shared.value.visits(query, held, visits, k + 1)[len(start) :]
+                    met: dict[int, list] = {}
+                    for x in way:
+                        for b in range(blocks[x][0], blocks[x][0] + blocks[x][1]):
+                            met.setdefault(b, []).append(x)
+                    row += [i] * len(met)
+                    block += met.keys()
+                    lists += met.values()
+                taken = [c.take(pa.array(row, pa.int64())) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(lists, pa.list_(pa.int64())), pa.array(block, pa.int64())], ["q", "vector", "bound", "leaves", "block"])
+
+        return some.mapInArrow(step, "q long, vector array<double>, bound double, leaves array<long>, block long")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = shared_sizes.value[1]
+        blocks = laid.value[1]
         for batch in batches:
-            cuts = np.array([cut[x] for x in batch.column(2).to_pylist()], np.int64)
-            spread = np.asarray(batch.column(3)).astype(np.int64) % np.maximum(cuts, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spread)], ["vid", "vector", "leaf", "part"])
+            start, cuts = (np.array([blocks[x][i] for x in batch.column(2).to_pylist()], np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(start + np.asarray(batch.column(3)) % cuts)], ["vid", "vector", "leaf", "block"])
 
     dealt = index.withColumn("spread", F.pmod(F.xxhash64("vid"), F.lit(1 << 30)))
-    found = _nearest(dealt.mapInArrow(deal, "vid long, vector array<double>, leaf long, part long"), wanted, dims, k + 1)
+    dealt = stage(dealt.mapInArrow(deal, "vid long, vector array<double>, leaf long, block long"), "dealt")
+    near = stage(_nearest(dealt, walk(queries.withColumn("bound", low), True), dims, k + 1), "near")
+    bounds = near.groupBy("q").agg(F.when(F.count("*") > k, F.min("score")).otherwise(low).alias("bound"))
+    wider = _nearest(dealt, walk(queries.join(bounds, "q").select("q", "vector", "bound"), False), dims, k + 1)
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vid"))
+    found = near.unionByName(wider).withColumn("_n", best).where(F.col("_n") <= k + 1).drop("_n")
     each = found.join(kinds.select("vid", "key", "ids"), "vid").select("q", "score", F.explode("ids").alias("vec_id"))
     line = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     short = each.withColumn("_n", line).where(F.col("_n") <= k + 1)
