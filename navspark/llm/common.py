@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from navspark.session import stage
+
 #: A word is a run of anything but these separators.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +24,12 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS, -1), "")
 
 
+def small(df: DataFrame, name: str, limit: int = 500_000) -> DataFrame:
+    """``df``, written, and sent to every task in joins if it has at most ``limit`` rows; beyond that it is joined by a shuffle."""
+    written = stage(df, name)
+    return F.broadcast(written) if written.count() <= limit else written
+
+
 def crc_fold(key: Column, folds: int) -> Column:
     """Remainder of the CRC-32 of a key written as text."""
     return F.crc32(key.cast("string").cast("binary")) % folds

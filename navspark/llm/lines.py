@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from navspark.llm.common import small
 from navspark.session import stage
 
 EDITS = 2
 SHORTEST = 20
-#: Up to so many lines to be verified are sent to every task; more are joined by a shuffle.
-BROADCAST = 500_000
 _CLASSES = 8
+_PARTS = 16
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -78,14 +79,9 @@ def within(left: str, right: str, edits: int) -> bool:
 
 
 def _letters(line: str) -> int:
-    """Counts of eight classes of characters, one byte each."""
-    out = 0
-    counts = [0] * _CLASSES
-    for c in line:
-        counts[ord(c) % _CLASSES] += 1
-    for i, n in enumerate(counts):
-        out |= (n & 255) << (8 * i)
-    return out - (1 << 64) if out >= 1 << 63 else out
+    """Counts of eight classes of characters, modulo 256, one byte each."""
+    points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    return int(np.bincount(points % _CLASSES, minlength=_CLASSES).astype(np.uint8).view(np.int64)[0])
 
 
 def _far(left: str, right: str) -> Column:
@@ -102,37 +98,35 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where("trim(line) <> ''")
 
 
-def _keys(lines: DataFrame, edits: int) -> DataFrame:
-    """Index and probe keys of each different line, once per task: (key, probe, h, letters)."""
+def _keys(lines: DataFrame, edits: int, probe: bool) -> DataFrame:
+    """Index keys, or probe keys, of each different line, once per task: (key, h, letters)."""
+
+    def cuts(size: int) -> list[tuple[int, int, int]]:
+        if probe:
+            return [(other * 64 + i, at, at + n) for other, i, at, n in probes(size, edits)]
+        return [(size * 64 + i, at, at + n) for i, (at, n) in enumerate(segments(size, edits))]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         plans: dict[int, list] = {}
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            keys, asks, names, letters = [], [], [], []
+            keys, names, letters, sent = [], [], [], []
             for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if h in seen:
                     continue
                 seen.add(h)
-                size = len(line)
-                if size not in plans:
-                    own = [(size * 64 + i, at, at + n) for i, (at, n) in enumerate(segments(size, edits))]
-                    plans[size] = [own, [(other * 64 + i, at, at + n) for other, i, at, n in probes(size, edits)]]
-                cuts, sent = plans[size], 0
-                for ask, part in enumerate(cuts):
-                    for seed, a, b in part:
-                        keys.append(digest(line[a:b].encode(), seed=seed) - (1 << 63))
-                    asks += [bool(ask)] * len(part)
-                    sent += len(part)
-                names += [h] * sent
-                letters += [_letters(line)] * sent
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(asks, pa.bool_()), pa.array(names, pa.int64()), pa.array(letters, pa.int64())],
-                ["key", "probe", "h", "letters"],
-            )
-
-    return lines.mapInArrow(emit, "key long, probe boolean, h long, letters long")
+                plan = plans.get(len(line))
+                if plan is None:
+                    plan = plans[len(line)] = cuts(len(line))
+                keys += [digest(line[a:b].encode(), seed) for seed, a, b in plan]
+                names.append(h)
+                letters.append(_letters(line))
+                sent.append(len(plan))
+            spread = [np.repeat(np.array(x, np.int64), sent) for x in (names, letters)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *map(pa.array, spread)], ["key", "h", "letters"])
+
+    return lines.mapInArrow(emit, "key long, h long, letters long")
 
 
 def repeated_lines(
@@ -150,14 +144,12 @@ def repeated_lines(
     rows = stage(every.select("doc_id", "line_no", "h", F.length("line").alias("n")), "lines")
     kinds = stage(rows.groupBy("h", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times")), "kinds")
     long_ = every.where(F.length("line") >= shortest)
-    keys = _keys(long_.select("h", "line"), edits)
-    index, asks = keys.where("NOT probe").alias("x"), keys.where("probe").alias("y")
+    index, asks = (_keys(long_.select("h", "line"), edits, probe).alias(name) for probe, name in ((False, "x"), (True, "y")))
     met = index.join(asks, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & (_far("x.letters", "y.letters") <= 2 * edits))
     pairs = met.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
     pairs = stage(pairs, "pairs")
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    texts = stage(long_.select("h", "line").join(few, "h").dropDuplicates(["h"]), "texts")
+    wanted = small(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
+    texts = stage(long_.select("h", "line").join(wanted, "h").dropDuplicates(["h"]), "texts")
     left = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
     right = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
 
@@ -174,7 +166,10 @@ def repeated_lines(
     near = ends.where(F.col("other") < F.col("own")).select(F.col("a").alias("h")).distinct().withColumn("near", F.lit(True))
     judged = kinds.join(near, "h", "left").where("times > 1 OR near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     place = F.struct("doc_id", "line_no")
-    gone = rows.join(judged, "h").where(F.col("near") | (F.col("first") < place)).groupBy("doc_id")
+    # A very common line would meet its many occurrences in one task: both sides are dealt into parts.
+    judged = judged.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)).cast("int"))
+    gone = dealt.join(judged, ["h", "part"]).where(F.col("near") | (F.col("first") < place)).groupBy("doc_id")
     gone = gone.agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
     lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit("\n")) + 1)
     whole = docs.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(lines).cast("long").alias("n_lines"))
