@@ -112,7 +112,9 @@ def balanced_shards(
     pieces = stage(linked.withColumn("shard", F.col("home") % shards), "pieces")
     placed = _propagate(pieces, quotas, rounds).select("grp", "home", "shard")
     held = rows.join(placed, ["grp", "home"], "left").withColumn("shard", F.coalesce("shard", F.lit(shards)))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // 2000)))
+    # All unlinked rows share one number and need more buckets than a shard's linked rows.
+    buckets = F.when(F.col("shard") == shards, max(1, total // 500)).otherwise(max(1, total // 20000))
+    spread = F.pmod(F.xxhash64("doc_id"), buckets)
     order = [F.col(c) for c in ("doc_id", "text_crc32", "size")]
     queued = stage(ranked(held, ["shard"], order, spread, "place"), "queued")
     counts = {r["shard"]: r["n"] for r in queued.groupBy("shard").agg(F.count("*").alias("n")).collect()}
