@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.llm.common import crc_fold, table
+from navspark.llm.common import crc_fold, small, table
 from navspark.llm.decontaminate import contaminated
 from navspark.llm.jaccard import near_duplicates
 from navspark.llm.langid import UNKNOWN, identify, learn
 from navspark.llm.mixing import mixed
 from navspark.llm.sharding import balanced_shards
-from navspark.session import staging_dir
+from navspark.session import stage, staging_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +29,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each component of near copies the document with the smallest id; of repeated rows of that id, one."""
     del spark, sf_dir
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    nameless = docs.where("doc_id IS NULL")
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nameless)
+    found = stage(near_duplicates(docs).where("doc_id IS NOT NULL"), "classes")
+    copies = small(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    repeated = small(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    kept = docs.join(copies, "doc_id", "left_anti")
+    once = kept.join(repeated, "doc_id", "left_anti")
+    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of the benchmark."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    found = small(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -62,8 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written before the next reads them."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{staging_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
+    for number, (name, step) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
