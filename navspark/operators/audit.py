@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from navspark.operators.metrics import roc_auc
 from navspark.operators.ordered import column_quantiles, melt, running_totals
 from navspark.schema import META_COLUMNS, family_of
 

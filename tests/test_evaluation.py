@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from navspark.functions.geo import M_PER_DEG_LAT, haversine_m
 from navspark.operators import splits as sp
-from navspark.operators.audit import audit, family_summary, ks_two_sample, subset_auc, zero_intensity_separators
+from navspark.operators.audit import audit, family_summary, ks_two_sample, zero_intensity_separators
 from navspark.operators.inject import inject
 from navspark.operators.intervals import base_rate_analysis, exact_interval, mcnemar_p
 from navspark.operators.metrics import confusion_metrics, roc_auc
@@ -16,7 +16,6 @@ from navspark.operators.prep import LIGHT, PrepOptions, correlation_matrix, fit_
 from navspark.operators.thresholds import evaluate_thresholds, max_f1_threshold, pick_threshold
 
 
-
 def frame(spark, pdf):
     clean = pdf.astype(object).where(pdf.notna(), None)
     kinds = {"i": "bigint", "f": "double", "O": "string", "b": "boolean"}
