@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from navspark.llm.common import small
 from navspark.llm.components import connected_components
 from navspark.llm.tokens import mix64, shingle_sets
 from navspark.session import stage
@@ -36,13 +37,12 @@ def _bitmap(shingles: np.ndarray, lanes: int = _LANES) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _wide(shingles: np.ndarray) -> tuple[list | None, list | None]:
-    """For a set too large for ``_LANES``: a bitmap with more bits than shingles, and the same folded to half its length."""
-    if len(shingles) <= 50 * _LANES:
-        return None, None
-    lanes = _LANES << int(np.ceil(np.log2(len(shingles) / (50 * _LANES))))
-    bits = _bitmap(shingles, lanes)
-    return bits, bits[: lanes // 2] | bits[lanes // 2 :]
+def _wide(shingles: np.ndarray) -> np.ndarray | None:
+    """For a set too large for ``_LANES``: a bitmap with at least three bits for each shingle."""
+    lanes = _LANES
+    while 64 * lanes < 3 * len(shingles):
+        lanes *= 2
+    return _bitmap(shingles, lanes) if lanes > _LANES else None
 
 
 def _name(shingles: np.ndarray) -> int:
@@ -53,7 +53,7 @@ def _name(shingles: np.ndarray) -> int:
 def _scan(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
     """Per row of ``docs`` its set's name, size and bitmap; besides, shingles common within a run of texts and how often."""
     fields = ["doc_id", "sid", "n", *[f"b{i}" for i in range(_LANES)], "shingle", "times"]
-    schema = pa.schema([*[(f, pa.int64()) for f in fields], ("wide", pa.list_(pa.int64())), ("half", pa.list_(pa.int64()))])
+    schema = pa.schema([*[(f, pa.int64()) for f in fields], ("wide", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,8 +61,8 @@ def _scan(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
                 grid = np.array([_bitmap(s) for s in sets])
                 own = [batch.column(0).slice(first, len(sets)), pa.array([_name(s) for s in sets], pa.int64())]
                 own += [pa.array([len(s) for s in sets], pa.int64()), *[pa.array(grid[:, i]) for i in range(_LANES)]]
-                maps = [pa.array(m, pa.list_(pa.int64())) for m in zip(*[_wide(s) for s in sets], strict=True)]
-                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(sets), pa.int64())] * 2, *maps], schema=schema)
+                wide = pa.array([_wide(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(sets), pa.int64())] * 2, wide], schema=schema)
                 every = np.sort(np.concatenate(sets))
                 if not len(every):
                     continue
@@ -71,11 +71,11 @@ def _scan(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
                 common = times >= _LOCAL
                 blank = [pa.nulls(int(common.sum()), pa.int64())] * (len(fields) - 2)
                 counted = [pa.array(every[at][common].view(np.int64)), pa.array(times[common], pa.int64())]
-                none = [pa.nulls(int(common.sum()), pa.list_(pa.int64()))] * 2
-                yield pa.RecordBatch.from_arrays([*blank, *counted, *none], schema=schema)
+                none = pa.nulls(int(common.sum()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*blank, *counted, none], schema=schema)
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    columns = ", ".join(f"{f} long" for f in fields) + ", wide array<long>, half array<long>"
+    columns = ", ".join(f"{f} long" for f in fields) + ", wide array<long>"
     return stage(chosen.mapInArrow(scan, columns), "scan")
 
 
@@ -180,19 +180,25 @@ def _wide_bound(left: str, right: str, percent: int) -> Column:
         bits = f"zip_with({x}, {y}, (a, b) -> bit_count(a & ~b))"
         return F.expr(f"aggregate({bits}, 0L, (s, c) -> s + c)")
 
+    def folded(x: str) -> str:
+        half = f"size({x}) div 2"
+        return f"transform(slice({x}, 1, {half}), (v, i) -> v | {x}[i + {half}])"
+
     def both(x: str, y: str) -> Column:
-        return _possible(F.col(f"{left}.n"), F.col(f"{right}.n"), only(f"{left}.{x}", f"{right}.{y}"), only(f"{right}.{y}", f"{left}.{x}"), percent)
+        return _possible(F.col(f"{left}.n"), F.col(f"{right}.n"), only(x, y), only(y, x), percent)
 
-    x, y = F.size(f"{left}.wide"), F.size(f"{right}.wide")
-    small = F.col(f"{left}.wide").isNull() | F.col(f"{right}.wide").isNull()
-    return F.when(small, True).when(x == y, both("wide", "wide")).when(x == 2 * y, both("half", "wide")).when(2 * x == y, both("wide", "half")).otherwise(False)
+    x, y = f"{left}.wide", f"{right}.wide"
+    small = F.col(x).isNull() | F.col(y).isNull()
+    equal, longer, shorter = (F.expr(f"{k} * size({x}) = {m} * size({y})") for k, m in ((1, 1), (1, 2), (2, 1)))
+    either = F.when(equal, both(x, y)).when(longer, both(folded(x), y)).when(shorter, both(x, folded(y)))
+    return F.when(small, True).otherwise(either.otherwise(False))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of set names whose exact Jaccard similarity reaches the threshold."""
     pairs = stage(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = sets.join(ends, "sid").select("sid", F.col("first_doc").alias("_doc"))
+    wanted = small(sets.join(ends, "sid").select("sid", F.col("first_doc").alias("_doc")), "wanted")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,11 +252,11 @@ def near_duplicates(
     """
     bits = [f"b{i}" for i in range(_LANES)]
     scanned = _scan(docs, text_col, id_col, width)
-    named = scanned.where("times IS NULL").select("doc_id", "sid", "n", *bits, "wide", "half")
+    named = scanned.where("times IS NULL").select("doc_id", "sid", "n", *bits, "wide")
     tiles = stage(_shared_only(_probe_rows(docs, text_col, _frequent(scanned), width, percent)), "tiles")
     check = partial(_verified, docs=docs, text=text_col, key=id_col, width=width, percent=percent)
     sets = stage(
-        named.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first_doc"), *[F.first(b).alias(b) for b in (*bits, "wide", "half")]),
+        named.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first_doc"), *[F.first(b).alias(b) for b in (*bits, "wide")]),
         "sets",
     )
     maps = sets.select("sid", "n", *bits)
@@ -262,7 +268,7 @@ def near_duplicates(
         return with_x.join(y, F.col("b") == F.col("y.sid")).where(_bound("x", "y", percent)).select("a", "b")
 
     def still_possible(pairs: DataFrame) -> DataFrame:
-        wide = sets.select("sid", "n", "wide", "half")
+        wide = sets.select("sid", "n", "wide")
         with_x = stage(pairs, "bounded").join(wide.alias("x"), F.col("a") == F.col("x.sid"))
         return with_x.join(wide.alias("y"), F.col("b") == F.col("y.sid")).where(_wide_bound("x", "y", percent)).select("a", "b")
 
