@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check."""
+"""Benchmark decontamination: item-sized windows found by SimHash in Hamming blocks and by rare shingles, exact check."""
 
 from __future__ import annotations
 
@@ -49,6 +49,21 @@ def _fingerprints(windows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, *blocks)
 
 
+def _rarest(rows: DataFrame, keys: list[str], width: int, known: DataFrame, needed) -> DataFrame:
+    """The first size - needed + 1 shingles of each row, those in few items first; the k-th repetition is a shingle of its own.
+
+    A row with at least ``needed`` shingles in common with another shares one of these with
+    it, if the other's are cut likewise.
+    """
+    runs = rows.select(*keys, F.explode(_shingles(F.col("words"), width)).alias("shingle"))
+    runs = runs.groupBy(*keys, "shingle").agg(F.count("*").alias("times")).join(known, "shingle", "left")
+    each = F.transform(F.sequence(F.lit(1), F.col("times")), lambda k: F.struct(F.coalesce("items", F.lit(0)).alias("items"), F.xxhash64("shingle", k).alias("token")))
+    lists = runs.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list(each))).alias("tokens"))
+    size = F.size("tokens")
+    kept = F.slice("tokens", F.lit(1), size - F.ceil(F.round(needed(size), 9)).cast("int") + 1)
+    return lists.select(*keys, F.explode(kept).alias("t")).where("t.items > 0").select(*keys, F.col("t.token").alias("token"))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
@@ -57,7 +72,9 @@ def contaminated(
 
     A window has as many words as the item; a shorter document is one window. Fingerprints
     of windows and items within ``radius`` bits meet in one of four 16-bit blocks, where they differ by at
-    most radius / 4 bits; the items' blocks are listed with all such neighbours. Pairs
+    most radius / 4 bits; the items' blocks are listed with all such neighbours. A pair that reaches the
+    similarity can lie further apart than that, so windows and items that share one of their
+    rarest shingles are candidates too; no pair that reaches it fails to, and none is lost. Pairs
     found are compared exactly: common over all word shingles, counted with their
     repetitions. The best window of each pair is returned, the first of equals.
 
@@ -70,8 +87,9 @@ def contaminated(
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), _hashes(F.col(item_text)).alias("words"))
     items = stage(items.where("size(words) > 0").withColumn("shingles", _shingles(F.col("words"), width)), "items")
     lengths = items.select(F.explode(F.array_distinct("shingles")).alias("shingle"), F.size("words").alias("length"))
-    lengths = stage(lengths.groupBy("shingle").agg(F.collect_set("length").alias("lengths")), "lengths")
-    known = F.broadcast(lengths) if lengths.count() <= BROADCAST else lengths
+    lengths = stage(lengths.groupBy("shingle").agg(F.collect_set("length").alias("lengths"), F.count("*").alias("items")), "lengths")
+    few = lengths.count() <= BROADCAST
+    known, common_to = (F.broadcast(t) if few else t for t in (lengths.select("shingle", "lengths"), lengths.select("shingle", "items")))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     places = (
         texts.select("doc_id", _hashes(F.col("text")).alias("words"))
@@ -110,7 +128,11 @@ def contaminated(
     listed = listed.select("item_id", "g0", "g1", "g2", "g3", "block", F.explode(near).alias("value"))
     probes = prints.select("*", F.posexplode(F.array(*[f"f{b}" for b in range(_BLOCKS)])).alias("block", "value"))
     apart = sum((F.bit_count(F.col(f"f{b}").bitwiseXOR(F.col(f"g{b}"))) for b in range(1, _BLOCKS)), F.bit_count(F.expr("f0 ^ g0")))
-    pairs = probes.join(listed, ["block", "value"]).where(apart <= radius).select("window", "size", "item_id").distinct()
+    alike_bits = probes.join(listed, ["block", "value"]).where(apart <= radius).select("window", "size", "item_id")
+    # A window is never longer than the item, so common is at least 2s / (1 + s) of the window's shingles and s of the item's.
+    tokens = _rarest(kinds, ["window", "size"], width, common_to, lambda n: n * (2 * similarity / (1 + similarity)))
+    shared = tokens.join(_rarest(items.select("item_id", "words"), ["item_id"], width, common_to, lambda n: n * similarity), "token")
+    pairs = alike_bits.unionByName(shared.select("window", "size", "item_id")).distinct()
     pairs = pairs.join(items.select("item_id", F.size("words").alias("length")), "item_id")
     pairs = stage(pairs.where("size <= length"), "pairs")
 

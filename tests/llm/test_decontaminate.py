@@ -52,6 +52,26 @@ def test_against_all_windows(spark, documents):
     assert {(r["doc_id"], r["item_id"]) for r in contaminated(twice, frame).collect()} == {k for k in found if k[0] < 10}
 
 
+def test_ends_cut_down_to_the_similarity(spark, documents):
+    draw = random.Random(5)
+    items = [(i, " ".join("v%d" % draw.randrange(10**9) for _ in range(draw.randrange(80, 201)))) for i in range(300)]
+    docs, expected = [], {}
+    for i, item in items:
+        words = item.split()
+        runs = len(words) - 4
+        # The largest cut at one end that leaves 0.75, filled up with other words; at the start, the middle or the end of the document.
+        cut = max(c for c in range(runs) if 4 * (runs - c) >= 3 * (runs + c))
+        other = ["o%d" % draw.randrange(10**9) for _ in range(cut)]
+        part = other + words[cut:] if i % 2 else words[:-cut] + other
+        text = " ".join((["x", "y"] if i % 3 == 1 else []) + part + (["z"] if i % 3 == 2 else []))
+        docs.append((i, text))
+        expected |= plain([(i, text)], [(i, item)])
+    assert len(expected) == 300
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    found = contaminated(documents([(d, t, None, None) for d, t in docs]), frame).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found} == expected
+
+
 def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
