@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navspark.session import stage
@@ -26,9 +26,9 @@ def learn(
     """Log frequencies of words and of character n-grams per language.
 
     Counts cover every row with a language. Kept are words with at least
-    ``word_share`` of all words and n-grams with at least ``gram_share`` of those
-    of their length: at most 1 / share entries each, so the model's size is bounded
-    whatever the corpus. Rows without text, letters or language teach nothing; without any
+    ``word_share`` of all words of any one language, and n-grams with at least ``gram_share`` of
+    those of their length in any one: at most languages / share entries each, so the model's size is bounded
+    whatever the corpus, and a small language keeps its own statistics. Rows without text, letters or language teach nothing; without any
     language the model is empty and every text is ``und``.
     """
     words = docs.where(F.col(lang).isNotNull()).select(
@@ -40,11 +40,9 @@ def learn(
     langs = sorted(totals)
     if not langs:
         return {"langs": [], "words": {}, "grams": {}}
-    every = sum(totals.values())
     wide = [F.sum(F.when(F.col("lang") == code, F.col("n")).otherwise(0)).alias(f"c{i}") for i, code in enumerate(langs)]
-    kept = counts.groupBy("word").agg(*wide, F.sum("n").alias("n")).where(F.col("n") >= word_share * every)
-    rows = {r[0]: r[1:-1] for r in kept.collect()}
-    known = _logs(rows, [totals[code] for code in langs])
+    kept = counts.groupBy("word").agg(*wide).where(_holds(word_share, [totals[code] for code in langs]))
+    known = _logs({r[0]: r[1:] for r in kept.collect()}, [totals[code] for code in langs])
     exploded = []
     for order in ORDERS:
         marked = F.concat(F.lit("_"), "word", F.lit("_")) if order > 1 else F.col("word")
@@ -63,15 +61,17 @@ def learn(
         sums.setdefault(r["order"], {})[r["lang"]] = r["n"]
     tables = {}
     for order in ORDERS:
-        total = sums.get(order, {})
-        kept = (
-            grams.where(F.col("order") == order).groupBy("gram").agg(*wide, F.sum("n").alias("n"))
-            .where(F.col("n") >= gram_share * sum(total.values()))
-        )
-        tables[order] = _logs({r[0]: r[1:-1] for r in kept.collect()}, [total.get(code, 0) for code in langs])
+        total = [sums.get(order, {}).get(code, 0) for code in langs]
+        kept = grams.where(F.col("order") == order).groupBy("gram").agg(*wide).where(_holds(gram_share, total))
+        tables[order] = _logs({r[0]: r[1:] for r in kept.collect()}, total)
     return {"langs": langs, "words": known, "grams": tables}
 
 
+def _holds(share: float, totals: list[int]) -> Column:
+    """Does any language have the entry, and at least so often in proportion to its own total?"""
+    return F.greatest(*[(F.col(f"c{i}") > 0) & (F.col(f"c{i}") >= share * t) for i, t in enumerate(totals)], F.lit(False))
+
+
 def _logs(counts: dict[str, tuple], totals: list[int]) -> dict[str, tuple]:
     floors = [math.log(t + SMOOTHING * (len(counts) + 1)) for t in totals]
     return {k: tuple(math.log(c + SMOOTHING) - f for c, f in zip(row, floors, strict=True)) for k, row in counts.items()}

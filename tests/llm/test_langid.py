@@ -26,6 +26,20 @@ def test_known_words_and_back_off(documents):
     assert all(0 <= r["score"] <= 1 for r in out.collect())
 
 
+def test_small_language_keeps_its_statistics(documents):
+    # 1,200,000 words, 0.1% of them German: each of its words makes up less than 2 in a million of all.
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = ["qx" + letters[i // 676] + letters[i // 26 % 26] + letters[i % 26] + "zü" for i in range(1200)]
+    common = " ".join(["the house and garden"] * 3000)
+    frame = documents([(i, common, "en", "a") for i in range(100)] + [(1000, " ".join(rare), "de", "a")], extra=False)
+    model = learn(frame)
+    assert set(rare) <= set(model["words"])
+    assert {"abzü", "bazü"} <= set(model["grams"][4])
+    assert decide(rare[7], model, {})[0] == "de"
+    # Still bounded by each language's own share.
+    assert set(learn(frame, word_share=0.01)["words"]) == {"the", "house", "and", "garden"}
+
+
 def test_nothing_to_learn_from(documents):
     for frame in (documents([]), documents([(1, "abc", None, None), (2, None, "en", None), (3, "12", "en", None)])):
         model = learn(frame)
