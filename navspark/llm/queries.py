@@ -80,6 +80,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from navspark.llm.vafile import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 # Word lists as the operators take them: A-Z lower-cased, cut at blanks 0x20 and 0x09 to 0x0D.
@@ -227,9 +234,50 @@ SELECT conv_id, perspective, position, turn, role, name, rendered, start_char,
 FROM placed
 """
 
+
+
+def _clusters(rounds: int) -> str:
+    """Assignment and replacement, written out once for each round."""
+    steps = [r"""
+whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+vectors AS MATERIALIZED (SELECT row_number() OVER () AS row_id, * FROM whole),
+centroids0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS k, v AS c FROM vectors
+    WHERE vec_id IS NOT NULL ORDER BY sha256('2:' || vec_id), v LIMIT 40
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+placed{i} AS MATERIALIZED (
+    SELECT row_id, any_value(vec_id) AS vec_id, any_value(v) AS v, min((d, k)) AS best FROM (
+        SELECT row_id, vec_id, v, k, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+        FROM vectors, centroids{i}
+    ) GROUP BY row_id
+)""")
+        if i < rounds:
+            steps.append(f"""
+sums{i} AS (
+    SELECT k, pos, sum(x) AS s, count(*) AS n FROM (
+        SELECT best[2] AS k, unnest(range(1, 65)) AS pos, unnest(v) AS x FROM placed{i}
+    ) GROUP BY k, pos
+),
+moved{i} AS (SELECT k, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY pos) AS c FROM sums{i} GROUP BY k),
+centroids{i + 1} AS MATERIALIZED (SELECT k, coalesce(m.c, o.c) AS c FROM centroids{i} o LEFT JOIN moved{i} m USING (k))""")
+    return f"""
+WITH {",".join(steps)}
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance,
+    CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM placed{rounds} JOIN centroids{rounds} ON k = best[2]
+"""
+
+
 SQL: dict[str, str] = {
     "op1_line_dedup": _LINES,
     "op3_chat_formatting": _CHAT,
     "op5_decontamination": _LEAKS,
     "op7_jaccard_join": _JACCARD,
+    "op12_centroid_clustering": _clusters(5),
 }
