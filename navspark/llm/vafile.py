@@ -20,7 +20,6 @@ BITS = 6
 #: Components are held within this, so that squared distances of 64 of them stay exact in 64 bits.
 LARGEST = 2**27
 _BLOCK = 2_048
-_BINS = 1_024
 
 
 def _components(vector: str, width: int) -> Column:
@@ -35,6 +34,12 @@ def _grid(column: pa.ListArray, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, width)
 
 
+def _marks() -> np.ndarray:
+    """Bin edges of the histogram, about 1 % apart, so that single huge components do not blur the others."""
+    up = np.unique(np.round(2 ** (np.arange(64 * LARGEST.bit_length()) / 64)).astype(np.int64))
+    return np.concatenate([-up[::-1], [0], up])
+
+
 def _edges(vectors: DataFrame, width: int, cells: int) -> np.ndarray:
     """Cell edges of each dimension: smallest and largest component, and between them quantiles of a fine histogram.
 
@@ -50,23 +55,23 @@ def _edges(vectors: DataFrame, width: int, cells: int) -> np.ndarray:
 
     ends = vectors.select("v").mapInArrow(spans, "d int, low long, high long").groupBy("d").agg(F.min("low"), F.max("high")).collect()
     ends = np.array([r[1:] for r in sorted(ends)], np.int64)
-    step = (ends[:, 1] - ends[:, 0]) // _BINS + 1
+    marks = _marks()
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(width * _BINS, np.int64)
+        counts = np.zeros(width * len(marks), np.int64)
         for batch in batches:
-            number = (_grid(batch.column(0), width) - ends[:, 0]) // step + np.arange(width) * _BINS
+            number = np.searchsorted(marks, _grid(batch.column(0), width), side="right") - 1 + np.arange(width) * len(marks)
             counts += np.bincount(number.ravel(), minlength=len(counts))
         full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], ["bin", "n"])
 
-    counts = np.zeros(width * _BINS, np.int64)
+    counts = np.zeros(width * len(marks), np.int64)
     for r in vectors.select("v").mapInArrow(bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         counts[r["bin"]] = r["n"]
-    before = counts.reshape(width, _BINS).cumsum(axis=1)
+    before = counts.reshape(width, len(marks)).cumsum(axis=1)
     shares = before[:, -1:] * np.arange(1, cells) // cells
     inner = np.array([np.searchsorted(b, s, side="right") for b, s in zip(before, shares, strict=True)])
-    return np.column_stack([ends[:, :1], np.minimum(ends[:, :1] + inner * step[:, None], ends[:, 1:]), ends[:, 1:]])
+    return np.column_stack([ends[:, :1], np.clip(marks[inner], ends[:, :1], ends[:, 1:]), ends[:, 1:]])
 
 
 def _packed(per_dimension: np.ndarray, bits: int, join) -> np.ndarray:
