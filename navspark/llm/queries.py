@@ -86,6 +86,12 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from navspark.llm.fptree import ranked_documents
+
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 # Word lists as the operators take them: A-Z lower-cased, cut at blanks 0x20 and 0x09 to 0x0D.
@@ -235,6 +242,36 @@ FROM placed
 """
 
 
+_SEARCH = r"""
+WITH doc_terms AS (
+    SELECT row_number() OVER () AS row_id, doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM documents
+),
+counts AS MATERIALIZED (SELECT row_id, doc_id, t, count(*) AS tf FROM doc_terms GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT row_id, sum(tf) AS n FROM counts GROUP BY row_id),
+totals AS MATERIALIZED (SELECT count(*) AS docs, sum(n) AS every FROM sizes),
+wanted AS MATERIALIZED (
+    SELECT item_id, t, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+        FROM benchmark
+    ) GROUP BY ALL
+),
+weights AS MATERIALIZED (
+    SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM (SELECT t, count(*) AS df FROM counts WHERE t IN (SELECT t FROM wanted) GROUP BY t), totals
+),
+lengths AS MATERIALIZED (SELECT row_id, CAST(75 + (25 * n * docs) // every AS BIGINT) AS m FROM sizes, totals),
+scores AS (
+    SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM wanted JOIN weights USING (t) JOIN counts USING (t) JOIN lengths USING (row_id) GROUP BY item_id, row_id, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+) WHERE rank <= 20
+"""
+
 
 def _clusters(rounds: int) -> str:
     """Assignment and replacement, written out once for each round."""
@@ -280,4 +317,5 @@ SQL: dict[str, str] = {
     "op5_decontamination": _LEAKS,
     "op7_jaccard_join": _JACCARD,
     "op12_centroid_clustering": _clusters(5),
+    "op13_lexical_search": _SEARCH,
 }

@@ -40,12 +40,12 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word, A-Z lower-cased, and the row it stands in."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word, A-Z lower-cased, and the row it stands in; ``outside`` marks the bytes between words, if not blanks."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     data = np.where((data >= 65) & (data <= 90), data | 32, data)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    blank = (data == 32) | ((data >= 9) & (data <= 13)) if outside is None else outside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(~blank & (edge[:-1] | np.concatenate(([True], blank[:-1]))))
