@@ -80,6 +80,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from navspark.llm.sanitise import private_spans
+
+    return private_spans(table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from navspark.llm.vafile import cluster
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_personal_data": op11_personal_data,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -242,6 +249,79 @@ FROM placed
 """
 
 
+# Base matches by the patterns of the contract; terms as the operator takes them, all of a term's texts having it beside the entity.
+_PRIVATE = r"""
+WITH texts AS MATERIALIZED (SELECT DISTINCT text AS body FROM documents WHERE text IS NOT NULL),
+patterns(number, kind, pattern) AS (VALUES
+    (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+    (3, 'card', '[0-9]([\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+cut AS (
+    SELECT body, number, kind, p, m, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT body, number, kind, regexp_extract_all(body, pattern) AS m, regexp_split_to_array(body, pattern) AS p FROM texts, patterns
+    ) WHERE len(m) > 0
+),
+placed AS (
+    SELECT body, number, kind, m[i] AS value, p[i] AS before, p[i + 1] AS after,
+        CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+    FROM cut
+),
+digits AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM placed),
+good AS MATERIALIZED (
+    SELECT body, number, kind, value, before, after, start, start + length(value) AS finish,
+        kind || ':' || CASE kind WHEN 'email' THEN translate(value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') WHEN 'ip' THEN value ELSE d END AS entity
+    FROM digits WHERE CASE kind
+        WHEN 'ip' THEN list_max(list_transform(string_split(value, '.'), lambda x: CAST(x AS HUGEINT))) <= 255
+        WHEN 'card' THEN length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j:
+            CASE WHEN j % 2 = 1 THEN CAST(d[length(d) - j + 1] AS INTEGER) ELSE (2 * CAST(d[length(d) - j + 1] AS INTEGER)) // 10 + (2 * CAST(d[length(d) - j + 1] AS INTEGER)) % 10 END)) % 10 = 0
+        WHEN 'phone' THEN length(d) BETWEEN 8 AND 15 ELSE true END
+),
+contexts AS (
+    SELECT body, entity, translate(
+        CASE WHEN length(before) > 200 THEN regexp_replace(before[-200:], '^[\p{L}\p{M}]+', '') ELSE before END || ' ' ||
+        CASE WHEN length(after) > 200 THEN regexp_replace(after[1:200], '[\p{L}\p{M}]+$', '') ELSE after END,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS context FROM good
+),
+together AS MATERIALIZED (
+    SELECT entity, term, count(*) AS n FROM (SELECT DISTINCT body, entity, unnest(regexp_extract_all(context, '[\p{L}\p{M}]{4,}')) AS term FROM contexts)
+    GROUP BY entity, term HAVING count(*) >= 2
+),
+entities AS (SELECT entity, count(DISTINCT body) AS n FROM good GROUP BY entity),
+lowered AS MATERIALIZED (SELECT body, translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM texts),
+held AS MATERIALIZED (SELECT DISTINCT body, unnest(regexp_extract_all(low, '[\p{L}\p{M}]{4,}')) AS term FROM lowered),
+given AS (
+    SELECT DISTINCT term FROM together JOIN entities USING (entity) JOIN (SELECT term, count(*) AS n FROM held GROUP BY term) w USING (term)
+    WHERE together.n = w.n AND entities.n < (SELECT count(*) FROM texts)
+),
+words AS (
+    SELECT body, p, m, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT body, regexp_extract_all(low, '[\p{L}\p{M}]{4,}') AS m, regexp_split_to_array(low, '[\p{L}\p{M}]{4,}') AS p
+        FROM lowered WHERE body IN (SELECT body FROM held WHERE term IN (SELECT term FROM given))
+    )
+),
+terms AS (
+    SELECT body, start, start + length(term) AS finish FROM (
+        SELECT body, m[i] AS term,
+            CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+        FROM words WHERE m[i] IN (SELECT term FROM given)
+    )
+),
+every AS (
+    SELECT body, number, kind, start, finish FROM good
+    UNION ALL
+    SELECT body, 5, 'term', start, finish FROM terms t
+    WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.body = t.body AND g.start < t.finish AND g.finish > t.start)
+),
+lists AS (
+    SELECT body, count(*) FILTER (number = 1) AS n_email, count(*) FILTER (number = 2) AS n_ip, count(*) FILTER (number = 3) AS n_card, count(*) FILTER (number = 4) AS n_phone,
+        coalesce(string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY number, start) FILTER (number < 5), '') AS base,
+        string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY number, start) AS spans
+    FROM every GROUP BY body
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN lists ON body = text
+"""
+
 _SEARCH = r"""
 WITH doc_terms AS (
     SELECT row_number() OVER () AS row_id, doc_id, unnest(regexp_extract_all(
@@ -316,6 +396,7 @@ SQL: dict[str, str] = {
     "op3_chat_formatting": _CHAT,
     "op5_decontamination": _LEAKS,
     "op7_jaccard_join": _JACCARD,
+    "op11_personal_data": _PRIVATE,
     "op12_centroid_clustering": _clusters(5),
     "op13_lexical_search": _SEARCH,
 }
