@@ -9,7 +9,7 @@ import pyarrow as pa
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
-_SLICE = 4_000_000
+_SLICE = 1_000_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
