@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,7 +105,8 @@ def mix(
 
     ``copies`` (0 to ``ceiling``) is how often the mix repeats the row, ``taken`` the words
     that makes. Rates are rounded along the sizes of a source, carrying the remainder on,
-    then the source's last difference is worked off with single copies. A null source is a
+    then the source's last difference is worked off with single copies until none helps: at most half the smallest
+    size of the source that has a copy left to add or drop, as ``single_copies`` shows. A null source is a
     source; null and empty texts have size 0 and come once; an empty table gives no rows.
     Equal rows may get different copies, but every run gives the same ones.
     """
@@ -125,7 +128,9 @@ def mix(
         "copies", (F.col("so_far") - F.coalesce(F.lag("so_far").over(Window.partitionBy("source").orderBy("size")), F.lit(0)))
     )
     whole = stage(whole.select("source", "size", "n", F.col("copies").cast("long").alias("copies")), "copies")
-    whole = whole.withColumn("copies", F.col("copies") + _worked_off(whole, targets, ceiling))
+    off = _worked_off(whole, targets, ceiling).select(F.col("source").alias("_source"), F.col("size").alias("_size"), "change")
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    whole = whole.join(off, same, "left").select("source", "size", "n", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies"))
     shares = whole.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "n", "copies")
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
     joined = rows.join(shares, same).select("doc_id", "source", "size", "n", "copies")
@@ -139,47 +144,64 @@ def mix(
     )
 
 
-def _worked_off(groups: DataFrame, targets: dict, ceiling: float) -> Column:
-    """Copies to add per (source, size), so that each source ends as near to its target as single copies bring it."""
-    changes: dict[tuple, int] = {}
-
-    def added() -> Column:
-        out = F.lit(0)
-        for (source, size), change in changes.items():
-            out = out + F.when(F.col("source").eqNullSafe(F.lit(source)) & (F.col("size") == size), change).otherwise(0)
-        return out
-
-    for _ in range(4):
-        now = groups.withColumn("copies", F.col("copies") + added()).where("size > 0")
-        taken = {r["source"]: r["t"] for r in now.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()}
-        gap = _by_source({s: targets[s] - t for s, t in taken.items()})
-        after = F.abs(F.abs(gap) - F.col("size"))
-        fits = F.when(gap > 0, F.col("copies") < F.floor(ceiling * F.col("n"))).otherwise(F.col("copies") > 0)
-        best = (
-            now.where(fits & (after < F.abs(gap)))
-            .groupBy("source").agg(F.min(F.struct(after.alias("after"), "size")).alias("best")).collect()
-        )
-        if not best:
+def single_copies(gap: float, sizes: np.ndarray, spare: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """Copies to add (or take away) per size, so that no further single copy brings the gap nearer to 0.
+
+    ``spare`` copies of each size may still be added, ``taken`` be dropped. Each step closes the gap by as
+    many copies of the largest size within it as there are, or else by one copy that oversteps it by less; the gap
+    shrinks at every step. What is left is at most half the smallest size with a copy to add
+    (gap above 0) or to drop (below 0), because a smaller one would have been used.
+    """
+    order = np.argsort(sizes)[::-1]
+    sizes, spare, taken, change = sizes[order], spare[order].astype(np.int64), taken[order].astype(np.int64), np.zeros(len(sizes), np.int64)
+    while True:
+        free = spare - change if gap > 0 else taken + change
+        size = abs(gap)
+        useful = np.flatnonzero((free > 0) & (sizes > 0) & (np.abs(size - sizes) < size))
+        if not len(useful):
             break
-        for r in best:
-            key = (r["source"], r["best"]["size"])
-            changes[key] = changes.get(key, 0) + (1 if targets[key[0]] > taken[key[0]] else -1)
-    return added().cast("long")
+        within = useful[sizes[useful] <= size]
+        # Largest size within the gap, many at once; else the one that oversteps least.
+        at = within[0] if len(within) else useful[-1]
+        step = min(int(free[at]), max(1, int(size // sizes[at])))
+        change[at] += step if gap > 0 else -step
+        gap += -step * float(sizes[at]) if gap > 0 else step * float(sizes[at])
+    out = np.zeros(len(sizes), np.int64)
+    out[order] = change
+    return out
+
+
+def _worked_off(groups: DataFrame, targets: dict, ceiling: float) -> DataFrame:
+    """(source, size, change): single copies that bring each source as near to its target as they can.
+
+    A source's task sees the sizes up to twice its gap, at most that many rows; larger ones cannot help.
+    """
+    taken = {r["source"]: r["t"] for r in groups.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()}
+    rows = groups.withColumn("gap", _by_source({s: float(targets[s]) - float(t) for s, t in taken.items()}))
+    rows = rows.where((F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")))
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        spare = np.floor(ceiling * rows["n"].to_numpy()).astype(np.int64) - rows["copies"].to_numpy()
+        change = single_copies(float(rows["gap"].iloc[0]), rows["size"].to_numpy(), spare, rows["copies"].to_numpy())
+        return pd.DataFrame({"source": rows["source"], "size": rows["size"], "change": change})[change != 0]
+
+    return rows.groupBy("source").applyInPandas(work, "source string, size long, change long")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each repeated as often as ``mix`` says, columns unchanged.
 
-    Rows that share id, source and size are told apart by their order within that id.
+    Rows that share id, source and size are told apart by a hash of all their columns, so reruns repeat the same ones.
     """
     names = {k: options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
     size = F.coalesce(F.regexp_count(F.col(names["text_col"]), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.struct(F.col(names["id_col"]).alias("id"), F.col(names["source_col"]).cast("string").alias("source"), size.alias("size"))
-    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key"))).alias("turn")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row"))).alias("turn")
     # The rows travel in one column, so that no name of theirs can clash.
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key")).select("row", "key", turn)
-    counts = mix(docs, **options).select(F.struct(F.col("doc_id").alias("id"), "source", "size").alias("key"), "copies")
-    right = counts.select(F.col("key").alias("own"), "copies", turn.alias("place"))
+    counts = mix(docs, **options).select(F.struct(F.col("doc_id").alias("id"), "source", "size").alias("own"), "copies")
+    place = F.row_number().over(Window.partitionBy("own").orderBy("copies")).alias("place")
+    right = counts.select("own", "copies", place)
     same = F.col("turn") == F.col("place")
     for part in ("id", "source", "size"):
         same = same & F.col(f"key.{part}").eqNullSafe(F.col(f"own.{part}"))

@@ -1,9 +1,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from navspark.llm.mixing import mix, mixed, source_targets
+from navspark.llm.mixing import mix, mixed, single_copies, source_targets
 
 
 def test_targets_are_capped_and_reshared():
@@ -54,3 +55,27 @@ def test_mixed_repeats_rows(documents, rows):
 def test_empty_table(documents):
     assert mix(documents([])).collect() == []
     assert mixed(documents([])).collect() == []
+
+
+def test_single_copies_leave_no_useful_one():
+    draw = random.Random(8)
+    for _ in range(300):
+        n = draw.randint(1, 8)
+        sizes = np.array(draw.sample(range(1, 60), n))
+        spare, taken = (np.array([draw.randint(0, 4) for _ in range(n)]) for _ in range(2))
+        gap = draw.uniform(-300, 300)
+        change = single_copies(gap, sizes, spare, taken)
+        assert (change <= spare).all() and (-change <= taken).all()
+        left = gap - float((change * sizes).sum())
+        assert abs(left) <= abs(gap)
+        free = sizes[(spare - change > 0) if left > 0 else (taken + change > 0)]
+        assert not len(free) or abs(left) <= free.min() / 2 + 1e-9
+    # 147.2 words by copies of 21 and less; 300 would overstep by more.
+    assert single_copies(147.2, np.array([300, 21, 5, 1]), np.array([1, 6, 4, 9]), np.zeros(4)).tolist() == [0, 6, 4, 1]
+
+
+def test_reruns_repeat_the_same_rows(documents):
+    # One id, source and size, different texts: which of them is repeated may not hang on the order of tasks.
+    rows = [(1, f"w{i} a b", "en", "s") for i in range(9)] + [(2, "x " * 30, "en", "t")]
+    first, second = (sorted(map(str, mixed(documents(rows).repartition(n)).collect())) for n in (1, 6))
+    assert first == second
