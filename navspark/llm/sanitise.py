@@ -126,10 +126,9 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(_lowered(text), F.lit(rf"[\p{{L}}\p{{M}}]{{{TERM_LETTERS},}}"), F.lit(0))
 
 
-def _holders(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
-    """(term, key): the different texts that hold each of ``terms``."""
-    held = _texts(docs, text_col).select("key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    return stage(held.join(terms, "term").distinct(), "holders")
+def _held(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
+    """(key, term) of every row that holds one of ``terms``."""
+    return _texts(docs, text_col).select("key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(terms, "term")
 
 
 def disclosures(
@@ -138,20 +137,22 @@ def disclosures(
     """Terms that give an entity away, and (term, key) of the texts that hold them.
 
     The first has entity, term, together, with_term, with_entity, pmi, ic. Probabilities are shares of the
-    different texts: with N of them, PMI = log2(N * together / (with_entity * with_term)) and IC = log2(N / with_entity).
+    rows with a text: with N of them, PMI = log2(N * together / (with_entity * with_term)) and IC = log2(N / with_entity).
     A term is disclosed if PMI >= ``disclosure`` * IC, that is if at least
-    (with_entity / N) ** (1 - disclosure) of the texts with the term have it beside the entity; at 1 all of them. A term met beside
-    an entity in fewer than ``support`` texts proves nothing, nor does an entity that every text has.
+    (with_entity / N) ** (1 - disclosure) of the rows with the term have it beside the entity; at 1 all of them. A term met beside
+    an entity in fewer than ``support`` different texts proves nothing, copies being one, nor does an entity that every row has.
     """
+    keys = small(found.select("key").distinct(), "keys")
+    rows = docs.select(_key(F.col(text_col).cast("string")).alias("key")).where(F.col(text_col).isNotNull())
+    copies = stage(rows.join(keys, "key").groupBy("key").agg(F.count("*").alias("copies")), "copies")
     beside = found.select("key", "entity", F.explode(F.array_distinct(_terms(F.col("context")))).alias("term")).distinct()
-    together = stage(beside.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support), "together")
-    of_entity = found.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    holders = _holders(docs, small(together.select("term").distinct(), "candidates"), text_col)
-    of_term = holders.groupBy("term").agg(F.count("*").alias("with_term"))
-    n = docs.select(_key(F.col(text_col).cast("string")).alias("key")).where(F.col(text_col).isNotNull()).distinct().count()
-    rows = together.join(of_entity, "entity").join(of_term, "term").withColumn("n", F.lit(n))
+    together = beside.join(copies, "key").groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("together"))
+    together = stage(together.where(F.col("texts") >= support), "together")
+    of_entity = found.select("key", "entity").distinct().join(copies, "key").groupBy("entity").agg(F.sum("copies").alias("with_entity"))
+    of_term = _held(docs, small(together.select("term").distinct(), "candidates"), text_col).groupBy("term").agg(F.count("*").alias("with_term"))
+    counts = together.join(of_entity, "entity").join(of_term, "term").withColumn("n", F.lit(rows.count()))
     share = F.col("together") / F.col("with_term")
-    given = rows.where((F.col("with_entity") < F.col("n")) & (share >= F.pow(F.col("with_entity") / F.col("n"), F.lit(1.0 - disclosure))))
+    given = counts.where((F.col("with_entity") < F.col("n")) & (share >= F.pow(F.col("with_entity") / F.col("n"), F.lit(1.0 - disclosure))))
     given = stage(
         given.select(
             "entity", "term", "together", "with_term", "with_entity", F.log2(F.col("n") * share / F.col("with_entity")).alias("pmi"),
@@ -159,7 +160,7 @@ def disclosures(
         ),
         "disclosed",
     )
-    return given, holders.join(small(given.select("term").distinct(), "given"), "term")
+    return given, _held(docs, small(given.select("term").distinct(), "given"), text_col).distinct()
 
 
 def spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, reach: int = REACH, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -217,8 +218,7 @@ def sanitised(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with personal data replaced by its kind in brackets, and disclosed terms generalised or removed.
 
     A term is generalised to its first letters and an ellipsis if, taken together, the words that begin with them no longer
-    give the entity away (words of at least twice as many texts as have the term, and not all of them beside the entity);
-    else it is removed. A null text stays null. Row order and all other columns stay.
+    give the entity away (words of at least twice as many texts as rows have the term); else it is removed. A null text stays null. Row order and all other columns stay.
     """
     found, given = spans(docs, text_col=text_col, **options)
     first = F.concat(F.substring("term", 1, _PREFIX), F.lit("…"))
