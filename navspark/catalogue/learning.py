@@ -18,24 +18,50 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.col("vec_id").alias("filename"), (F.col("label") == 0).cast("int").alias("y"),
         *[F.get("embedding", F.lit(i)).cast("double").alias(d) for i, d in enumerate(DIMS)],
     )
-    held_out = F.pmod(F.xxhash64("filename"), F.lit(4)) == 0
+    held_out = F.pmod("filename", F.lit(4)) == 0
     return rows.where(~held_out), rows.where(held_out)
 
 
 def _train_eval(detector: Detector):
+    """Counts of both sides, and whether every held-out row got a verdict and a score in keeping with it."""
+
     def run(spark, sf_dir):
         train, test = sides(spark, sf_dir)
         prep = fit_prep(train, DIMS, PrepOptions(ablate_families=()))
-        fitted = fit(detector, stage(prep.transform(train, scaled=detector.needs_scaling), "train"), prep.columns)
+        rows = stage(prep.transform(train, scaled=detector.needs_scaling), "train")
+        fitted = fit(detector, rows, prep.columns)
         scored = stage(fitted.score(prep.transform(test, scaled=detector.needs_scaling)).select("y", "pred", "score"), "scored")
+        learnt = fitted.score(rows).select("y", "pred", "score")
+        cut = 0.0 if detector.kind == "svm" else 0.5
+        agrees = (F.col("pred") == (F.col("score") > cut).cast("int")) | (F.col("score") == cut)
         keyed = scored.withColumn("classifier", F.lit(detector.name))
-        return confusion_metrics(keyed, ["classifier"]).join(roc_auc(keyed, ["classifier"]), "classifier", "left")
+        held = keyed.groupBy("classifier").agg(
+            F.count("*").alias("n_test"), F.count_if(F.col("y") == 1).alias("n_positive"), F.bool_and(agrees).alias("verdicts_agree"),
+        )
+        counts = confusion_metrics(keyed, ["classifier"]).select("classifier", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_judged"))
+        auc = roc_auc(learnt.withColumn("classifier", F.lit(detector.name)), ["classifier"])
+        own = learnt.agg(F.count("*").alias("n_train")).withColumn("classifier", F.lit(detector.name))
+        joined = held.join(counts, "classifier").join(own, "classifier").join(auc, "classifier")
+        return joined.select("classifier", "n_train", "n_test", "n_positive", "n_judged", "verdicts_agree", (F.col("auc") > 0.6).alias("has_learnt"))
 
     return run
 
 
+def _sql(name: str) -> str:
+    return f"""
+SELECT '{name}' AS classifier, count(*) FILTER (WHERE vec_id % 4 <> 0) AS n_train, count(*) FILTER (WHERE vec_id % 4 = 0) AS n_test,
+    count(*) FILTER (WHERE vec_id % 4 = 0 AND label = 0) AS n_positive, count(*) FILTER (WHERE vec_id % 4 = 0) AS n_judged,
+    true AS verdicts_agree, true AS has_learnt
+FROM embeddings"""
+
+
+def _query(detector: Detector) -> Query:
+    return Query(_train_eval(detector), _sql(detector.name))
+
+
 QUERIES = {
-    "rf_train_eval": Query(_train_eval(Detector("RF-default", "rf", trees=20, depth=8))),
-    "gbt_train_eval": Query(_train_eval(Detector("XGB-default", "gbt", rounds=5, depth=4))),
-    "rbf_svm_train_eval": Query(_train_eval(Detector("SVM-default", "svm", fourier=128))),
+    "rf_train_eval": _query(Detector("RF-default", "rf", trees=20, depth=8)),
+    "gbt_train_eval": _query(Detector("XGB-default", "level", rounds=3, depth=3)),
+    "leafwise_train_eval": _query(Detector("LGBM-default", "leaf", rounds=2, depth=None, leaves=10, step=0.1, min_leaf=20, min_hessian=1e-3)),
+    "rbf_svm_train_eval": _query(Detector("SVM-default", "svm", landmarks=128)),
 }

@@ -1,39 +1,37 @@
-"""Detectors on Spark ML.
-
-Spark ML has random forests, gradient-boosted trees and a linear SVM. The two boosted
-families of the published comparison map to two configurations of ``GBTClassifier``,
-and the RBF machine to random Fourier features in front of ``LinearSVC``. These are
-different algorithms from the published ones; everything that evaluates a detector is
-independent of how its scores came about.
-"""
+"""Detectors: boosted trees and the kernel machine of this package, forests of Spark ML."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from navspark.plans.boosting import Growth, boost
+from navspark.plans.kernel import fit_kernel_machine
+
 
 @dataclass(frozen=True)
 class Detector:
-    """A named configuration. ``kind`` is ``rf``, ``gbt`` or ``svm``."""
+    """A named configuration. ``kind`` is ``rf``, ``svm``, or boosted trees: ``level`` grows them level by level, ``leaf`` best leaf first."""
 
     name: str
     kind: str
     seed: int = 42
     trees: int = 500
-    depth: int = 30
+    depth: int | None = 30
+    leaves: int = 31
     min_leaf: int = 1
     rounds: int = 500
     step: float = 0.3
     subsample: float = 1.0
+    columns: float = 1.0
+    min_hessian: float = 1.0
     balanced: bool = False
     cost: float = 1.0
-    fourier: int = 256
+    landmarks: int = 512
 
     @property
     def needs_scaling(self) -> bool:
@@ -49,15 +47,15 @@ def model_zoo(tier: str, seed: int, trees: int = 500, rounds: int = 500, depth:
     if tier in ("default", "both"):
         zoo += [
             Detector("RF-default", "rf", depth=depth, **common),
-            Detector("XGB-default", "gbt", depth=6, step=0.3, **common),
-            Detector("LGBM-default", "gbt", depth=5, step=0.1, **common),
+            Detector("XGB-default", "level", depth=6, step=0.3, **common),
+            Detector("LGBM-default", "leaf", depth=None, step=0.1, min_leaf=20, min_hessian=1e-3, **common),
         ]
         zoo += [Detector("SVM-default", "svm", cost=1.0, **common)] if svm else []
     if tier in ("adjusted", "both"):
         zoo += [
             Detector("RF-adjusted", "rf", depth=depth, min_leaf=2, balanced=True, **common),
-            Detector("XGB-adjusted", "gbt", depth=6, step=0.1, subsample=0.8, min_leaf=3, **common),
-            Detector("LGBM-adjusted", "gbt", depth=6, step=0.1, subsample=0.8, min_leaf=20, **common),
+            Detector("XGB-adjusted", "level", depth=6, step=0.1, subsample=0.8, columns=0.8, min_hessian=3.0, **common),
+            Detector("LGBM-adjusted", "leaf", depth=6, step=0.1, columns=0.8, min_leaf=20, min_hessian=1e-3, **common),
         ]
         zoo += [Detector("SVM-adjusted", "svm", cost=10.0, balanced=True, **common)] if svm else []
     return zoo
@@ -69,8 +67,8 @@ def sweep_zoo(groups: list[str], seed: int, trees: int = 500, rounds: int = 500,
     if "rf" in groups:
         zoo.append(Detector("RF", "rf", seed=seed, trees=trees, depth=depth))
     if "gbm" in groups:
-        zoo.append(Detector("XGB", "gbt", seed=seed, rounds=rounds, depth=6, step=0.3))
-        zoo.append(Detector("LGBM", "gbt", seed=seed, rounds=rounds, depth=5, step=0.1))
+        zoo.append(Detector("XGB", "level", seed=seed, rounds=rounds, depth=6, step=0.3))
+        zoo.append(Detector("LGBM", "leaf", seed=seed, rounds=rounds, depth=None, step=0.1, min_leaf=20, min_hessian=1e-3))
     return zoo
 
 
@@ -91,66 +89,38 @@ class Fitted:
     detector: Detector
     model: object
     columns: list[str]
-    projection: tuple[np.ndarray, np.ndarray] | None = None
 
     def score(self, df: DataFrame, score: str = "score", pred: str = "pred") -> DataFrame:
-        rows = _assemble(df, self.columns, self.projection)
-        out = self.model.transform(rows)
-        raw = "probability" if "probability" in out.columns else "rawPrediction"
-        return out.select(
-            *df.columns,
-            vector_to_array(F.col(raw))[1].alias(score),
-            F.col("prediction").cast("int").alias(pred),
-        )
-
+        if self.detector.kind != "rf":
+            return self.model.score(df, score, pred)
+        out = self.model.transform(_assemble(df, self.columns))
+        return out.select(*df.columns, vector_to_array(F.col("probability"))[1].alias(score), F.col("prediction").cast("int").alias(pred))
 
-def _assemble(df: DataFrame, columns: list[str], projection) -> DataFrame:
-    rows = VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep").transform(df)
-    if projection is None:
-        return rows
-    directions, phases = projection
 
-    @F.pandas_udf("array<double>")
-    def fourier(x):
-        import pandas as pd
+def _assemble(df: DataFrame, columns: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep").transform(df)
 
-        block = np.stack(x.to_numpy())
-        lifted = np.sqrt(2.0 / len(phases)) * np.cos(block @ directions + phases)
-        return pd.Series(list(lifted))
 
-    return rows.withColumn("_x", array_to_vector(fourier(vector_to_array("_x"))))
+def growth(detector: Detector) -> Growth:
+    """Settings of boosted trees; without a named one, the penalty is that of the policy's family."""
+    leaf = detector.kind == "leaf"
+    return Growth(
+        rounds=detector.rounds, step=detector.step, depth=detector.depth, leaves=detector.leaves if leaf else None, l2=0.0 if leaf else 1.0,
+        min_hessian=detector.min_hessian, min_rows=detector.min_leaf, subsample=detector.subsample, columns=detector.columns, seed=detector.seed,
+    )
 
 
 def fit(detector: Detector, train: DataFrame, columns: list[str], y: str = "y") -> Fitted:
     """Train on prepared rows (scaled ones for the SVM)."""
-    projection = None
-    if detector.kind == "svm":
-        spread = train.agg(*[F.avg(F.col(c) * F.col(c)).alias(c) for c in columns],
-                           *[F.avg(c).alias(f"_m_{c}") for c in columns]).first()
-        # Kernel width: one over (columns x overall variance of the matrix).
-        means = np.array([spread[f"_m_{c}"] for c in columns])
-        variance = float(np.mean([spread[c] for c in columns]) - means.mean() ** 2)
-        gamma = 1.0 / (len(columns) * max(variance, 1e-12))
-        draw = np.random.default_rng(detector.seed)
-        projection = (
-            draw.normal(0.0, np.sqrt(2.0 * gamma), (len(columns), detector.fourier)),
-            draw.uniform(0.0, 2.0 * np.pi, detector.fourier),
-        )
+    if detector.kind in ("level", "leaf"):
+        return Fitted(detector, boost(train, columns, y, growth(detector)), columns)
     weighted = train.withColumn("_w", class_weights(train, y) if detector.balanced else F.lit(1.0))
-    rows = _assemble(weighted, columns, projection)
-    inputs = dict(featuresCol="_x", labelCol=y, weightCol="_w")
-    if detector.kind == "rf":
-        learner = RandomForestClassifier(
-            numTrees=detector.trees, maxDepth=min(detector.depth, 30), minInstancesPerNode=detector.min_leaf,
-            featureSubsetStrategy="sqrt", seed=detector.seed, **inputs,
-        )
-    elif detector.kind == "gbt":
-        learner = GBTClassifier(
-            maxIter=detector.rounds, maxDepth=detector.depth, stepSize=detector.step, subsamplingRate=detector.subsample,
-            minInstancesPerNode=detector.min_leaf, seed=detector.seed, **inputs,
-        )
-    elif detector.kind == "svm":
-        learner = LinearSVC(regParam=1.0 / (detector.cost * max(train.count(), 1)), maxIter=200, **inputs)
-    else:
+    if detector.kind == "svm":
+        return Fitted(detector, fit_kernel_machine(weighted, columns, y, detector.cost, detector.landmarks, "_w"), columns)
+    if detector.kind != "rf":
         raise ValueError(f"unknown kind {detector.kind!r}")
-    return Fitted(detector, learner.fit(rows), columns, projection)
+    learner = RandomForestClassifier(
+        numTrees=detector.trees, maxDepth=min(detector.depth, 30), minInstancesPerNode=detector.min_leaf,
+        featureSubsetStrategy="sqrt", seed=detector.seed, featuresCol="_x", labelCol=y, weightCol="_w",
+    )
+    return Fitted(detector, learner.fit(_assemble(weighted, columns)), columns)

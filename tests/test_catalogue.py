@@ -16,7 +16,6 @@ TABLES = (
 ).split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables not present")
 CATALOGUE = all_queries()
-SLOW = {"rf_train_eval", "gbt_train_eval", "rbf_svm_train_eval"}
 
 
 @pytest.fixture(scope="module")
@@ -42,8 +41,6 @@ def rows(columns, records):
 @pytest.mark.parametrize("name", sorted(CATALOGUE))
 def test_query(spark, duck, name):
     query = CATALOGUE[name]
-    if name in SLOW:
-        pytest.skip("detector training is covered by test_programs")
     df = query.run(spark, DATA)
     mine = [tuple(r) for r in df.collect()]
     assert mine
@@ -56,4 +53,4 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql_unless_it_cannot():
-    assert {n for n, q in CATALOGUE.items() if q.sql is None} == SLOW | {"corr_filter", "clopper_pearson", "mcnemar"}
+    assert {n for n, q in CATALOGUE.items() if q.sql is None} == {"corr_filter", "clopper_pearson", "mcnemar"}

@@ -16,7 +16,7 @@ from navspark.plans.train import subsample, train_and_evaluate
 from tests.test_evaluation import frame, labelled_table
 from tests.test_sources import recordings  # noqa: F401  (fixture)
 
-SMALL = [Detector("RF-default", "rf", trees=5, depth=4), Detector("SVM-default", "svm", fourier=16)]
+SMALL = [Detector("RF-default", "rf", trees=5, depth=4), Detector("SVM-default", "svm", landmarks=16)]
 
 
 @pytest.fixture(scope="module")
@@ -70,8 +70,8 @@ def test_detectors_learn(spark):
     pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": ((x**2).sum(axis=1) > 1.2).astype(int)})
     df = frame(spark, pdf).cache()
     for detector in (
-        Detector("rf", "rf", trees=10, depth=6), Detector("gbt", "gbt", rounds=5, depth=4),
-        Detector("svm", "svm", fourier=200, balanced=True, cost=10.0),
+        Detector("rf", "rf", trees=10, depth=6), Detector("level", "level", rounds=5, depth=4), Detector("leaf", "leaf", rounds=5, depth=None, leaves=8),
+        Detector("svm", "svm", landmarks=200, balanced=True, cost=10.0),
     ):
         scored = fit(detector, df, ["a", "b"]).score(df)
         right = scored.agg(F.avg((F.col("pred") == F.col("y")).cast("int"))).first()[0]
