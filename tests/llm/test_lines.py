@@ -78,3 +78,21 @@ def test_repeated_rows_and_empty_table(documents):
     out = repeated_lines(documents([(2, line, None, None), (2, line, None, None), (None, line, None, None), (1, line, None, None)])).collect()
     assert sorted((r["doc_id"], r["n_lines"], r["dropped"]) for r in out) == [(1, 1, []), (2, 1, [0])]
     assert repeated_lines(documents([])).collect() == []
+
+
+def test_a_large_group_of_near_equal_lines(documents):
+    draw = random.Random(9)
+    base = "this line stands in very many documents, each time with other small faults in it"
+    rows = [(0, base)] + [(i, edited(draw, base, 2) if i % 3 else edited(draw, base, 1)) for i in range(1, 2000)]
+    # Lines that share two segments with all others but lie further apart than the distance.
+    rows += [(5000 + i, f"{base[:30]}{draw.randrange(10**9):09d}{base[39:]}") for i in range(150)]
+    frame = documents([(d, t, None, None) for d, t in rows]).repartition(6)
+    out = {r["doc_id"]: r["dropped"] for r in repeated_lines(frame).collect()}
+    lines = dict(rows)
+    for d, t in rows:
+        if 0 < d < 2000:
+            assert out[d] == [0], t  # within 2 edits of the first
+    far = [d for d, _ in rows if d >= 5000]
+    for d in far:
+        expected = any(within(lines[d], lines[x], 2) for x in lines if x < d)
+        assert out[d] == ([0] if expected else [])
