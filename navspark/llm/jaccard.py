@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial, reduce
 
@@ -20,8 +21,10 @@ from navspark.session import stage
 WIDTH = 5
 PERCENT = 75
 #: At most so many shingles are known as frequent; the rest is told apart by the tiles themselves.
-FREQUENT = 65_536
-_LOCAL = 8
+FREQUENT = 262_144
+#: Times that a task must meet a shingle to report it, and how many it counts at once.
+_LOCAL = 4
+_HELD = 2_000_000
 _LANES = 8
 _SALTS = 16
 
@@ -51,11 +54,23 @@ def _name(shingles: np.ndarray) -> int:
 
 
 def _scan(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """Per row of ``docs`` its set's name, size and bitmap; besides, shingles common within a run of texts and how often."""
+    """Per row of ``docs`` its set's name, size and bitmap; besides, shingles that a task meets again and again, and how often.
+
+    Counted are repetitions within about a megabyte of text, added up over the task.
+    """
     fields = ["doc_id", "sid", "n", *[f"b{i}" for i in range(_LANES)], "shingle", "times"]
     schema = pa.schema([*[(f, pa.int64()) for f in fields], ("wide", pa.list_(pa.int64()))])
 
+    def counted(seen: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        every, at = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
+        times = np.bincount(at, np.concatenate([t for _, t in seen]), len(every)).astype(np.int64)
+        common = times >= _LOCAL
+        n = int(common.sum())
+        rows = [pa.array(every[common].view(np.int64)), pa.array(times[common], pa.int64())]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * (len(fields) - 2), *rows, pa.nulls(n, pa.list_(pa.int64()))], schema=schema)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
         for batch in batches:
             for first, sets in shingle_sets(batch.column(1), width):
                 grid = np.array([_bitmap(s) for s in sets])
@@ -64,15 +79,14 @@ def _scan(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
                 wide = pa.array([_wide(s) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(sets), pa.int64())] * 2, wide], schema=schema)
                 every = np.sort(np.concatenate(sets))
-                if not len(every):
-                    continue
-                at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+                at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
                 times = np.diff(np.append(at, len(every)))
-                common = times >= _LOCAL
-                blank = [pa.nulls(int(common.sum()), pa.int64())] * (len(fields) - 2)
-                counted = [pa.array(every[at][common].view(np.int64)), pa.array(times[common], pa.int64())]
-                none = pa.nulls(int(common.sum()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*blank, *counted, none], schema=schema)
+                seen.append((every[at][times > 1], times[times > 1]))
+                held += len(seen[-1][0])
+                if held >= _HELD:
+                    yield counted(seen)
+                    seen, held = seen[:1], 0
+        yield counted(seen)
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     columns = ", ".join(f"{f} long" for f in fields) + ", wide array<long>"
@@ -248,7 +262,7 @@ def near_duplicates(
     shingles of each; sets of sizes too far apart or bitmaps too different are dropped before
     the exact check. A first pass verifies each set with its neighbours in size in every tile; what
     those links have joined need not be compared again, so a group of copies costs about its
-    size. The second pass compares the rest of each tile across components.
+    size. The second pass compares the rest of each tile across components, in bands of sizes.
     """
     bits = [f"b{i}" for i in range(_LANES)]
     scanned = _scan(docs, text_col, id_col, width)
@@ -273,26 +287,30 @@ def near_duplicates(
         return with_x.join(wide.alias("y"), F.col("b") == F.col("y.sid")).where(_wide_bound("x", "y", percent)).select("a", "b")
 
     by_size = Window.partitionBy("shingle", "salt").orderBy("n", "sid")
-    chained = tiles.select(F.col("sid").alias("a"), F.lag("sid").over(by_size).alias("b")).where("b IS NOT NULL")
+    alike = F.expr(f"b IS NOT NULL AND 100 * least(n, m) >= {percent} * greatest(n, m)")
+    chained = tiles.select(F.col("sid").alias("a"), "n", F.lag("sid").over(by_size).alias("b"), F.lag("n").over(by_size).alias("m")).where(alike).select("a", "b")
     by_chance = Window.partitionBy("shingle", "salt").orderBy(F.xxhash64("sid"), "sid")
-    shuffled = tiles.where("salt > 0").select(F.col("sid").alias("a"), F.lag("sid").over(by_chance).alias("b")).where("b IS NOT NULL")
+    shuffled = tiles.where("salt > 0").select(F.col("sid").alias("a"), "n", F.lag("sid").over(by_chance).alias("b"), F.lag("n").over(by_chance).alias("m"))
+    shuffled = shuffled.where(alike).select("a", "b")
     heads = tiles.where("salt > 0").groupBy("shingle", "salt").agg(F.min(F.struct("n", "sid")).alias("h"))
     heads = heads.select(
         F.col("h.sid").alias("a"), F.lag("h.sid").over(Window.partitionBy("shingle").orderBy("h.n", "h.sid")).alias("b")
     ).where("b IS NOT NULL")
     first = check(still_possible(bounded(chained.unionByName(shuffled).unionByName(heads))), sets=sets)
     roots = stage(connected_components(first), "roots")
-    grown = tiles.join(roots, tiles["sid"] == roots["node"], "left").select("shingle", "sid", F.coalesce("root", "sid").alias("root"))
+    grown = tiles.join(roots, tiles["sid"] == roots["node"], "left").select("shingle", "sid", "n", F.coalesce("root", "sid").alias("root"))
     grown = stage(grown.distinct(), "grown")
     mixed = grown.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    left = stage(grown.join(mixed, "shingle").join(maps, "sid"), "left")
-    x, y = left.alias("x"), left.alias("y")
+    # Bands of sizes that may link: a set meets those of its own and of the next band.
+    band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9)).cast("int")
+    left = stage(grown.join(mixed, "shingle").withColumn("band", band), "left")
+    x, y = left.alias("x"), left.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).alias("y")
     across = x.join(
         y,
-        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.sid") < F.col("y.sid"))
-        & (F.col("x.root") != F.col("y.root")) & _bound("x", "y", percent),
-    ).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    second = check(still_possible(across.join(first, ["a", "b"], "left_anti")), sets=sets)
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
+        & F.expr(f"(x.n < y.n OR x.n = y.n AND x.sid < y.sid) AND 100 * x.n >= {percent} * y.n"),
+    ).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+    second = check(still_possible(bounded(across).join(first, ["a", "b"], "left_anti")), sets=sets)
     links = first.unionByName(second).distinct()
     roots = stage(connected_components(links), "roots")
     degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
