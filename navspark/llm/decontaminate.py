@@ -30,7 +30,7 @@ def _shingles(words: Column, width: int) -> Column:
 
 
 def _fingerprints(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """64-bit SimHash of the words of each window, as four blocks of 16 bits.
+    """64-bit SimHash of the words of each window.
 
     Sixteen sums hold the 64 bit counters, four to a sum in lanes of 16 bits; a window has fewer words than that.
     """
@@ -39,14 +39,20 @@ def _fingerprints(windows: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.shiftrightunsigned("_w", j).bitwiseAND(F.lit(0x0001000100010001))).alias(f"s{j}") for j in range(16)
     ]
     sums = word.groupBy(*keys).agg(F.first("_n").alias("_n"), *lanes)
-    blocks = []
+    bits = []
     for b in range(_BLOCKS):
-        bits = [
-            F.when(F.shiftrightunsigned(f"s{j}", 16 * b).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("_n"), 1 << j).otherwise(0)
-            for j in range(16)
-        ]
-        blocks.append(sum(bits[1:], bits[0]).cast("int").alias(f"f{b}"))
-    return sums.select(*keys, *blocks)
+        for j in range(16):
+            set_ = F.shiftrightunsigned(f"s{j}", 16 * b).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("_n")
+            bits.append(F.when(set_, F.shiftleft(F.lit(1).cast("long"), 16 * b + j)).otherwise(F.lit(0).cast("long")))
+    print_ = bits[0]
+    for bit in bits[1:]:
+        print_ = print_.bitwiseOR(bit)
+    return sums.select(*keys, print_.alias("print"))
+
+
+def _blocks(print_: Column) -> Column:
+    """The four blocks of a fingerprint, each with its number above its 16 bits."""
+    return F.array(*[F.shiftrightunsigned(print_, 16 * b).bitwiseAND(F.lit(0xFFFF)) + (b << 16) for b in range(_BLOCKS)])
 
 
 def _rarest(rows: DataFrame, keys: list[str], width: int, known: DataFrame, needed) -> DataFrame:
@@ -119,16 +125,13 @@ def contaminated(
     prints = _fingerprints(kinds, ["window", "size"])
     each = radius // _BLOCKS
     masks = [m for m in range(1 << 16) if m.bit_count() <= each]
-    listed = _fingerprints(items.select("item_id", "words"), ["item_id"])
-    listed = listed.select(
-        "item_id", *[F.col(f"f{b}").alias(f"g{b}") for b in range(_BLOCKS)],
-        F.posexplode(F.array(*[f"f{b}" for b in range(_BLOCKS)])).alias("block", "value"),
-    )
-    near = F.transform(F.lit(masks), lambda m: F.col("value").bitwiseXOR(m))
-    listed = listed.select("item_id", "g0", "g1", "g2", "g3", "block", F.explode(near).alias("value"))
-    probes = prints.select("*", F.posexplode(F.array(*[f"f{b}" for b in range(_BLOCKS)])).alias("block", "value"))
-    apart = sum((F.bit_count(F.col(f"f{b}").bitwiseXOR(F.col(f"g{b}"))) for b in range(1, _BLOCKS)), F.bit_count(F.expr("f0 ^ g0")))
-    alike_bits = probes.join(listed, ["block", "value"]).where(apart <= radius).select("window", "size", "item_id")
+    listed = _fingerprints(items.select("item_id", "words"), ["item_id"]).select("item_id", F.col("print").alias("item_print"), F.explode(_blocks(F.col("print"))).alias("value"))
+    # A mask leaves the block's number alone. Three numbers a row: item, fingerprint, block.
+    near = F.transform(F.lit(masks), lambda m: F.col("value").bitwiseXOR(m.cast("long")))
+    listed = listed.select("item_id", "item_print", F.explode(near).alias("block"))
+    probes = prints.select("*", F.explode(_blocks(F.col("print"))).alias("block"))
+    apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
+    alike_bits = probes.join(listed, "block").where(apart <= radius).select("window", "size", "item_id")
     # A window is never longer than the item, so common is at least 2s / (1 + s) of the window's shingles and s of the item's.
     tokens = _rarest(kinds, ["window", "size"], width, common_to, lambda n: n * (2 * similarity / (1 + similarity)))
     shared = tokens.join(_rarest(items.select("item_id", "words"), ["item_id"], width, common_to, lambda n: n * similarity), "token")
