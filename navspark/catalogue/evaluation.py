@@ -197,7 +197,45 @@ FROM r CROSS JOIN l"""
 def clopper_pearson_query(spark, sf_dir):
     """Base-rate table with exact intervals per scenario."""
     scored = documents(spark, sf_dir).withColumn("pred", (F.col("score") >= 0.1).cast("int"))
-    return base_rate_analysis(confusion_metrics(scored, ["lang"]), ["lang"])
+    table = base_rate_analysis(confusion_metrics(scored, ["lang"]), ["lang"])
+    return rounded(table, [c for c in table.columns if c not in ("lang", "prevalence")], 9)
+
+
+def _precision_sql(tpr: str, fpr: str) -> str:
+    hits, alarms = f"{tpr} * prevalence", f"{fpr} * (1 - prevalence)"
+    return f"round(CASE WHEN {hits} + {alarms} > 0 THEN {hits} / ({hits} + {alarms}) END, 9)"
+
+
+# Ends of the intervals by halving: the binomial tail, summed term by term, is to be 0.025.
+CLOPPER_PEARSON_SQL = f"""
+WITH RECURSIVE {DOCS_SQL}, c AS (SELECT lang, {_COUNTS_SQL} FROM (SELECT *, CAST(score >= 0.1 AS INT) AS p FROM docs) GROUP BY lang),
+pairs AS (SELECT lang, 'tpr' AS name, tp AS k, tp + fn AS n FROM c UNION ALL SELECT lang, 'fpr', fp, fp + tn FROM c),
+search AS (
+  SELECT lang, name, k, n, side, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high, 0 AS step
+  FROM pairs, (VALUES ('lo'), ('hi')) s(side) WHERE n > 0 AND CASE side WHEN 'lo' THEN k > 0 ELSE k < n END
+  UNION ALL
+  SELECT lang, name, k, n, side, CASE WHEN (side = 'lo') = (tail < 0.025) THEN mid ELSE low END, CASE WHEN (side = 'lo') = (tail < 0.025) THEN high ELSE mid END, step + 1
+  FROM (
+    SELECT *, list_sum(list_transform(CASE side WHEN 'lo' THEN range(k, n + 1) ELSE range(0, k + 1) END,
+        lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(mid) + (n - i) * ln(1 - mid)))) AS tail
+    FROM (SELECT *, (low + high) / 2 AS mid FROM search WHERE step < 60)
+  )
+),
+ends AS (
+  SELECT lang, name, CASE WHEN n > 0 THEN k / n END AS rate,
+    CASE WHEN n > 0 THEN coalesce((SELECT (low + high) / 2 FROM search s WHERE step = 60 AND side = 'lo' AND s.lang = p.lang AND s.name = p.name), 0) END AS low,
+    CASE WHEN n > 0 THEN coalesce((SELECT (low + high) / 2 FROM search s WHERE step = 60 AND side = 'hi' AND s.lang = p.lang AND s.name = p.name), 1) END AS high
+  FROM pairs p
+),
+r AS (
+  SELECT t.lang, t.rate AS tpr, f.rate AS fpr, t.low AS tl, t.high AS th, f.low AS fl, f.high AS fh
+  FROM ends t JOIN ends f ON t.lang = f.lang AND t.name = 'tpr' AND f.name = 'fpr'
+),
+l AS (SELECT CAST(unnest([0.5, 0.1, 0.01, 0.001, 0.0001]) AS DOUBLE) AS prevalence)
+SELECT lang, prevalence, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr, round(tl, 9) AS tpr_ci_lo, round(th, 9) AS tpr_ci_hi,
+  round(fl, 9) AS fpr_ci_lo, round(fh, 9) AS fpr_ci_hi, {_precision_sql('tpr', 'fpr')} AS precision_at_prevalence,
+  {_precision_sql('tl', 'fh')} AS precision_lo, {_precision_sql('th', 'fl')} AS precision_hi
+FROM r CROSS JOIN l"""
 
 
 def baseline_left_join(spark, sf_dir):
@@ -233,7 +271,20 @@ FROM r GROUP BY lang"""
 
 
 def mcnemar(spark, sf_dir):
-    return mcnemar_table(_contingency(spark, sf_dir))
+    return rounded(mcnemar_table(_contingency(spark, sf_dir)), ["p_value"], 9)
+
+
+MCNEMAR_SQL = f"""
+WITH t AS ({CONTINGENCY_SQL}),
+d AS (SELECT *, least(only_first, only_second) AS fewer, only_first + only_second AS pairs FROM t),
+z AS (SELECT *, abs(pairs - 2 * fewer - 1) / sqrt(2 * pairs) AS z FROM d)
+SELECT lang, both_right, only_first, only_second, both_wrong, round(CASE
+    WHEN pairs < 25 THEN least(1, 2 * list_sum(list_transform(range(0, fewer + 1), lambda i: exp(lgamma(pairs + 1) - lgamma(i + 1) - lgamma(pairs - i + 1)))) / pow(2, pairs))
+    WHEN z < 2 THEN 1 - 2 / sqrt(pi()) * exp(-z * z) * list_sum(list_transform(range(0, 60),
+        lambda k: z * pow(2 * z * z, k) / exp(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))))
+    ELSE exp(-z * z) / sqrt(pi()) / list_reduce(list_transform(range(150, 0, -1), lambda k: CAST(k AS DOUBLE)), lambda f, k: z + k / (2 * f), z)
+  END, 9) AS p_value
+FROM z"""
 
 
 def vote_recall(spark, sf_dir):
@@ -261,9 +312,9 @@ QUERIES = {
     "threshold_max_f1": Query(threshold_max_f1, MAX_F1_SQL),
     "policy_evaluation": Query(policy_evaluation, POLICY_SQL),
     "prevalence_table": Query(prevalence_table, PREVALENCE_SQL),
-    "clopper_pearson": Query(clopper_pearson_query),
+    "clopper_pearson": Query(clopper_pearson_query, CLOPPER_PEARSON_SQL),
     "baseline_left_join": Query(baseline_left_join, BASELINE_SQL),
     "contingency": Query(_contingency, CONTINGENCY_SQL),
-    "mcnemar": Query(mcnemar),
+    "mcnemar": Query(mcnemar, MCNEMAR_SQL),
     "vote_recall": Query(vote_recall, VOTE_SQL),
 }

@@ -9,7 +9,8 @@ from navspark.functions.geo import M_PER_DEG_LAT, haversine_m
 from navspark.operators import splits as sp
 from navspark.operators.audit import audit, family_summary, ks_two_sample, zero_intensity_separators
 from navspark.operators.inject import inject
-from navspark.operators.intervals import base_rate_analysis, exact_interval, mcnemar_p
+from navspark.operators import intervals
+from navspark.operators.intervals import base_rate_analysis, error_tail
 from navspark.operators.metrics import confusion_metrics, roc_auc
 from navspark.operators.ordered import column_quantiles, exact_quantiles, running_totals
 from navspark.operators.prep import LIGHT, PrepOptions, correlation_matrix, fit_prep, iterative_corr_filter, skewness_after_fill
@@ -299,7 +300,38 @@ def test_corr_filter_ties_go_to_the_smaller_name():
     assert iterative_corr_filter(["a", "b"], np.array([[1, np.nan], [np.nan, 1]])) == []
 
 
-def test_intervals_invert_the_binomial_tails():
+def _over(spark, rows, schema, column):
+    """Values of a column expression, in the order of the rows; null is NaN."""
+    numbered = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], f"i int, {schema}")
+    out = [list(r) for r in numbered.select("i", *column).orderBy("i").drop("i").collect()]
+    return [np.array([math.nan if v is None else v for v in c]) for c in zip(*out, strict=True)]
+
+
+@pytest.fixture
+def exact_interval(spark):
+    def ends(hits, trials, alpha=0.05):
+        both = intervals.exact_interval(F.col("k"), F.col("n"), alpha)
+        return _over(spark, list(zip(hits, trials, strict=True)), "k double, n double", [both["low"].alias("low"), both["high"].alias("high")])
+
+    return ends
+
+
+@pytest.fixture
+def mcnemar_p(spark):
+    def values(first, second):
+        p = intervals.mcnemar_p(F.col("a"), F.col("b")).alias("p")
+        return _over(spark, list(zip(first, second, strict=True)), "a double, b double", [p])[0]
+
+    return values
+
+
+def test_error_tail(spark):
+    z = [0.0, 1e-9, 0.3, 1.0, 1.999, 2.0, 2.5, 6.0, 20.0]
+    found = _over(spark, [(x,) for x in z], "z double", [error_tail(F.col("z")).alias("t")])[0]
+    assert found == pytest.approx([math.erfc(x) for x in z], rel=1e-12)
+
+
+def test_intervals_invert_the_binomial_tails(exact_interval):
     for k, n in ((1, 2), (4, 31), (77, 150), (640, 641)):
         (lo,), (hi,) = exact_interval([k], [n])
         term = lambda p, i: math.comb(n, i) * p**i * (1 - p) ** (n - i)
@@ -315,12 +347,18 @@ def test_intervals_invert_the_binomial_tails():
     assert hi - lo == pytest.approx(2 * 1.959963985 * 0.5 / math.sqrt(1e9), rel=1e-4)
 
 
-def test_mcnemar():
+def test_mcnemar(mcnemar_p):
     sure, even = mcnemar_p([0, 1], [6, 1])
     assert sure == pytest.approx(2 / 64) and even == 1.0
     assert mcnemar_p([0], [0])[0] == 1.0
     z = (abs(40 - 71) - 1) / math.sqrt(111)
     assert mcnemar_p([71], [40])[0] == pytest.approx(math.erfc(z / math.sqrt(2)))
+    for a in range(0, 25, 6):
+        b = 24 - a
+        tail = 2 * sum(math.comb(24, i) for i in range(min(a, b) + 1)) / 2**24
+        assert mcnemar_p([a], [b])[0] == pytest.approx(min(1.0, tail), abs=1e-14)
+    # As many of either kind: the correction oversteps by one, and a p-value stays one.
+    assert mcnemar_p([30], [30])[0] == pytest.approx(math.erfc(1 / math.sqrt(120)))
 
 
 def test_base_rates(spark):
