@@ -270,6 +270,29 @@ def corr_filter(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(dropped)), "step long, feature string")
 
 
+_FILTER_COLUMNS = {**{c: c for c in _CORR}, "qty_twice": "qty * 2 + tax", "cube_near": "cube + disc"}
+_FILTER_PAIRS = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({x}, {y})) AS r FROM feats"
+    for a, x in _FILTER_COLUMNS.items() for b, y in _FILTER_COLUMNS.items() if a < b
+)
+CORR_FILTER_SQL = f"""
+WITH RECURSIVE {FEATURES_SQL}, half AS MATERIALIZED ({_FILTER_PAIRS}),
+m AS MATERIALIZED (SELECT a, b, r FROM half WHERE NOT isnan(r) UNION ALL SELECT b, a, r FROM half WHERE NOT isnan(r)),
+steps AS (
+  SELECT 0 AS step, CAST([] AS VARCHAR[]) AS dropped
+  UNION ALL
+  SELECT step + 1, list_append(dropped, next) FROM (
+    SELECT step, dropped, arg_max(a, (mean, -place)) AS next FROM (
+      SELECT step, dropped, a, sum(r) / (count(*) + 1) AS mean, max(r) AS top,
+        list_position({sorted(_FILTER_COLUMNS)!r}, a) AS place
+      FROM steps JOIN m ON NOT list_contains(dropped, a) AND NOT list_contains(dropped, b) GROUP BY step, dropped, a
+    ) WHERE top > 0.95 GROUP BY step, dropped
+  ) WHERE next IS NOT NULL
+),
+last AS (SELECT dropped FROM steps ORDER BY step DESC LIMIT 1)
+SELECT CAST(unnest(range(len(dropped))) AS BIGINT) AS step, unnest(dropped) AS feature FROM last"""
+
+
 def _ks(spark, sf_dir) -> DataFrame:
     """Lines of return flag A against all others."""
     long = melt(features(spark, sf_dir), ["l_returnflag"], NUMERIC)
@@ -340,7 +363,7 @@ QUERIES = {
     "corr_pairs": Query(corr_pairs, CORR_SQL),
     "corr_pairs_wide": Query(corr_pairs_wide, CORR_WIDE_SQL),
     "quantiles_with_empty_group": Query(quantiles_with_empty_group, EMPTY_GROUP_SQL),
-    "corr_filter": Query(corr_filter),
+    "corr_filter": Query(corr_filter, CORR_FILTER_SQL),
     "ks_two_sample": Query(ks_two_sample_query, f"{_KS_SQL} SELECT {_KS_COLS} FROM ks"),
     "topn_ks": Query(topn_ks, f"{_KS_SQL} SELECT feature, round(ks_stat, 6) AS ks_stat FROM ks ORDER BY 2 DESC, 1 LIMIT 3"),
     "sweep_pivot": Query(sweep_pivot, SWEEP_PIVOT_SQL),

@@ -331,6 +331,28 @@ def test_error_tail(spark):
     assert found == pytest.approx([math.erfc(x) for x in z], rel=1e-12)
 
 
+def test_corr_filter_equals_looking_at_everything():
+    draw = np.random.default_rng(12)
+    for _ in range(60):
+        p = int(draw.integers(1, 9))
+        r = np.round(draw.choice([0.0, 0.3, 0.96, 0.97, 0.99], (p, p)) * draw.choice([-1, 1], (p, p)), 2)
+        r = np.triu(r, 1) + np.triu(r, 1).T + np.eye(p)
+        if p > 2 and draw.random() < 0.3:
+            r[0, 1] = r[1, 0] = np.nan
+        names = [f"n{i}" for i in draw.permutation(p)]
+        left, expected = set(range(p)), []
+        while True:
+            pairs = [i for i in left if any(j != i and abs(r[i, j]) > 0.95 for j in left)]
+            if not pairs:
+                break
+            mean = lambda i: sum(abs(r[i, j]) for j in left if j != i and r[i, j] == r[i, j]) / sum(r[i, j] == r[i, j] for j in left)
+            best = max(round(mean(i), 9) for i in pairs)
+            gone = min((i for i in pairs if round(mean(i), 9) == best), key=lambda i: names[i])
+            expected.append(names[gone])
+            left.remove(gone)
+        assert iterative_corr_filter(names, r) == expected
+
+
 def test_intervals_invert_the_binomial_tails(exact_interval):
     for k, n in ((1, 2), (4, 31), (77, 150), (640, 641)):
         (lo,), (hi,) = exact_interval([k], [n])
