@@ -30,6 +30,13 @@ def small(df: DataFrame, name: str, limit: int = 500_000) -> DataFrame:
     return F.broadcast(written) if written.count() <= limit else written
 
 
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hand rows to Python by the thousand at most, from now on: texts are long, and batches of ten thousand fill memory beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 def crc_fold(key: Column, folds: int) -> Column:
     """Remainder of the CRC-32 of a key written as text."""
     return F.crc32(key.cast("string").cast("binary")) % folds

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from navspark.llm.common import small
+from navspark.llm.common import short_batches, small
 from navspark.llm.components import connected_components
 from navspark.llm.tokens import mix64, shingle_sets
 from navspark.session import stage
@@ -264,6 +264,7 @@ def near_duplicates(
     those links have joined need not be compared again, so a group of copies costs about its
     size. The second pass compares the rest of each tile across components, in bands of sizes.
     """
+    short_batches(docs.sparkSession)
     bits = [f"b{i}" for i in range(_LANES)]
     scanned = _scan(docs, text_col, id_col, width)
     named = scanned.where("times IS NULL").select("doc_id", "sid", "n", *bits, "wide")

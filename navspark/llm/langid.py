@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from navspark.llm.common import short_batches
 from navspark.session import stage
 
 #: A word in training and prediction alike: letters with the marks that belong to them.
@@ -22,7 +23,7 @@ ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Characters of text judged, or counted, at a time.
-_SLICE = 1_000_000
+_SLICE = 500_000
 
 
 def _hash(text: str) -> int:
@@ -128,6 +129,7 @@ def learn(
     language the model is empty and every text is ``und``.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     counts = stage(_word_counts(docs, text, lang), "words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     codes = sorted(totals)
@@ -241,8 +243,9 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     A null text, an empty one or one without a letter is ``und`` with score 0. Of equally
     likely languages the first in code point order wins. Every row is kept as it is. A long text is judged whole; others go
-    by about a megabyte at a time, so a task holds little besides the model.
+    by about half a megabyte at a time, so a task holds little besides the model.
     """
+    short_batches(docs.sparkSession)
     bare = {k: _unnamed(v) if k == "words" else {o: _unnamed(t) for o, t in v.items()} if k == "grams" else v for k, v in model.items()}
     shared = docs.sparkSession.sparkContext.broadcast(bare)
 
