@@ -60,7 +60,8 @@ def _query(detector: Detector) -> Query:
 
 
 QUERIES = {
-    "rf_train_eval": _query(Detector("RF-default", "rf", trees=20, depth=8)),
+    "rf_train_eval": _query(Detector("RF-default", "rf", trees=20)),
+    "rf_adjusted_train_eval": _query(Detector("RF-adjusted", "rf", trees=20, min_leaf=2, min_split=5, balanced=True)),
     "gbt_train_eval": _query(Detector("XGB-default", "level", rounds=3, depth=3)),
     "leafwise_train_eval": _query(Detector("LGBM-default", "leaf", rounds=2, depth=None, leaves=10, step=0.1, min_leaf=20, min_hessian=1e-3)),
     "rbf_svm_train_eval": _query(Detector("SVM-default", "svm", landmarks=128)),

@@ -36,7 +36,7 @@ DEFAULTS: dict[str, Any] = {
         "svm": {"enabled": True, "train_on_full_set": True, "subsample_size": 10000},
         "trees": 500,
         "rounds": 500,
-        "max_depth": 30,
+        "max_depth": None,
         "seed": 42,
     },
     "thresholds": {"enabled": True, "val_fraction": 0.25, "target_fprs": [0.01, 0.05]},

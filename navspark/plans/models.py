@@ -1,15 +1,13 @@
-"""Detectors: boosted trees and the kernel machine of this package, forests of Spark ML."""
+"""Detectors: forests, boosted trees and the kernel machine of this package."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from navspark.plans.boosting import Growth, boost
+from navspark.plans.forest import Forest, grow_forest
 from navspark.plans.kernel import fit_kernel_machine
 
 
@@ -21,9 +19,10 @@ class Detector:
     kind: str
     seed: int = 42
     trees: int = 500
-    depth: int | None = 30
+    depth: int | None = None
     leaves: int = 31
     min_leaf: int = 1
+    min_split: int = 2
     rounds: int = 500
     step: float = 0.3
     subsample: float = 1.0
@@ -38,7 +37,7 @@ class Detector:
         return self.kind == "svm"
 
 
-def model_zoo(tier: str, seed: int, trees: int = 500, rounds: int = 500, depth: int = 30, svm: bool = True) -> list[Detector]:
+def model_zoo(tier: str, seed: int, trees: int = 500, rounds: int = 500, depth: int | None = None, svm: bool = True) -> list[Detector]:
     """``default``, ``adjusted`` or ``both`` sets of detectors."""
     if tier not in ("default", "adjusted", "both"):
         raise ValueError(f"unknown tier {tier!r}")
@@ -53,7 +52,7 @@ def model_zoo(tier: str, seed: int, trees: int = 500, rounds: int = 500, depth:
         zoo += [Detector("SVM-default", "svm", cost=1.0, **common)] if svm else []
     if tier in ("adjusted", "both"):
         zoo += [
-            Detector("RF-adjusted", "rf", depth=depth, min_leaf=2, balanced=True, **common),
+            Detector("RF-adjusted", "rf", depth=depth, min_leaf=2, min_split=5, balanced=True, **common),
             Detector("XGB-adjusted", "level", depth=6, step=0.1, subsample=0.8, columns=0.8, min_hessian=3.0, **common),
             Detector("LGBM-adjusted", "leaf", depth=6, step=0.1, columns=0.8, min_leaf=20, min_hessian=1e-3, **common),
         ]
@@ -61,7 +60,7 @@ def model_zoo(tier: str, seed: int, trees: int = 500, rounds: int = 500, depth:
     return zoo
 
 
-def sweep_zoo(groups: list[str], seed: int, trees: int = 500, rounds: int = 500, depth: int = 30) -> list[Detector]:
+def sweep_zoo(groups: list[str], seed: int, trees: int = 500, rounds: int = 500, depth: int | None = None) -> list[Detector]:
     """Forest and/or boosted detectors of the generalization sweep."""
     zoo = []
     if "rf" in groups:
@@ -91,14 +90,7 @@ class Fitted:
     columns: list[str]
 
     def score(self, df: DataFrame, score: str = "score", pred: str = "pred") -> DataFrame:
-        if self.detector.kind != "rf":
-            return self.model.score(df, score, pred)
-        out = self.model.transform(_assemble(df, self.columns))
-        return out.select(*df.columns, vector_to_array(F.col("probability"))[1].alias(score), F.col("prediction").cast("int").alias(pred))
-
-
-def _assemble(df: DataFrame, columns: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep").transform(df)
+        return self.model.score(df, score, pred)
 
 
 def growth(detector: Detector) -> Growth:
@@ -114,13 +106,13 @@ def fit(detector: Detector, train: DataFrame, columns: list[str], y: str = "y")
     """Train on prepared rows (scaled ones for the SVM)."""
     if detector.kind in ("level", "leaf"):
         return Fitted(detector, boost(train, columns, y, growth(detector)), columns)
-    weighted = train.withColumn("_w", class_weights(train, y) if detector.balanced else F.lit(1.0))
-    if detector.kind == "svm":
-        return Fitted(detector, fit_kernel_machine(weighted, columns, y, detector.cost, detector.landmarks, "_w"), columns)
-    if detector.kind != "rf":
+    if detector.kind == "rf":
+        forest = Forest(
+            trees=detector.trees, depth=detector.depth, min_split=detector.min_split, min_leaf=detector.min_leaf,
+            balanced=detector.balanced, seed=detector.seed,
+        )
+        return Fitted(detector, grow_forest(train, columns, y, forest), columns)
+    if detector.kind != "svm":
         raise ValueError(f"unknown kind {detector.kind!r}")
-    learner = RandomForestClassifier(
-        numTrees=detector.trees, maxDepth=min(detector.depth, 30), minInstancesPerNode=detector.min_leaf,
-        featureSubsetStrategy="sqrt", seed=detector.seed, featuresCol="_x", labelCol=y, weightCol="_w",
-    )
-    return Fitted(detector, learner.fit(_assemble(weighted, columns)), columns)
+    weighted = train.withColumn("_w", class_weights(train, y) if detector.balanced else F.lit(1.0))
+    return Fitted(detector, fit_kernel_machine(weighted, columns, y, detector.cost, detector.landmarks, "_w"), columns)

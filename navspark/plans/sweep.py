@@ -45,7 +45,7 @@ class Sweep:
     """A labelled table with ``baseline_pred`` and the folder its results go to."""
 
     def __init__(self, df: DataFrame, out_dir: str, ablate=("snr", "gsa"), groups=("rf", "gbm"), seeds=SEEDS,
-                 trees: int = 500, rounds: int = 500, depth: int = 30):
+                 trees: int = 500, rounds: int = 500, depth: int | None = None):
         self.columns = sweep_columns(df, ablate)
         self.df = labelled(df)
         self.out, self.parts = out_dir.rstrip("/"), f"{out_dir.rstrip('/')}/parts"
