@@ -13,6 +13,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -157,34 +158,31 @@ def read_packets(stream, path: str) -> Iterator[tuple]:
     yield (path, number, None, None, None, status)
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packet rows of the captures named in the batches."""
+def packets_of(path: str) -> Iterator[tuple]:
+    """Rows of the capture at a URI, as ``read_packets`` gives them; a single one if it cannot be opened."""
     from pyarrow import fs
 
+    try:
+        system, where = fs.FileSystem.from_uri(path)
+        stream = system.open_input_stream(where, compression=None, buffer_size=1 << 20)
+    except (OSError, ValueError):
+        yield (path, 0, None, None, None, "missing")
+        return
+    with stream:
+        yield from read_packets(stream, path)
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packet rows of the captures named in the batches."""
     names = ["path", "pkt_no", "src_ip", "src_port", "payload", "status"]
     types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.string()]
     schema = pa.schema(list(zip(names, types)))
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows), types)], schema=schema)
-
     for paths in batches:
         for path in paths.column(0).to_pylist():
-            try:
-                system, where = fs.FileSystem.from_uri(path)
-                stream = system.open_input_stream(where, compression=None, buffer_size=1 << 20)
-            except (OSError, ValueError):
-                yield batch([(path, 0, None, None, None, "missing")])
-                continue
-            with stream:
-                rows = []
-                for row in read_packets(stream, path):
-                    rows.append(row)
-                    if len(rows) == _BATCH:
-                        yield batch(rows)
-                        rows = []
-                if rows:
-                    yield batch(rows)
+            packets = packets_of(path)
+            while rows := list(islice(packets, _BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows), types)], schema=schema)
 
 
 def to_uri(path: str) -> str:
