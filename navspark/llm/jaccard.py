@@ -23,10 +23,11 @@ PERCENT = 75
 #: At most so many shingles are known as frequent; the rest is told apart by the tiles themselves.
 FREQUENT = 262_144
 #: Times that a task must meet a shingle to report it, and how many it counts at once.
-_LOCAL = 4
+_LOCAL = 2
 _HELD = 2_000_000
 _LANES = 8
 _SALTS = 16
+_PROBE = "shingle long, sid long, n int, salt int, rank int"
 
 
 def _needed(size: int, percent: int) -> int:
@@ -103,10 +104,10 @@ def _frequent(scanned: DataFrame) -> list[int]:
 
 
 def _probe_rows(docs: DataFrame, text: str, frequent: list[int], width: int, percent: int) -> DataFrame:
-    """Probe shingles of each distinct set, once per task: (shingle, sid, n, salt); salt is over 0 for frequent ones.
+    """Probe shingles of each distinct set, once per task: (shingle, sid, n, salt, rank); salt is over 0 for frequent ones.
 
     Two sets that link share a shingle among the first size - needed + 1 of each, in any
-    common order. Here rare shingles come first, the most frequent last.
+    common order. Here rare shingles come first, the most frequent last; rank is the place in that order, from 0.
     """
     order = np.array(frequent[::-1], np.int64).view(np.uint64)
     by_value = np.argsort(order)
@@ -117,7 +118,7 @@ def _probe_rows(docs: DataFrame, text: str, frequent: list[int], width: int, per
         seen: set[int] = set()
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0), width):
-                probes, names, sizes, salts = [], [], [], []
+                probes, names, sizes, salts, ranks = [], [], [], [], []
                 for s in sets:
                     sid = _name(s)
                     if not len(s) or sid in seen:
@@ -134,13 +135,14 @@ def _probe_rows(docs: DataFrame, text: str, frequent: list[int], width: int, per
                     salts += [np.zeros(len(rare), np.int32), mixed.astype(np.int32) + np.int32(1)]
                     names.append(np.full(take, sid, np.int64))
                     sizes.append(np.full(take, len(s), np.int32))
+                    ranks.append(np.arange(take, dtype=np.int32))
                 if names:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(probes).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (names, sizes, salts)]],
-                        ["shingle", "sid", "n", "salt"],
+                        [pa.array(np.concatenate(probes).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (names, sizes, salts, ranks)]],
+                        ["shingle", "sid", "n", "salt", "rank"],
                     )
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(split, "shingle long, sid long, n int, salt int")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(split, _PROBE)
 
 
 def _shared_only(rows: DataFrame) -> DataFrame:
@@ -148,20 +150,20 @@ def _shared_only(rows: DataFrame) -> DataFrame:
 
     Rows arrive sorted by shingle and set, so a look at the neighbours decides.
     """
-    schema = pa.schema([("shingle", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("salt", pa.int32())])
+    schema = pa.schema([("shingle", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("salt", pa.int32()), ("rank", pa.int32())])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, paired = None, False
         for batch in batches:
-            grid = [np.asarray(batch.column(i)) for i in range(4)]
+            grid = [np.asarray(batch.column(i)) for i in range(len(schema))]
             if last is not None:
                 grid = [np.concatenate(([x], g)) for x, g in zip(last, grid, strict=True)]
-            shingle, sid, _, salt = grid
+            shingle, sid, _, salt, _ = grid
             if not len(shingle):
                 continue
             fresh = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (sid[1:] != sid[:-1]) | (salt[1:] != salt[:-1])))
             grid = [g[fresh] for g in grid]
-            shingle, _, _, salt = grid
+            shingle, _, _, salt, _ = grid
             same = shingle[1:] == shingle[:-1]
             found = (salt > 0) | np.concatenate(([paired], same)) | np.append(same, False)
             last, paired = tuple(g[-1] for g in grid), bool(same[-1]) if len(same) else paired
@@ -171,7 +173,7 @@ def _shared_only(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(last, schema, strict=True)], schema=schema)
 
     dealt = rows.repartition(F.col("shingle"), F.col("salt")).sortWithinPartitions("shingle", "salt", "sid")
-    return dealt.mapInArrow(keep, "shingle long, sid long, n int, salt int")
+    return dealt.mapInArrow(keep, _PROBE)
 
 
 def _possible(n: Column, m: Column, missing: Column, surplus: Column, percent: int) -> Column:
@@ -245,6 +247,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, key
     return stage(both.mapInArrow(linked, "a long, b long").distinct(), "links")
 
 
+def _across(tiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components that may link and whose first shared probe may be this tile's.
+
+    What comes before the first shared probe in either set's order is missing in the other, so each link is found in that tile.
+    """
+    # Bands of sizes that may link: a set meets those of its own and of the next band.
+    band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9)).cast("int")
+    left = stage(tiles.withColumn("band", band), "left")
+    x, y = left.alias("x"), left.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).alias("y")
+    return x.join(
+        y,
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
+        & F.expr("x.n < y.n OR x.n = y.n AND x.sid < y.sid") & _possible(*[F.col(c) for c in ("x.n", "y.n", "x.rank", "y.rank")], percent),
+    ).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -262,7 +280,8 @@ def near_duplicates(
     shingles of each; sets of sizes too far apart or bitmaps too different are dropped before
     the exact check. A first pass verifies each set with its neighbours in size in every tile; what
     those links have joined need not be compared again, so a group of copies costs about its
-    size. The second pass compares the rest of each tile across components, in bands of sizes.
+    size. The second pass compares the rest of each tile across components, in bands of sizes, and only where the tile may be
+    the first the two share: what comes before it in either's order is missing in the other.
     """
     short_batches(docs.sparkSession)
     bits = [f"b{i}" for i in range(_LANES)]
@@ -299,18 +318,10 @@ def near_duplicates(
     ).where("b IS NOT NULL")
     first = check(still_possible(bounded(chained.unionByName(shuffled).unionByName(heads))), sets=sets)
     roots = stage(connected_components(first), "roots")
-    grown = tiles.join(roots, tiles["sid"] == roots["node"], "left").select("shingle", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    grown = tiles.join(roots, tiles["sid"] == roots["node"], "left").select("shingle", "sid", "n", "rank", F.coalesce("root", "sid").alias("root"))
     grown = stage(grown.distinct(), "grown")
     mixed = grown.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    # Bands of sizes that may link: a set meets those of its own and of the next band.
-    band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9)).cast("int")
-    left = stage(grown.join(mixed, "shingle").withColumn("band", band), "left")
-    x, y = left.alias("x"), left.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).alias("y")
-    across = x.join(
-        y,
-        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
-        & F.expr(f"(x.n < y.n OR x.n = y.n AND x.sid < y.sid) AND 100 * x.n >= {percent} * y.n"),
-    ).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+    across = _across(grown.join(mixed, "shingle"), percent)
     second = check(still_possible(bounded(across).join(first, ["a", "b"], "left_anti")), sets=sets)
     links = first.unionByName(second).distinct()
     roots = stage(connected_components(links), "roots")

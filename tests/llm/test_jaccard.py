@@ -63,6 +63,13 @@ def test_repeated_and_nameless_rows(documents):
     assert out == [(3, 3), (5, 3), (5, 3), (None, 3)]
 
 
+def test_sets_meet_only_where_their_first_shared_probe_may_be(spark):
+    # 100 sets near one group of 100: every pair shares the ten last probes of 26, and only the last two sets an early one.
+    rows = [(k, i, 100, 16 + k, i) for i in range(200) for k in range(10)] + [(50, 198, 100, 14, 198), (50, 199, 100, 3, 199)]
+    tiles = spark.createDataFrame(rows, "shingle long, sid long, n int, rank int, root long")
+    assert [tuple(r) for r in jaccard._across(tiles, 75).distinct().collect()] == [(198, 199)]
+
+
 def test_empty_table(documents):
     assert jaccard.near_duplicates(documents([])).collect() == []
 
