@@ -156,3 +156,13 @@ def test_odd_tables(spark):
         for handoff in (1000, 2):
             out = grow_forest(frame(spark, rows), COLUMNS, "y", Forest(trees=3, handoff=handoff)).score(frame(spark, rows)).collect()
             assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+
+
+def test_a_subtree_travels_once_however_many_slices_end_in_its_node(spark, rows, monkeypatch):
+    model = grow_forest(frame(spark, rows), COLUMNS, "y", Forest(trees=3, handoff=60))
+    expected = scores(model, frame(spark, rows))
+    monkeypatch.setattr("navspark.plans.forest._SLICE", 5)
+    assert scores(model, frame(spark, rows)) == expected
+    # Joined, every slice would carry a copy of its subtree to Python.
+    plan = model.votes(frame(spark, rows).selectExpr("monotonically_increasing_id() AS __row", "*"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
