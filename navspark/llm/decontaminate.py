@@ -131,7 +131,8 @@ def contaminated(
     listed = listed.select("item_id", "item_print", F.explode(near).alias("block"))
     probes = prints.select("*", F.explode(_blocks(F.col("print"))).alias("block"))
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    alike_bits = probes.join(listed, "block").where(apart <= radius).select("window", "size", "item_id")
+    # The list is some 2,800 times the rows it is estimated by: unasked, it would be gathered on the driver and broadcast.
+    alike_bits = probes.join(listed.hint("merge"), "block").where(apart <= radius).select("window", "size", "item_id")
     # A window is never longer than the item, so common is at least 2s / (1 + s) of the window's shingles and s of the item's.
     tokens = _rarest(kinds, ["window", "size"], width, common_to, lambda n: n * (2 * similarity / (1 + similarity)))
     shared = tokens.join(_rarest(items.select("item_id", "words"), ["item_id"], width, common_to, lambda n: n * similarity), "token")

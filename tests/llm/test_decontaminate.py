@@ -77,3 +77,21 @@ def test_empty_tables(spark, documents):
     one = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert contaminated(documents([(1, "a b c d e f", None, None)]), none).collect() == []
     assert contaminated(documents([]), one).collect() == []
+
+
+def test_the_list_of_items_is_not_gathered_on_the_driver(spark, monkeypatch):
+    from navspark.llm import decontaminate
+
+    plans, kept = {}, decontaminate.stage
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(decontaminate, "stage", noted)
+    words = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a {words} b"), (2, "none of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, words)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["start_word"]) for r in decontaminate.contaminated(docs, items).collect()] == [(1, 7, 1)]
+    assert [line for line in plans["pairs"].splitlines() if "SortMergeJoin [block" in line]
+    assert not [line for line in plans["pairs"].splitlines() if "BroadcastHashJoin [block" in line]
