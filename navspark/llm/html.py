@@ -93,23 +93,24 @@ def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
             at = moved
 
 
-def page_lines(page: str | None) -> list[tuple[str, bool]]:
-    """The page's text blocks in order, and whether each lies in an article or main element.
+def page_blocks(page: str | None) -> list[tuple[str, bool, bool]]:
+    """The page's text blocks in order, whether each lies in an article or main element, and whether its element or label leaves it out.
 
     Tags are matched leniently: an end tag closes what is open inside it, one without
     a start is ignored, what is not closed lasts to the end. Time grows with the page's length, broken or not.
     """
-    lines: list[tuple[str, bool]] = []
+    blocks: list[tuple[str, bool, bool]] = []
     pieces: list[str] = []
+    left: list[str] = []
     open_: list[tuple[str, bool, bool]] = []  # tag, leaves out, is main
     names: Counter = Counter()
     out = inside = at = 0
 
-    def close() -> None:
-        text = WHITE.sub(" ", entities.unescape("".join(pieces))).strip()
-        pieces.clear()
+    def close(texts: list[str]) -> None:
+        text = WHITE.sub(" ", entities.unescape("".join(texts))).strip()
         if text:
-            lines.append((text, inside > 0))
+            blocks.append((text, inside > 0, texts is left))
+        texts.clear()
 
     page = page or ""
     found = tokens(page)
@@ -121,19 +122,21 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
             break
         start, end, ending, tag, attributes = token
         moved = None
-        if not out and start > at:
-            pieces.append(page[at:start])
+        if start > at:
+            (left if out else pieces).append(page[at:start])
         at = end
         if not tag:
             continue
-        if tag not in INLINE and not out:
-            close()
+        if tag not in INLINE:
+            close(left if out else pieces)
         if ending:
             # Only what is open is looked for, so the search ends with what it removes.
             while names[tag]:
                 name, left_out, main = open_.pop()
                 names[name] -= 1
                 out -= left_out
+                if left_out and not out:
+                    close(left)
                 inside -= main
                 if name == tag:
                     break
@@ -148,10 +151,16 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
             names[tag] += 1
             out += left_out
             inside += main
-    if not out and at < len(page):
-        pieces.append(page[at:])
-    close()
-    return lines
+    if at < len(page):
+        (left if out else pieces).append(page[at:])
+    close(left)
+    close(pieces)
+    return blocks
+
+
+def page_lines(page: str | None) -> list[tuple[str, bool]]:
+    """The blocks that are not left out, and whether each lies in an article or main element."""
+    return [(text, inside) for text, inside, left in page_blocks(page) if not left]
 
 
 def common_lines(left: list, right: list) -> set[int]:
@@ -263,10 +272,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out
-    by their element or label. A page that has an article or main element is reduced to it: copied articles are
-    shared between pages, and still main text. Pages of a host are paired by URL path with the nearest other page. The
-    text lines of a page without such an element are aligned with that page's by longest common
-    subsequence. A shared one is deleted only as boilerplate: ``boilerplate`` proves it, or it is on three
+    by their element or label. Pages of a host are paired by URL path with the nearest other page, and every page is aligned
+    with that one by longest common subsequence. A page that has an article or main element is reduced to it: all its blocks
+    are aligned, those left out as well, and a shared line in the element is deleted if its host shows it to be a menu line or
+    the like, left out on three and more different pages and on more than half of them. Other shared lines stay: articles and passages
+    are copied between pages, and still main text. Of a page without such an element the
+    lines not left out are aligned. A shared one is deleted only as boilerplate: ``boilerplate`` proves it, or it is on three
     and more different pages of the host and on more than half of them. If the two pages are copies of each other, it
     must besides be on twice as many pages as the rarest line they share. What stays undecided is kept,
     so copies among few pages keep their menus. Blocks are joined by a space in page order.
@@ -284,36 +295,49 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, open_, sizes = [], [], []
+            marks, open_, sizes, whole, main, aside = [], [], [], [], [], []
             for page in batch.column(3).to_pylist():
-                lines = page_lines(page)
-                marks.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in lines])
-                open_.append(not any(inside for _, inside in lines))
-                sizes.append([len(t) for t, _ in lines])
+                blocks = [(xxhash.xxh3_64_intdigest(t) - (1 << 63), len(t), inside, left) for t, inside, left in page_blocks(page)]
+                kept = [x for x in blocks if not x[3]]
+                marks.append([x[0] for x in kept])
+                open_.append(not any(x[2] for x in kept))
+                sizes.append([x[1] for x in kept])
+                whole.append([x[0] for x in blocks])
+                main.append([x[2] and not x[3] for x in blocks])
+                aside.append(sorted({x[0] for x in blocks if x[3]}))
+            hashes, flags = pa.list_(pa.int64()), pa.list_(pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(marks, pa.list_(pa.int64())), pa.array(open_), pa.array(sizes, pa.list_(pa.int32()))],
-                ["host", "path", "row", "lines", "open", "sizes"],
+                [
+                    *batch.columns[:3], pa.array(marks, hashes), pa.array(open_), pa.array(sizes, pa.list_(pa.int32())),
+                    pa.array(whole, hashes), pa.array(main, flags), pa.array(aside, hashes),
+                ],
+                ["host", "path", "row", "lines", "open", "sizes", "blocks", "main", "aside"],
             )
 
-    columns = "host string, path string, row string, lines array<long>, open boolean, sizes array<int>"
+    columns = "host string, path string, row string, lines array<long>, open boolean, sizes array<int>, blocks array<long>, main array<boolean>, aside array<long>"
     outlines = named.select("host", "path", "row", "html").mapInArrow(outline, columns)
     outlines = stage(outlines.dropDuplicates(["row"]), "outlines")
     pairs = _neighbours(outlines)
-    left = outlines.where("open").select("row", "host", F.col("lines").alias("own"), F.col("sizes").alias("own_sizes"))
-    right = outlines.select(F.col("row").alias("partner"), F.col("lines").alias("other"), F.col("sizes").alias("other_sizes"))
+    left = outlines.select("row", "host", "open", "main", F.when(F.col("open"), F.col("lines")).otherwise(F.col("blocks")).alias("own"), F.col("sizes").alias("own_sizes"))
+    right = outlines.select(F.col("row").alias("partner"), "lines", "blocks", F.col("sizes").alias("other_sizes"))
 
     @F.pandas_udf("places array<int>, proved array<boolean>, apart boolean")
-    def compared(own: pd.Series, own_sizes: pd.Series, other: pd.Series, other_sizes: pd.Series) -> pd.DataFrame:
+    def compared(open_: pd.Series, main: pd.Series, own: pd.Series, own_sizes: pd.Series, other: pd.Series, other_sizes: pd.Series) -> pd.DataFrame:
         out = []
-        for a, p, b, q in zip(own, own_sizes, other, other_sizes, strict=True):
+        for o, m, a, p, b, q in zip(open_, main, own, own_sizes, other, other_sizes, strict=True):
             a, b = list(a), list(b)
-            out.append(boilerplate(a, b, dict(zip(a, p, strict=True)) | dict(zip(b, q, strict=True))))
+            if o:
+                out.append(boilerplate(a, b, dict(zip(a, p, strict=True)) | dict(zip(b, q, strict=True))))
+            else:
+                places = [i for i in sorted(common_lines(a, b)) if m[i]]
+                out.append((places, [False] * len(places), False))
         return pd.DataFrame(out, columns=["places", "proved", "apart"])
 
-    both = pairs.join(left, "row").join(right, "partner").withColumn("c", compared("own", "own_sizes", "other", "other_sizes"))
-    both = stage(both.select("row", "host", "own", "c.*").where("size(places) > 0"), "compared")
-    lines = both.select("row", "host", "own", "apart", F.explode(F.arrays_zip("places", "proved")).alias("p"))
-    lines = lines.select("row", "host", "apart", "p.*", F.get("own", F.col("p.places")).alias("line"))
+    other = F.when(F.col("open"), F.col("lines")).otherwise(F.col("blocks"))
+    both = pairs.join(left, "row").join(right, "partner").withColumn("c", compared("open", "main", "own", "own_sizes", other, "other_sizes"))
+    both = stage(both.select("row", "host", "own", "open", "c.*").where("size(places) > 0"), "compared")
+    lines = both.select("row", "host", "own", "open", "apart", F.explode(F.arrays_zip("places", "proved")).alias("p"))
+    lines = lines.select("row", "host", "open", "apart", "p.*", F.get("own", F.col("p.places")).alias("line"))
     # Pages of the same lines count once: a mirror proves nothing.
     asked = small(lines.select("host", "line").distinct(), "asked")
     different = outlines.select("host", F.xxhash64("lines").alias("_text"), "lines").dropDuplicates(["host", "_text"])
@@ -321,22 +345,26 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     pages_of = different.groupBy("host").agg(F.count("*").alias("pages"))
     on = different.select("host", F.explode(F.array_distinct("lines")).alias("line")).join(asked, ["host", "line"], "left_semi")
     on = on.groupBy("host", "line").agg(F.count("*").alias("times")).join(pages_of, "host")
+    marked = outlines.select("host", F.xxhash64("lines").alias("_text"), F.explode("aside").alias("line")).join(asked, ["host", "line"], "left_semi")
+    marked = marked.groupBy("host", "line").agg(F.count_distinct("_text").alias("marked"))
+    on = on.join(marked, ["host", "line"], "left")
     told = lines.join(small(on, "on"), ["host", "line"])
     rarest = told.groupBy("row").agg(F.min("times").alias("rarest"))
     wide = (F.col("times") >= 3) & (2 * F.col("times") > F.col("pages")) & (F.col("apart") | (F.col("times") >= 2 * F.col("rarest")))
-    gone = told.join(rarest, "row").where(F.col("proved") | wide).groupBy("row").agg(F.collect_list("places").alias("gone"))
+    menu = (F.col("marked") >= 3) & (2 * F.col("marked") > F.col("pages"))
+    gone = told.join(rarest, "row").where(F.when(F.col("open"), F.col("proved") | wide).otherwise(menu)).groupBy("row").agg(F.collect_list("places").alias("gone"))
     gone = stage(gone, "gone")
 
     @F.pandas_udf("string")
     def text(pages: pd.Series, gone: pd.Series) -> pd.Series:
         out = []
         for page, places in zip(pages, gone, strict=True):
-            lines = page_lines(page)
-            if any(inside for _, inside in lines):
-                kept = [t for t, inside in lines if inside]
+            cut = set() if places is None else set(places)
+            blocks = page_blocks(page)
+            if any(inside and not left for _, inside, left in blocks):
+                kept = [t for i, (t, inside, left) in enumerate(blocks) if inside and not left and i not in cut]
             else:
-                cut = set() if places is None else set(places)
-                kept = [t for i, (t, _) in enumerate(lines) if i not in cut]
+                kept = [t for i, (t, _, _) in enumerate(b for b in blocks if not b[2]) if i not in cut]
             out.append(" ".join(kept))
         return pd.Series(out)
 

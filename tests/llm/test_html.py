@@ -1,6 +1,6 @@
 import random
 
-from navspark.llm.html import common_lines, main_text, page_lines
+from navspark.llm.html import common_lines, main_text, page_blocks, page_lines
 
 SCHEMA = "page_id long, url string, html string, text string, host string, row string"
 
@@ -99,3 +99,20 @@ def test_quotes_hide_brackets():
     assert page_lines('<p title="a > b">one</p><p title=\'"\'>two</p>') == [("one", False), ("two", False)]
     assert page_lines('before <p title="never closed>after') == [('before <p title="never closed>after', False)]
     assert page_lines("a < b <c d") == [("a < b <c d", False)]
+
+
+def test_pages_with_an_article_are_aligned_too(spark):
+    def page(article, rest="<footer>Follow us</footer>"):
+        return f"<nav><p>Start</p></nav><article>{''.join(f'<p>{x}</p>' for x in article)}</article>{rest}"
+
+    rows = [(i, f"http://h.org/a/{i}", page(["Passage", f"text {i}", "Ending"])) for i in range(4)]
+    rows += [(4, "http://h.org/a/4", page(["Passage", "text 4", "Start", "Ending", "Follow us"], ""))]
+    # Too few pages show what is a menu line here, and a copied article is no menu.
+    rows += [(5, "http://few.org/1", page(["Copied", "Follow us"])), (6, "http://few.org/2", page(["Copied", "Follow us"]))]
+    found = {r["page_id"]: r["text"] for r in texts(spark, rows)}
+    assert found == {**{i: f"Passage text {i} Ending" for i in range(4)}, 4: "Passage text 4 Start Ending", 5: "Copied Follow us", 6: "Copied Follow us"}
+
+
+def test_blocks_that_are_left_out_keep_their_places():
+    page = "<nav>Menu<ul><li>one</ul></nav><article>a <span class=ad>buy</span> b<aside>also</aside></article>end"
+    assert page_blocks(page) == [("Menu", False, True), ("one", False, True), ("buy", True, True), ("a b", True, False), ("also", True, True), ("end", False, False)]
