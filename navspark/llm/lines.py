@@ -19,6 +19,8 @@ _CLASSES = 8
 _PARTS = 16
 #: Lines of a tile that all others are compared with first.
 _HEADS = 4
+#: Bits of a key that come from the digest.
+_KEY = 0xFFFFFFFFFFFE0000
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -109,13 +111,14 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _keys(lines: DataFrame, edits: int) -> DataFrame:
     """Index and probe keys of each different line, once per task: (key, h, mark).
 
-    An even key indexes a line, the odd one after it probes for it. ``mark`` has the line's place, roughly, in its upper half and its
-    letters in the lower one.
+    An even key indexes a line and probes with it, an odd one only probes. Of a digest 47 bits are kept: a chance meeting costs a look, no
+    result, and zeros take no room in a shuffle. ``mark`` has the line's place, roughly, in its upper half and its letters in the lower one.
     """
 
     def cuts(size: int) -> list[tuple[int, int, int, int]]:
-        own = [(size * 64 + i, 0, at, at + n) for i, (at, n) in enumerate(segments(size, edits))]
-        return own + [(other * 64 + i, 1, at, at + n) for other, i, at, n in probes(size, edits)]
+        own = [(size * 64 + i, at, at + n) for i, (at, n) in enumerate(segments(size, edits))]
+        tried = [(other * 64 + i, at, at + n) for other, i, at, n in probes(size, edits)]
+        return [(seed, 0, a, b) for seed, a, b in own] + [(seed, 1, a, b) for seed, a, b in tried if (seed, a, b) not in own]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -131,7 +134,7 @@ def _keys(lines: DataFrame, edits: int) -> DataFrame:
                 plan = plans.get(len(line))
                 if plan is None:
                     plan = plans[len(line)] = cuts(len(line))
-                keys += [digest(line[a:b].encode(), seed) & ~1 | side for seed, side, a, b in plan]
+                keys += [digest(line[a:b].encode(), seed) & _KEY | side for seed, side, a, b in plan]
                 names.append(h)
                 marks.append(place << 32 | _letters(line))
                 sent.append(len(plan))
@@ -193,7 +196,9 @@ def _met(keys: DataFrame, edits: int) -> DataFrame:
             heads = own[:, :_HEADS]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    dealt = keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "h", "mark")
+    # One row for both uses travels; only where tiles meet are there two.
+    uses = F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.array("key", F.col("key") + 1)).otherwise(F.array("key"))
+    dealt = keys.repartition(F.shiftright("key", 1)).select(F.explode(uses).alias("key"), "h", "mark").sortWithinPartitions("key", "h", "mark")
     return dealt.mapInArrow(pair, "kind byte, key long, h long, mark long, other long")
 
 
@@ -216,7 +221,9 @@ def repeated_lines(
     kinds = stage(rows.groupBy("h", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times")), "kinds")
     long_ = every.where(F.length("line") >= shortest)
     met = stage(_met(_keys(long_.select("h", "line", "doc_id"), edits), edits), "met")
-    firsts = kinds.select("h", "first")
+    # Only lines that met another are asked for their place again, a small part: the table of all lines moves once for it.
+    ids = small(met.select(F.explode(F.array("h", "other")).alias("h")).distinct(), "ids")
+    firsts = stage(kinds.select("h", "first").join(ids, "h"), "firsts")
 
     def later(pairs: DataFrame, name: str) -> DataFrame:
         """The later line of each pair that is within the distance."""
@@ -246,7 +253,8 @@ def repeated_lines(
     back = back.where((F.col("h") != F.col("other")) & (F.col("first") < F.col("other_first")) & F.expr(_near_sql("mark", "other_mark", edits)))
     pairs = pairs.where(F.col("other_first") < F.col("first")).select("h", "other").unionByName(back.select("h", "other"))
     pairs = pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
-    near = near.unionByName(later(pairs.join(heads, ["a", "b"], "left_anti"), "rest")).distinct().withColumn("near", F.lit(True))
+    near = near.unionByName(later(pairs.join(heads, ["a", "b"], "left_anti"), "rest")).distinct()
+    near = small(near.withColumn("near", F.lit(True)), "repeats")
     judged = kinds.join(near, "h", "left").where("times > 1 OR near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     place = F.struct("doc_id", "line_no")
     # A very common line would meet its many occurrences in one task: both sides are dealt into parts.

@@ -1,6 +1,6 @@
 import random
 
-from navspark.llm.lines import repeated_lines, segments, within, without_lines
+from navspark.llm.lines import _keys, probes, repeated_lines, segments, within, without_lines
 
 
 def distance(a, b):
@@ -96,3 +96,13 @@ def test_a_large_group_of_near_equal_lines(documents):
     for d in far:
         expected = any(within(lines[d], lines[x], 2) for x in lines if x < d)
         assert out[d] == ([0] if expected else [])
+
+
+def test_a_line_goes_to_a_tile_once(spark):
+    draw = random.Random(4)
+    lines = [(h, "".join(draw.choice("abcdefgh ") for _ in range(n)), h) for h, n in enumerate([20, 21, 22, 47, 300])]
+    rows = _keys(spark.createDataFrame(lines, "h long, line string, doc_id long").coalesce(1), 2).collect()
+    for h, line, _ in lines:
+        keys = [r["key"] for r in rows if r["h"] == h]
+        spots = {(other, i, at) for other, i, at, _ in probes(len(line), 2)}
+        assert len(keys) == len(spots) == len({k >> 1 for k in keys}) and sum(k % 2 == 0 for k in keys) == 3
