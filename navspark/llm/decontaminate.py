@@ -39,15 +39,11 @@ def _fingerprints(windows: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.shiftrightunsigned("_w", j).bitwiseAND(F.lit(0x0001000100010001))).alias(f"s{j}") for j in range(16)
     ]
     sums = word.groupBy(*keys).agg(F.first("_n").alias("_n"), *lanes)
-    bits = []
-    for b in range(_BLOCKS):
-        for j in range(16):
-            set_ = F.shiftrightunsigned(f"s{j}", 16 * b).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("_n")
-            bits.append(F.when(set_, F.shiftleft(F.lit(1).cast("long"), 16 * b + j)).otherwise(F.lit(0).cast("long")))
-    print_ = bits[0]
-    for bit in bits[1:]:
-        print_ = print_.bitwiseOR(bit)
-    return sums.select(*keys, print_.alias("print"))
+    # A loop and not 64 terms: written out, they make the plans, which the driver holds and compiles, several times as large.
+    lanes = F.array(*[F.col(f"s{j}") for j in range(16)])
+    bit = "if((shiftrightunsigned(get(lanes, k % 16), k - k % 16) & 65535) * 2 > _n, shiftleft(1L, k), 0L)"
+    sums = sums.select(*keys, "_n", lanes.alias("lanes"))
+    return sums.select(*keys, F.expr(f"aggregate(sequence(0, {16 * _BLOCKS - 1}), 0L, (x, k) -> x | {bit})").alias("print"))
 
 
 def _blocks(print_: Column) -> Column:
@@ -124,11 +120,11 @@ def contaminated(
     kinds = stage(cut.groupBy("window", "size").agg(F.first("words").alias("words")), "kinds")
     prints = _fingerprints(kinds, ["window", "size"])
     each = radius // _BLOCKS
-    masks = [m for m in range(1 << 16) if m.bit_count() <= each]
+    # A table of some 700 rows; as a literal, each of its numbers would be a node of every plan made from here on.
+    masks = docs.sparkSession.range(1 << 16).where(F.bit_count("id") <= each).select(F.col("id").alias("mask"))
     listed = _fingerprints(items.select("item_id", "words"), ["item_id"]).select("item_id", F.col("print").alias("item_print"), F.explode(_blocks(F.col("print"))).alias("value"))
     # A mask leaves the block's number alone. Three numbers a row: item, fingerprint, block.
-    near = F.transform(F.lit(masks), lambda m: F.col("value").bitwiseXOR(m.cast("long")))
-    listed = listed.select("item_id", "item_print", F.explode(near).alias("block"))
+    listed = listed.crossJoin(F.broadcast(masks)).select("item_id", "item_print", F.col("value").bitwiseXOR(F.col("mask")).alias("block"))
     probes = prints.select("*", F.explode(_blocks(F.col("print"))).alias("block"))
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     # The list is some 2,800 times the rows it is estimated by: unasked, it would be gathered on the driver and broadcast.

@@ -1,6 +1,6 @@
 import random
 
-from navspark.llm.decontaminate import contaminated
+from navspark.llm.decontaminate import _fingerprints, contaminated
 
 
 def plain(docs, items):
@@ -95,3 +95,14 @@ def test_the_list_of_items_is_not_gathered_on_the_driver(spark, monkeypatch):
     assert [(r["doc_id"], r["item_id"], r["start_word"]) for r in decontaminate.contaminated(docs, items).collect()] == [(1, 7, 1)]
     assert [line for line in plans["pairs"].splitlines() if "SortMergeJoin [block" in line]
     assert not [line for line in plans["pairs"].splitlines() if "BroadcastHashJoin [block" in line]
+
+
+def test_fingerprints_are_majorities_and_their_plan_is_short(spark):
+    rows = [(1, [5, -7, 3]), (2, [-1]), (3, [2**62 + 11, 9, 9, -(2**63)])]
+    found = _fingerprints(spark.createDataFrame(rows, "k long, words array<long>"), ["k"])
+    for r in found.collect():
+        words = dict(rows)[r["k"]]
+        bits = [sum(w >> b & 1 for w in words) * 2 > len(words) for b in range(64)]
+        assert r["print"] & (2**64 - 1) == sum(1 << b for b, on in enumerate(bits) if on)
+    # The driver holds such plans, and analyses them anew for every step built on them.
+    assert len(found._jdf.queryExecution().analyzed().toString()) < 4000
