@@ -100,7 +100,7 @@ def _frequent(scanned: DataFrame) -> list[int]:
     They only decide the order in which a set's shingles are probed; the join is exact for any order.
     """
     top = scanned.where("times IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("n"))
-    return [r["shingle"] for r in top.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()]
+    return [r["shingle"] for r in top.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").collect()]
 
 
 def _probe_rows(docs: DataFrame, text: str, frequent: list[int], width: int, percent: int) -> DataFrame:
@@ -179,7 +179,8 @@ def _shared_only(rows: DataFrame) -> DataFrame:
 def _possible(n: Column, m: Column, missing: Column, surplus: Column, percent: int) -> Column:
     """Can sets of n and m shingles link, if so many of either are not in the other?"""
     most = F.least(n - missing, m - surplus)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * most >= percent * (n + m - most))
+    # 100 * most >= percent * (n + m - most), with the long term named once.
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
 def _bound(left: str, right: str, percent: int) -> Column:
